@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, quality, reputation, token_counts, toxicity
+from .oracles import ORACLE_SQL  # noqa: F401
+from . import bpe, decontamination, html_text, near_dups, neighbours, pii, quality, reputation, token_counts, toxicity
 from .common import table
 
 
@@ -37,6 +38,10 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.judge_urls(pages, outcomes)
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda key: F.col(key) % 20 == 0, k=20)
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -51,10 +56,24 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score_toxicity(docs, weights), held_out)
 
 
+def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_url_reputation, op4_html_text, op5_token_counts, op6_toxicity, op8_bpe)}
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.fit_pii(docs))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
 
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality, op2_url_reputation, op3_neighbours, op4_html_text, op5_token_counts, op6_toxicity, op7_near_dups, op8_bpe, op9_personal_data, op10_decontamination)
+}
