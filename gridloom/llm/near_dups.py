@@ -141,11 +141,15 @@ def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return joined.select("a", "b", "marks_a", "marks_b").mapInArrow(run, "a long, b long")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs with these ids, found by broadcast if a count shows that the ids are few."""
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    return docs.join(ids, "doc_id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough. docs: doc_id, text; of equal ids any row will do, as their sets are the same."""
-    ids = pairs.selectExpr("a as doc_id").union(pairs.select("b")).distinct()
-    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-    texts = docs.join(ids, "doc_id", "left_semi")
+    texts = _texts(docs, pairs.selectExpr("a as doc_id").union(pairs.select("b")).distinct())
     joined = pairs.join(texts.selectExpr("doc_id as a", "text as text_a"), "a").join(texts.selectExpr("doc_id as b", "text as text_b"), "b")
 
     def run(batches):
@@ -183,29 +187,44 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _stray_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs of stray members against all members of their bucket, block by block.
+def _stray_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) of stray members with members of other components of their bucket, block by block.
 
-    rows: bucket, node, component, marks, stray, blocks and stray_blocks (how many the
-    bucket's members, and its strays, are dealt into). Members of one component, and
-    pairs that their signatures rule out, are left out before anything is emitted.
+    rows: bucket, node, component, marks, text, stray, blocks and stray_blocks (how many
+    the bucket's members, and its strays, are dealt into). A stray is held against a
+    block's full sets at once if any signature there lets a link be possible; of its
+    links with one component one is enough.
     """
     slot = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     base = rows.withColumn("j", slot("blocks", 1)).withColumn("i", steps("stray_blocks")).withColumn("probe", F.lit(False))
     probes = rows.where("stray").withColumn("i", slot("stray_blocks", 2)).withColumn("j", steps("blocks")).withColumn("probe", F.lit(True))
-    dealt = base.unionByName(probes).select("bucket", "i", "j", "probe", "node", "component", "marks").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    dealt = base.unionByName(probes).select("bucket", "i", "j", "probe", "node", "component", "marks", "text").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def run(batches):
+        shingler = Shingler()
         for group in _groups(batches, ["bucket", "i", "j"]):
             probe = group.column("probe").to_numpy(zero_copy_only=False)
+            if probe.all() or not probe.any():
+                continue
             node, component = group.column("node").to_numpy(), group.column("component").to_numpy()
             marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8).reshape(len(probe), -1)
-            left, right = np.flatnonzero(probe), np.flatnonzero(~probe)
-            for k in left.tolist():
-                near = right[(component[right] != component[k])]
-                near = near[agreement(marks[near], marks[k]) >= LEAST_AGREEMENT] if len(near) else near
+            sets = [shingler.set_of(t) for t in group.column("text").to_pylist()]
+            size = np.array(list(map(len, sets)))
+            right = np.flatnonzero(~probe)
+            shingles, flat = np.unique(np.concatenate([sets[k] for k in right]), return_inverse=True)
+            starts = np.r_[0, np.cumsum(size[right])[:-1]]
+            for k in np.flatnonzero(probe).tolist():
+                other = component[right] != component[k]
+                if not other.any() or not (agreement(marks[right[other]], marks[k]) >= LEAST_AGREEMENT).any():
+                    continue
+                at = np.minimum(np.searchsorted(shingles, sets[k]), len(shingles) - 1)
+                mine = np.zeros(len(shingles), np.int64)
+                mine[at[shingles[at] == sets[k]]] = 1
+                common = np.add.reduceat(mine[flat], starts)
+                near = right[other & (100 * common >= percent * (size[right] + size[k] - common))]
                 if len(near):
+                    near = near[np.unique(component[near], return_index=True)[1]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[near], node[k])), pa.array(np.minimum(node[near], node[k]))], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -236,10 +255,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     placed = materialize(placed.select("bucket", "node", "component", "size", (F.col("component") != F.col("of_least")).alias("stray")))
     open_buckets = materialize(placed.where("stray").groupBy("bucket").agg(F.count(F.lit(1)).alias("strays")))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK)
-    rest = placed.join(open_buckets, "bucket").join(marks, "node").select("bucket", "node", "component", "marks", "stray", blocks("size").alias("blocks"), blocks("strays").alias("stray_blocks"))
-    second = materialize(_stray_pairs(rest).join(first, ["a", "b"], "left_anti"))
-    if second.limit(1).count():
-        more = confirmed(second, docs, percent)
+    rest = placed.join(open_buckets, "bucket").select("bucket", "node", "component", "stray", blocks("size").alias("blocks"), blocks("strays").alias("stray_blocks"))
+    if open_buckets.limit(1).count():
+        rest = materialize(rest)
+        texts = _texts(docs, rest.selectExpr("node as doc_id").distinct()).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
+        more = _stray_links(rest.join(marks.join(texts, "node"), "node"), percent)
         found = connected_components(found.selectExpr("node as a", "component as b").where("a <> b").union(more))
     named = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     joined = rows.select("doc_id", "n", "digest").join(materialize(named), "digest", "left")
