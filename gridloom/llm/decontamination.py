@@ -69,7 +69,8 @@ def prefixes(windows: DataFrame, docs: DataFrame) -> DataFrame:
     distinct = windows.select("window").distinct()
     placed = distinct.select("window", F.posexplode(F.split("window", " ")).alias("at", "word"))
     vocabulary = placed.select("word").distinct()
-    counted = placed.join(_small(word_counts(docs, vocabulary).join(_small(vocabulary), "word", "left_semi")), "word", "left")
+    times = materialize(word_counts(docs, vocabulary).join(_small(vocabulary), "word", "left_semi"))
+    counted = placed.join(_small(times), "word", "left")
     rarest = counted.groupBy("window").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), F.col("word"), F.col("at"))).alias("r"), F.count(F.lit(1)).cast("int").alias("length"))
     return rarest.select("window", F.col("r.word").alias("token"), F.col("r.at").alias("at"), "length")
 
