@@ -37,7 +37,7 @@ PERCENT = 75
 LEAST_AGREEMENT = 0.6
 #: Members of a block, and ids that may be broadcast.
 BLOCK, BROADCAST_IDS = 1024, 500_000
-CACHE_ROWS = 500_000
+CACHE_ROWS = 200_000
 _RNG = np.random.RandomState(20240229)
 _A = (_RNG.randint(0, 2**63, BANDS * ROWS, np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _RNG.randint(0, 2**63, BANDS * ROWS, np.int64).astype(np.uint64)

@@ -18,7 +18,7 @@ SPACE = "▁"
 #: No piece goes on from another character into the mark of a space, so no merge crosses such a border.
 _PRE_TOKEN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Counts that a Python worker keeps, and the longest pre-token that it keeps one of.
-CACHE_ROWS, CACHE_CHARS = 400_000, 48
+CACHE_ROWS, CACHE_CHARS = 150_000, 48
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 

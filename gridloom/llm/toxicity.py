@@ -19,7 +19,7 @@ from .common import slices
 SAMPLE_ROWS = 16_000
 BITS = 20
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
-CACHE_ROWS = 500_000
+CACHE_ROWS = 200_000
 
 
 @dataclass
