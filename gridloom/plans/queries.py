@@ -258,9 +258,9 @@ def j03_calendar(spark, sf_dir):
     return J.complete_calendar(dims, s.groupBy("tile", "day").agg(F.count(F.lit(1)).cast("double").alias("n")), ["tile", "day"], "n")
 
 
-@query(f"""WITH {OBS} SELECT cell, band, day + CAST(k AS INTEGER) AS window_end, count(value) AS n, round(avg(value), 4) AS mean, count(DISTINCT day) AS n_days FROM obs, range(8) r(k) GROUP BY ALL""")
+@query(f"""WITH {OBS} SELECT cell, band, day + CAST(k AS INTEGER) AS window_end, count(value) AS n, round(avg(value), 6) AS mean, count(DISTINCT day) AS n_days FROM obs, range(8) r(k) GROUP BY ALL""")
 def j04_window_statistics(spark, sf_dir):
-    return J.window_statistics(observations(spark, sf_dir), ["cell", "band"], "day", "value").withColumn("mean", r("mean"))
+    return J.window_statistics(observations(spark, sf_dir), ["cell", "band"], "day", "value").withColumn("mean", r("mean", 6))
 
 
 @query(f"""WITH {POINTS}, a AS (SELECT id, lon AS x1, lat AS y1, lon + 3 AS x2, lat + 2 AS y2 FROM points), b AS (SELECT s_suppkey AS id, (s_suppkey * 53 % 360) - 180.0 AS x1, s_acctbal / 100 - 45 AS y1, (s_suppkey * 53 % 360) - 175.0 AS x2, s_acctbal / 100 - 40 AS y2 FROM supplier)
@@ -334,12 +334,12 @@ def a02_population_statistics(spark, sf_dir):
     return A.band_statistics(observations(spark, sf_dir).where("cell % 5 = 0"), ["band"], "value", population=True).select("band", "n", r("mean").alias("mean"), r("std").alias("std"))
 
 
-@query(f"""WITH {PX} SELECT cell, t, y // 5 AS by, x // 2 AS bx, round(avg(value), 4) AS mean, round(avg(coalesce(value, -9999)), 4) AS mean_with_nodata, bool_and(value IS NOT NULL) AS valid, max(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS mask FROM px GROUP BY ALL""")
+@query(f"""WITH {PX} SELECT cell, t, y // 5 AS by, x // 2 AS bx, round(avg(value), 6) AS mean, round(avg(coalesce(value, -9999)), 6) AS mean_with_nodata, bool_and(value IS NOT NULL) AS valid, max(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS mask FROM px GROUP BY ALL""")
 def a03_block_down_sample(spark, sf_dir):
     px = pixels(spark, sf_dir)
     skip, with_nodata = A.block_down_sample(px, ["cell", "t"], "value", 5, 2), A.block_down_sample(px, ["cell", "t"], "value", 5, 2, -9999.0)
     keys = ["cell", "t", "by", "bx"]
-    return skip.join(with_nodata.select(*keys, r("mean").alias("mean_with_nodata")), keys).withColumn("mean", r("mean"))
+    return skip.join(with_nodata.select(*keys, r("mean", 6).alias("mean_with_nodata")), keys).withColumn("mean", r("mean", 6))
 
 
 @query(f"""WITH {PX}, g(t, "group") AS (VALUES (1, 'a'), (2, 'a'), (3, 'b'), (4, 'b'), (5, 'b'), (6, 'c'), (7, 'c')) SELECT cell, y, "group", bool_or(value IS NULL) AS masked FROM px JOIN g USING (t) GROUP BY ALL""")
@@ -527,10 +527,10 @@ def x04_split_exact(spark, sf_dir):
     return W.split_exact(scenes(spark, sf_dir), ["tile"], 0.2, "split").select("scene", "tile", "part")
 
 
-@query("""SELECT time_bucket(INTERVAL '1 day', ts)::DATE AS day, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL""")
+@query("""SELECT time_bucket(INTERVAL '1 day', ts)::DATE AS day, event_type, count(*) AS n, round(avg(value), 8) AS mean FROM events GROUP BY ALL""")
 def t02_daily_blocks(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), r(F.avg("value")).alias("mean")).select(F.to_date("w.start").alias("day"), "event_type", "n", "mean")
+    return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), r(F.avg("value"), 8).alias("mean")).select(F.to_date("w.start").alias("day"), "event_type", "n", "mean")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '6 hours' OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM g)
