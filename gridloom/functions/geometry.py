@@ -55,6 +55,18 @@ def box_area_km2(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Col
     return F.greatest(F.radians(max_lon - min_lon), F.lit(0.0)) * F.greatest(height, F.lit(0.0)) * (AUTHALIC_RADIUS / 1000) ** 2
 
 
+def polygon_area_km2(ring: Column) -> Column:
+    """Area of a ring of (lon, lat) on the sphere of equal area; its edges are straight in the cylindrical equal-area map.
+
+    Zero below three corners, null for a null ring.
+    """
+    east = lambda p: F.radians(p["lon"])
+    north = lambda p: F.sin(F.radians(p["lat"]))
+    following = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(1), F.lit(1)))
+    turns = F.zip_with(ring, following, lambda p, q: east(p) * north(q) - east(q) * north(p))
+    return F.abs(F.aggregate(turns, F.lit(0.0), lambda total, t: total + t)) / 2 * (AUTHALIC_RADIUS / 1000) ** 2
+
+
 def overlap_action(area_km2: Column, least: float = 1.0) -> Column:
     return F.when(area_km2 <= 0, "SKIP_NO_OVERLAP").when(area_km2 < least, "SKIP_DEGENERATE_OVERLAP").otherwise("CLIP")
 

@@ -9,6 +9,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def assembled(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -42,3 +43,10 @@ def score_batches(df: DataFrame, score: Callable[[pd.DataFrame], pd.Series], key
             yield batch[list(keys)].assign(score=found.to_numpy(float))
 
     return df.mapInPandas(run, f"{key_schema}, score double")
+
+
+def placed(patches: DataFrame, factor: int) -> DataFrame:
+    """Mosaic rows and columns of a patch's pixels (y, x), each repeated factor x factor times."""
+    steps = F.sequence(F.lit(0), F.lit(factor - 1))
+    rows = patches.withColumn("_a", F.explode(steps)).withColumn("_b", F.explode(steps))
+    return rows.withColumn("row", F.col("y") * factor + F.col("_a")).withColumn("col", F.col("x") * factor + F.col("_b")).drop("_a", "_b")

@@ -84,3 +84,20 @@ def gml_footprint(text: Column) -> Column:
 
 def band_label(variable: Column, step: Column) -> Column:
     return F.concat_ws("_", variable, step.cast("string"))
+
+
+_MTL = "$.LANDSAT_METADATA_FILE."
+
+
+def mtl_footprint(text: Column) -> Column:
+    """(lon, lat) of the four product corners in a scene's JSON metadata, clockwise from the upper left; null if one is missing."""
+    number = lambda corner, axis: F.get_json_object(text, f"{_MTL}PROJECTION_ATTRIBUTES.CORNER_{corner}_{axis}_PRODUCT").cast("double")
+    corners = F.array(*[F.struct(number(c, "LON").alias("lon"), number(c, "LAT").alias("lat")) for c in ("UL", "UR", "LR", "LL")])
+    return F.when(F.forall(corners, lambda c: c["lon"].isNotNull() & c["lat"].isNotNull()), corners)
+
+
+def mtl_radiometry(text: Column, band: int) -> Column:
+    """Factor, summand and sun elevation of a band in a scene's JSON metadata."""
+    number = lambda path: F.get_json_object(text, _MTL + path).cast("double")
+    rescaling = "LEVEL1_RADIOMETRIC_RESCALING.REFLECTANCE_"
+    return F.struct(number(f"{rescaling}MULT_BAND_{band}").alias("mult"), number(f"{rescaling}ADD_BAND_{band}").alias("add"), number("IMAGE_ATTRIBUTES.SUN_ELEVATION").alias("sun_elevation"))
