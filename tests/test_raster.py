@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import columns as C
 from gridloom.operators import series
 from gridloom.operators.aggregates import lower_median
-from gridloom.plans import adapters, archive  # noqa: F401
+from gridloom.plans import adapters, archive, facts  # noqa: F401
 from gridloom.plans.queries import ORACLE_SQL, QUERIES
 from gridloom.sources import names
 
