@@ -27,10 +27,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id. Of rows with one id, one stays."""
+    """One document of each group of near copies, the one with the least id. Of rows with one id, one stays; rows without an id all stay."""
     judged = near_dups.near_duplicates(docs)
     repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    return _without(docs.dropDuplicates(["doc_id"]) if repeated else docs, judged.where("not kept"))
+    if repeated:
+        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    return _without(docs, judged.where("not kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,11 @@ def test_stages_on_the_smallest_table(spark):
             assert all(r.ids == library.encode(before[r.doc_id].text, add_special_tokens=False).ids for r in rows)
     got = corpus_pipeline.run(spark, SF)
     assert {(r.doc_id, tuple(r.ids)) for r in got.collect()} == {(r.doc_id, tuple(r.ids)) for r in rows}
+
+
+def test_rows_without_ids_stay_beside_repeated_ids(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (1, text), (2, "a quite different text of its own words"), (None, "no id here at all my friend"), (None, "another one that has no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted((str(i), t) for i, t in rows[1:])
