@@ -1,4 +1,9 @@
-"""Approximate nearest neighbours by cross-polytope hashing with multiprobe tables and exact reranking."""
+"""Approximate nearest neighbours by cross-polytope hashing with multiprobe tables and exact reranking.
+
+Vectors are split by norm, each range has its own tables, and a query looks into all of
+them. Ranges of few vectors are read whole, and queries that hold too few vectors after
+all are held against the whole table.
+"""
 
 from __future__ import annotations
 
@@ -17,20 +22,25 @@ from .common import materialize
 
 #: Hash tables, and the buckets of each that a query looks into at least.
 TABLES, LEAST_PROBES = 8, 12
-#: A query looks into so many buckets that they hold this many vectors on average, seen over all tables.
+#: A query looks into so many buckets of a range that they hold this many vectors on average, seen over all tables.
 CANDIDATES = 12_000
+#: Norms in a range differ by this factor at most, unless it has few vectors; bins of norms that ranges are made of, for each factor of e.
+SPREAD, BINS = 1.25, 200
 #: Buckets of more vectors than this are dealt into blocks; tables get a second hash once buckets average more than this.
 BLOCK, LARGE = 1024, 4096
+#: Rows found that a task holds at once, to merge those of one query before they are dealt again.
+HELD_ROWS = 500_000
 
 
 @dataclass(frozen=True)
 class Tables:
-    """What all tasks need to hash alike: sizes, and the greatest norm if norms differ (else 0)."""
+    """What all tasks need to hash alike: sizes, and the least and greatest norm of the vectors. No tables but one bucket if axes is 0."""
 
     size: int
     axes: int
     second: int
-    top_norm: float
+    low: float
+    high: float
     probes: int
     tables: int = TABLES
 
@@ -40,14 +50,31 @@ class Tables:
 
 
 def plan_tables(count: int, size: int, low: float, high: float) -> Tables:
-    top = high if high - low > 1e-6 * high else 0.0
-    axes = 1 << max(1, math.ceil(math.log2(size + bool(top))))
+    """Tables of the vectors with norms from low to high; so few that a query sees all of them anyway need none."""
+    if count <= CANDIDATES:
+        return Tables(size, 0, 0, low, high, 1, 1)
+    axes = 1 << max(1, math.ceil(math.log2(size)))
     second = 0
     while second < axes and count / (2 * axes * max(1, 2 * second)) > LARGE:
         second = max(1, 2 * second)
-    made = Tables(size, axes, second, top, 0)
-    probes = min(made.buckets, max(LEAST_PROBES * max(1, second), math.ceil(made.buckets * CANDIDATES / (TABLES * max(1, count)))))
-    return Tables(size, axes, second, top, probes)
+    made = Tables(size, axes, second, low, high, 0)
+    probes = min(made.buckets, max(LEAST_PROBES * max(1, second), math.ceil(made.buckets * CANDIDATES / (TABLES * count))))
+    return Tables(size, axes, second, low, high, probes)
+
+
+def plan_ranges(bins: list[tuple[int, float, float]], size: int) -> list[Tables]:
+    """Tables for each range of norms, the least first. bins: (vectors, least norm, greatest norm), in any order.
+
+    Going down from the greatest norm, bins go together while their norms differ little
+    or while they hold few vectors.
+    """
+    ranges: list[tuple[int, float, float]] = []
+    for n, low, high in sorted(bins, key=lambda b: -b[2]):
+        if ranges and (ranges[-1][0] + n <= CANDIDATES or ranges[-1][2] <= SPREAD * low):
+            ranges[-1] = (ranges[-1][0] + n, low, ranges[-1][2])
+        else:
+            ranges.append((n, low, high))
+    return [plan_tables(n, size, low, high) for n, low, high in reversed(ranges)]
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -70,12 +97,10 @@ def rotated(x: np.ndarray, table: int, turn: int) -> np.ndarray:
 
 
 def units(x: np.ndarray, how: Tables, query: bool) -> np.ndarray:
-    """Unit vectors whose angles order as the inner products do: shorter vectors get one more coordinate, queries are scaled."""
+    """Unit vectors, queries and others alike. Within a range their angles order nearly as the inner products do."""
     out = np.zeros((len(x), how.axes))
-    norm = np.linalg.norm(x, axis=1)
-    out[:, : x.shape[1]] = x / (how.top_norm if how.top_norm and not query else norm[:, None])
-    if how.top_norm and not query:
-        out[:, x.shape[1]] = np.sqrt(np.maximum(0, 1 - (norm / how.top_norm) ** 2))
+    if how.axes:
+        out[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1)[:, None]
     return out
 
 
@@ -91,12 +116,16 @@ def _halves(x: np.ndarray, how: Tables, table: int) -> tuple[np.ndarray, np.ndar
 
 def buckets_of(x: np.ndarray, how: Tables, table: int) -> np.ndarray:
     """The nearest signed axis of every unit vector, as a number."""
+    if not how.axes:
+        return np.zeros(len(x), np.int64)
     first, second = _halves(x, how, table)
     return first.argmax(1) if second is None else first.argmax(1) * second.shape[1] + second.argmax(1)
 
 
 def probes_of(x: np.ndarray, how: Tables, table: int) -> np.ndarray:
     """The buckets of the signed axes that are nearest to every query."""
+    if not how.axes:
+        return np.zeros((len(x), 1), np.int64)
     near, second = _halves(x, how, table)
     if second is not None:
         near = (near[:, :, None] + second[:, None, :]).reshape(len(x), -1)
@@ -119,23 +148,36 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 _HASHED = "tab int, bucket int, block int, query boolean, id long, vector array<double>"
 
 
-def _hash(vectors: DataFrame, how: Tables, blocks: dict[tuple[int, int], int]) -> DataFrame:
-    """Rows of every vector for its bucket in each table, and of queries for the buckets they look into; big buckets in blocks."""
+def _places(plans: list[Tables]) -> list[tuple[int, int, Tables, int]]:
+    """(number over all ranges, range, its tables, which one) of every table."""
+    every = [(r, how, table) for r, how in enumerate(plans) for table in range(how.tables)]
+    return [(tab, *place) for tab, place in enumerate(every)]
+
+
+def _range_of(x: np.ndarray, plans: list[Tables]) -> np.ndarray:
+    """The range that the norm of each vector lies in."""
+    return np.searchsorted([how.low * (1 - 1e-12) for how in plans[1:]], np.linalg.norm(x, axis=1), side="right")
+
+
+def _hash(vectors: DataFrame, plans: list[Tables], blocks: dict[tuple[int, int], int]) -> DataFrame:
+    """Rows of every vector for its bucket in each table of its range, and of queries for the buckets of all ranges they look into; big buckets in blocks."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 ids, asks = part.column("id").to_numpy(), part.column("query").to_numpy(zero_copy_only=False)
-                x = _matrix(part.column("vector"), how.size)
-                for table in range(how.tables):
+                x = _matrix(part.column("vector"), plans[0].size)
+                of = _range_of(x, plans)
+                for tab, r, how, table in _places(plans):
                     for query in (False, True):
-                        rows = np.flatnonzero(asks) if query else np.arange(len(ids))
+                        rows = np.flatnonzero(asks if query else of == r)
                         if not len(rows):
                             continue
-                        found = probes_of(units(x[rows], how, True), how, table) if query else buckets_of(units(x, how, False), how, table)[:, None]
+                        unit = units(x[rows], how, query)
+                        found = probes_of(unit, how, table) if query else buckets_of(unit, how, table)[:, None]
                         row, bucket = np.repeat(rows, found.shape[1]), found.ravel()
-                        most = np.array([blocks.get((table, b), 0) for b in bucket.tolist()])
+                        most = np.array([blocks.get((tab, b), 0) for b in bucket.tolist()])
                         if query:  # empty buckets need no visit, dealt ones one for each block
                             row, bucket = np.repeat(row, most), np.repeat(bucket, most)
                             block = np.arange(len(row)) - np.repeat(np.cumsum(most) - most, most)
@@ -143,7 +185,7 @@ def _hash(vectors: DataFrame, how: Tables, blocks: dict[tuple[int, int], int]) -
                             block = _dealt(ids[row]) % np.maximum(most, 1)
                         vector = part.column("vector").take(pa.array(row))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(row), table, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.full(len(row), query)), pa.array(ids[row]), vector],
+                            [pa.array(np.full(len(row), tab, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.full(len(row), query)), pa.array(ids[row]), vector],
                             names=["tab", "bucket", "block", "query", "id", "vector"],
                         )
 
@@ -154,16 +196,17 @@ def _dealt(ids: np.ndarray) -> np.ndarray:
     return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
 
 
-def _bucket_sizes(vectors: DataFrame, how: Tables) -> dict[tuple[int, int], int]:
+def _bucket_sizes(vectors: DataFrame, plans: list[Tables]) -> dict[tuple[int, int], int]:
     """Blocks of every bucket that is not empty. There are tables times buckets of them at most, whatever the input."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = units(_matrix(batch.column("vector"), how.size), how, False)
-                for table in range(how.tables):
-                    bucket, n = np.unique(buckets_of(x, how, table), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), table, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(n)], names=["tab", "bucket", "n"])
+                x = _matrix(batch.column("vector"), plans[0].size)
+                of = _range_of(x, plans)
+                for tab, r, how, table in _places(plans):
+                    bucket, n = np.unique(buckets_of(units(x[of == r], how, False), how, table), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), tab, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(n)], names=["tab", "bucket", "n"])
 
     found = vectors.mapInArrow(run, "tab int, bucket int, n long").groupBy("tab", "bucket").agg(F.sum("n").alias("n")).collect()
     return {(r.tab, r.bucket): max(1, math.ceil(r.n / BLOCK)) for r in found}
@@ -195,6 +238,56 @@ def _best(groups: Iterator[pa.Table], k: int, size: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
 
 
+def _merged(found: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of each query among rows that a task finds one after the other; several times k where they are too many to hold."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def best() -> pa.RecordBatch:
+        query, vec, score = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+        order = np.lexsort((-score, vec, query))
+        query, vec, score = query[order], vec[order], score[order]
+        first = np.r_[True, (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])]
+        query, vec, score = query[first], vec[first], score[first]
+        order = np.lexsort((vec, -score, query))
+        query, vec, score = query[order], vec[order], score[order]
+        starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        rank = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
+        return pa.RecordBatch.from_arrays([pa.array(c[rank < k]) for c in (query, vec, score)], names=["query_id", "vec_id", "score"])
+
+    for batch in found:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows > HELD_ROWS:
+            held = [best()]
+            rows = held[0].num_rows
+            if rows > HELD_ROWS / 2:
+                yield held[0]
+                held, rows = [], 0
+    if rows:
+        yield best()
+
+
+def _ranked(grouped: DataFrame, keys: list[str], k: int, size: int) -> DataFrame:
+    """The k nearest of each query over all groups of keys that it is in."""
+    from .near_dups import _groups
+
+    dealt = grouped.repartition(*keys).sortWithinPartitions(*keys)
+    found = dealt.mapInArrow(lambda batches: _merged(_best(_groups(batches, keys), k, size), k), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _every_pair(asks: DataFrame, n_asks: int, vectors: DataFrame, n: int) -> DataFrame:
+    """Queries and all vectors in blocks i and j, so that each query meets each vector in one of them."""
+    i, j = math.ceil(n_asks / BLOCK), math.ceil(n / BLOCK)
+    all_of = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    one_of = lambda many: F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")
+    asked = asks.select(one_of(i).alias("i"), all_of(j).alias("j"), F.lit(True).alias("query"), "id", "vector")
+    return asked.unionByName(vectors.select(all_of(i).alias("i"), one_of(j).alias("j"), F.lit(False).alias("query"), "id", "vector"))
+
+
 def nearest(vectors: DataFrame, queries, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k vectors with the largest inner product that its buckets hold.
 
@@ -202,24 +295,29 @@ def nearest(vectors: DataFrame, queries, k: int = 20, key: str = "vec_id", vecto
     says which rows ask. Null keys, and vectors that are null, all zeros or hold a null
     or a component that is not finite, take no part; shorter vectors count as ending in
     zeros. A key that comes several times is one vector (the least). Ties go to the
-    smaller key. Where norms differ, vectors are hashed with one more coordinate, after
-    which angles order as products do.
+    smaller key. Every range of norms is looked into. Queries whose buckets hold fewer
+    than k vectors are compared with all, so that a query has k rows unless the table
+    has no more.
     """
     good = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("vector", lambda c: c != 0)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).where("id is not null and vector is not null").where(good)
     rows = rows.groupBy("id").agg(F.min("vector").alias("vector"))
     rows = materialize(rows.withColumn("query", queries("id")))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, c: a + c * c))
-    n, size, low, high = rows.agg(F.count(F.lit(1)), F.max(F.size("vector")), F.min(norm), F.max(norm)).first()
-    if not n:
+    sized = rows.select(norm.alias("norm"), F.size("vector").alias("size")).groupBy(F.floor(F.log("norm") * BINS))
+    bins = sized.agg(F.count(F.lit(1)).alias("n"), F.min("norm").alias("low"), F.max("norm").alias("high"), F.max("size").alias("size")).collect()
+    if not bins:
         return rows.selectExpr("id as query_id", "cast(0 as int) as rank", "id as vec_id", "cast(0 as double) as score")
-    how = plan_tables(n, size, low, high)
-    blocks = _bucket_sizes(rows, how)
-    hashed = _hash(rows, how, blocks).repartition("tab", "bucket", "block").sortWithinPartitions("tab", "bucket", "block")
-
-    from .near_dups import _groups
-
-    found = hashed.mapInArrow(lambda batches: _best(_groups(batches, ["tab", "bucket", "block"]), k, size), "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    n, size = sum(r.n for r in bins), max(r.size for r in bins)
+    plans = plan_ranges([(r.n, r.low, r.high) for r in bins], size)
+    found = _ranked(_hash(rows, plans, _bucket_sizes(rows, plans)), ["tab", "bucket", "block"], k, size)
+    if not any(how.axes for how in plans):  # every query has seen every vector
+        return found
+    found = materialize(found)
+    full = found.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1)).select(F.col("query_id").alias("id"))
+    short = rows.where("query").join(full, "id", "left_anti")
+    n_short = short.count()
+    if not n_short:
+        return found
+    whole = _ranked(_every_pair(short, n_short, rows, n), ["i", "j"], k, size)
+    return found.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").select(whole.columns).unionByName(whole)

@@ -57,3 +57,31 @@ def test_second_hash_for_large_tables():
     x = neighbours.units(np.random.RandomState(1).randn(50, 64), how, False)
     probes = neighbours.probes_of(x, how, 0)
     assert all(b in p for b, p in zip(neighbours.buckets_of(x, how, 0), probes))
+
+
+@pytest.mark.parametrize("norms", ["one long", "lognormal"])
+def test_recall_where_norms_differ_much(spark, norms):
+    rng = np.random.RandomState(2)
+    x = rng.randn(14000, 64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "one long":
+        x[7] *= 20
+    else:
+        x *= np.exp(rng.randn(len(x), 1))
+    rows = [(k if k < 100 else 20 * k + 1, v) for k, v in enumerate(x.astype(np.float32).tolist())]
+    got, _ = run(spark, rows)
+    want = exact(rows, 20)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    assert np.mean([len({*got[q]} & {*want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_queries_with_few_vectors_in_their_buckets_see_all(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CANDIDATES", 1)
+    monkeypatch.setattr(neighbours, "LEAST_PROBES", 1)
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    x = np.random.RandomState(4).randn(300, 8) * 0.01 + np.eye(8)[0]
+    x[[20, 40]] = -np.eye(8)[1], np.eye(8)[2]
+    rows = list(enumerate(x.tolist()))
+    got, _ = run(spark, rows)
+    want = exact([(i, np.float32(v).tolist()) for i, v in rows], 20)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
