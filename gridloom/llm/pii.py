@@ -4,7 +4,8 @@ Nodes are the tokens of a text that hold a digit or an "@"; a token without eith
 only be outside. Neighbouring nodes share a chain potential, distant nodes with the same
 or similar content a skip potential. Tokens under a pattern's match keep its label. Loopy
 message passing spreads labels, so that a later mention of the same number or address is
-found where the pattern alone would miss it.
+found where the pattern alone would miss it. It runs on every text with a node: tokens
+that look like personal data by their features alone are found too.
 """
 
 from __future__ import annotations
@@ -111,6 +112,46 @@ def _keys(token: str) -> list[str]:
     return keys
 
 
+def _number_links(text: str, tokens: list[str], chain: list[tuple[int, int]], base: list[tuple[int, int, int]], spans: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    """Skip edges between mentions of one number that may go over several tokens: the last node of one to all nodes of the next.
+
+    Two mentions have the same last seven digits; digits before those belong to the later
+    one as long as the earlier one has them too.
+    """
+    digits = ["" if any(c.isalpha() or c == "@" for c in t) else _DIGITS.sub("", t) for t in tokens]
+    joined = {j for _, j in chain}
+    end_of: dict[int, str] = {}  # nodes that end a base span, and its digits
+    k = 0
+    for a, kind, b in base:
+        while k < len(spans) and spans[k][1] < b:
+            k += 1
+        if kind and k < len(spans) and spans[k][0] < b:
+            end_of[k] = _DIGITS.sub("", text[a:b])
+    known: dict[str, tuple[int, str]] = {}
+    found = set()
+    for j in range(len(tokens)):
+        i, tail = j, digits[j]
+        while tail and len(tail) < 7 and i in joined and digits[i - 1]:
+            i -= 1
+            tail = digits[i] + tail
+        tail = end_of.get(j, tail)
+        if len(tail) < 7:
+            continue
+        if tail[-7:] in known:
+            before, number = known[tail[-7:]]
+            k, own = j, digits[j]
+            while own and before < k:
+                if not (number.endswith(own) or own.endswith(number)):
+                    break
+                found.add((before, k))
+                if k not in joined or len(own) >= len(number):
+                    break
+                k -= 1
+                own = digits[k] + own if digits[k] else ""
+        known[tail[-7:]] = (j, max(tail, known.get(tail[-7:], (j, ""))[1], key=len))
+    return found
+
+
 def graph_of(text: str, base: list[tuple[int, int, int]]) -> Graph:
     spans, chain = [], []
     at = 0
@@ -140,6 +181,7 @@ def graph_of(text: str, base: list[tuple[int, int, int]]) -> Graph:
             if key in last:
                 skip.add((last[key], j))
             last[key] = j
+    skip |= _number_links(text, tokens, chain, base, spans)
     return Graph(spans, np.array([_features(t) for t in tokens], float).reshape(len(tokens), N_FEATURES), labels, chain, sorted(skip))
 
 
@@ -211,10 +253,8 @@ def find_spans(text: str | None, crf: Crf) -> tuple[list[tuple[int, int, int]],
     if not text or not _HINT.search(text):
         return [], []
     base = base_spans(text)
-    if not base:
-        return [], []  # nothing in the text has a label to spread
     graph = graph_of(text, base)
-    if not graph.skip or (graph.labels > 0).all():
+    if (graph.labels > 0).all():
         return base, base
     belief = beliefs(graph, crf)
     added = []

@@ -60,3 +60,19 @@ def test_odd_rows(spark):
     assert pii.redact(df, crf).columns == df.columns
     assert pii.personal_data(df.limit(0), crf).count() == 0
     pii.fit_pii(df.limit(0))
+
+
+def test_tokens_are_judged_where_no_pattern_matches(spark):
+    rows = [(k, f"mail ab.{k:02d}@mail{k}.example.com and 12 more, 7 of 30, {k} and {k + 1} in 1999") for k in range(60)]
+    crf = pii.fit_pii(spark.createDataFrame(rows, "doc_id long, text string"))
+    text = "write to josé@correo.es on 12 of 30"
+    assert pii.base_spans(text) == []
+    assert pii.redacted(text, crf) == "write to [EMAIL] on 12 of 30"
+    assert pii.redacted("in 1999, 7 of 30", crf) == "in 1999, 7 of 30"
+
+
+def test_numbers_over_several_tokens_are_linked():
+    text = "call +1 (456) 555 2186 now, then 456 555 2186 and 4565552186, 12 555 2187"
+    graph = pii.graph_of(text, pii.base_spans(text))
+    assert [text[a:b] for a, b in graph.spans][:8] == ["+1", "(456)", "555", "2186", "456", "555", "2186", "4565552186,"]
+    assert graph.skip == [(3, 4), (3, 5), (3, 6), (6, 7)]
