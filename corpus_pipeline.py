@@ -10,34 +10,52 @@ from gridloom.llm import bpe, decontamination, near_dups, pii, quality
 from gridloom.llm.common import materialize, table
 from gridloom.llm.queries import crc_is
 
-#: Rejected ids up to this number are broadcast, more are joined by a shuffle.
+#: Rejected rows up to this number are broadcast, more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of docs whose id is not rejected, columns as they were; a null id is never rejected."""
-    ids = materialize(rejected.select("doc_id").where("doc_id is not null").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+ROW = "_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows of docs, each with a number of its own, so that it is judged by its own text whatever its id is."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """The rows for operators that know documents by doc_id: the number stands in its place."""
+    return rows.withColumn("doc_id", F.col(ROW)).drop(ROW)
+
+
+def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Numbered rows whose number is not rejected, columns of the documents as they were."""
+    numbers = materialize(rejected.select(F.col("doc_id").alias(ROW)))
+    return rows.join(F.broadcast(numbers) if numbers.count() <= BROADCAST_IDS else numbers, ROW, "left_anti").drop(ROW)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), crc_is(3, 1))
-    return _without(docs, quality.score_quality(docs, model).where("predicted = 0"))
+    rows = _numbered(docs)
+    return _without(rows, quality.score_quality(_by_row(rows), model).where("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id. Of rows with one id, one stays; rows without an id all stay."""
-    judged = near_dups.near_duplicates(docs)
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    if repeated:
-        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
-    return _without(docs, judged.where("not kept"))
+    """One document of each group of near copies, the one with the least id (rows without an id come last). Of texts without words one stays for each id and text."""
+    rows = _numbered(docs)
+    judged = near_dups.near_duplicates(_by_row(rows)).withColumnRenamed("doc_id", ROW)
+    named = rows.select(ROW, "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), F.col("text").isNull().alias("none"))
+    words = F.coalesce(F.col("n_shingles"), F.lit(0)) > 0
+    alone = F.struct("doc_id", "sha", "none", F.when(F.col("doc_id").isNull(), F.col(ROW)).alias("only"))
+    group = materialize(judged.join(named, ROW).select(ROW, "doc_id", "sha", F.when(words, F.col("component_id")).alias("component"), F.when(~words, alone).alias("alone")))
+    least = group.groupBy("component", "alone").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sha", ROW)).alias("least")).select(F.col(f"least.{ROW}").alias(ROW))
+    return _without(rows, group.join(least, ROW, "left_anti").select(F.col(ROW).alias("doc_id")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    return _without(docs, decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    rows = _numbered(docs)
+    return _without(rows, decontamination.contamination(_by_row(rows), table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

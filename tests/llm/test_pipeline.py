@@ -37,3 +37,15 @@ def test_rows_without_ids_stay_beside_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted((str(i), t) for i, t in rows[1:])
+
+
+def test_each_row_is_judged_by_its_own_text(spark):
+    one, other = "one two three four five six seven eight nine ten", "a quite different text that has some words of its own"
+    rows = [(1, one), (1, other), (None, one), (2, other), (3, "..."), (3, "..."), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, one), (1, other), (3, "..."), (None, None)]))
+    bad = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    docs = spark.createDataFrame([(1, bad), (1, other), (None, bad), (None, other)], "doc_id long, text string")
+    got = corpus_pipeline.drop_contaminated(spark, docs, SF)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, other), (None, other)]))
