@@ -14,22 +14,33 @@ from .common import slices
 
 # Element names of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big center cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg math object select option button noembed noframes xmp".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big center cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom merror menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation".split())
+_RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Elements outside of articles that may lack their end tag; only up to that tag, and not over one of _BREAKS, are they left out as one.
+_APART = frozenset("noscript template svg object select option button".split())
+_BREAKS = re.compile(r"<(?:/?(?:article|main|section|body)|p|h[1-6])(?=[\s>/])", re.I)
+#: Start tags that end an open element of the kinds that hold no paragraphs, or one that is never closed.
+_ENDS = frozenset("article main section p h1 h2 h3 h4 h5 h6".split())
+_NO_BLOCKS = frozenset("svg select option button".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements, roles, and words in class or id, of what surrounds an article.
-_OUTSIDE = frozenset("nav header footer aside form menu dialog head".split())
+_OUTSIDE = frozenset("nav header footer aside form menu dialog head noscript template svg object select option button".split())
 _OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _OUTSIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted reader-comments related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
+_END_APART = re.compile(rf"</({'|'.join(sorted(_APART))})\s*>", re.I)
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _APART}
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 #: Weight of a path's own ratio against its neighbours', and the share of the mean that content must reach.
 SMOOTH, THRESHOLD = 0.5, 0.5
 
+#: Elements whose paragraphs are their own, whatever they are in.
+_HOLDS = _CLOSES_P | frozenset("html body li dd dt tr td th foreignobject template".split())
+
 
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
     """Blocks of a page in order: path of block elements from the root, whether it lies outside of articles, its text."""
@@ -37,6 +48,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
     stack: list[tuple[str, str, bool]] = []  # element, its step in the path, whether it is outside
     words: list[str] = []
     at, size = 0, len(page)
+    last = {m[1].lower(): m.start() for m in _END_APART.finditer(page)}
 
     def flush():
         if words:
@@ -66,6 +78,13 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = end.end() if end else size
             continue
+        if name in _APART and not m[1]:
+            if m[3].endswith("/") and name == "svg":
+                continue
+            end = _END[name].search(page, at) if last.get(name, -1) >= at else None
+            if end and not _BREAKS.search(page, at, end.start()):
+                at = end.end()
+                continue
         flush()
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
@@ -77,6 +96,13 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
             continue
         if name in _CLOSES_P and stack and stack[-1][0] == "p":
             stack.pop()
+        if name in _ENDS:
+            for k in range(len(stack) - 1, -1, -1):
+                holder = stack[k][0]
+                if holder in _APART and (holder in _NO_BLOCKS or last.get(holder, -1) < at):
+                    del stack[k:]
+                elif holder in _HOLDS:
+                    break
         for other in _SAME.get(name, ()):
             if stack and stack[-1][0] == other:
                 stack.pop()

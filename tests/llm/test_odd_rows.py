@@ -85,6 +85,13 @@ def test_page_texts(spark):
     assert html_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("before", ["<datalist><option value=a><option value=b></datalist>", "<div><button>Go</div>", "<button>Go", "<svg><path>", "<object data=x>", "<noscript>", "<select><option>a<option>b</select>", "<template><p>No.</p></template>", "<button><p>No.</p></button>", ""])
+def test_unclosed_elements_do_not_empty_the_page(before):
+    story = "The river rose, and the town slept; nobody heard it. " * 4
+    page = f"<html><body>{before}<article><h1>Flood</h1><p>{story} Then <math><mi>E</mi><mo>=</mo><mn>3</mn></math> <button>Share</button><svg><text>no</text></svg> it ended.</p></article></body></html>"
+    assert html_text.main_text(page) == f"Flood\n\n{story} Then E=3 it ended.".replace("  ", " ")
+
+
 @pytest.mark.parametrize("query, label, least", [("op1_quality", "quality", 0.85), ("op6_toxicity", "toxic", 0.95)])
 def test_held_out_accuracy(spark, query, label, least):
     scored = queries.QUERIES[query](spark, SF)
