@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import groups_of, materialize, slices
 from .components import connected_components
 
 WORDS = 5
@@ -167,26 +167,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Groups of rows with equal keys that come one after another."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        marks = np.stack([batch.column(k).to_numpy() for k in keys])
-        cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            key = tuple(marks[:, a].tolist())
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _stray_links(rows: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) of stray members with members of other components of their bucket, block by block.
 
@@ -203,7 +183,7 @@ def _stray_links(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         shingler = Shingler()
-        for group in _groups(batches, ["bucket", "i", "j"]):
+        for group in groups_of(batches, ["bucket", "i", "j"]):
             probe = group.column("probe").to_numpy(zero_copy_only=False)
             if probe.all() or not probe.any():
                 continue

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -45,18 +47,55 @@ def test_small_tables_ties_and_bad_vectors(spark):
 
 
 def test_copies_in_many_blocks(spark, monkeypatch):
+    rows = [(k, [0.6, 0.8, 0.0]) for k in range(300)] + [(1000, [0.6, 0.8, 0.1])]
+    got, _ = run(spark, rows)
+    assert got[40] == list(range(20)) and got[0] == list(range(1, 21)) and got[1000] == list(range(20))
+
+
+def test_near_copies_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
-    rows = [(k, [0.6, 0.8, 0.0]) for k in range(300)]
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 4)
+    rows = [(k, [0.6, 0.8, k / 1000]) for k in range(300)]
     got, _ = run(spark, rows)
-    assert got[40] == list(range(20)) and got[0] == list(range(1, 21))
+    assert got == exact(rows, 20)
+
+
+def test_buckets_grow_with_the_table_and_probes_stay_few_of_them():
+    how = neighbours.plan_tables(50_000_000, 64, 1.0)
+    assert len(how.levels) == 3 and how.count / how.buckets <= neighbours.BUCKET
+    x = neighbours.units(np.random.RandomState(1).randn(50, 64), how)
+    probes = neighbours.probes_of(x, how, 0, 40)
+    assert probes.shape == (50, 40) and all(b == p[0] for b, p in zip(neighbours.buckets_of(x, how, 0), probes))
+
 
+def test_probes_are_the_best_sums_over_all_hashes():
+    how = neighbours.Tables(0, 1.0, 8, (8, 4, 2))
+    x = neighbours.units(np.random.RandomState(2).randn(20, 8), how)
+    sums = np.zeros((20, 1))
+    for near in neighbours._nearness(x, how, 3):
+        sums = (sums[:, :, None] + near[:, None, :]).reshape(20, -1)
+    got = neighbours.probes_of(x, how, 3, 25)
+    assert np.allclose(np.take_along_axis(sums, got, 1), -np.sort(-sums, axis=1)[:, :25])
 
-def test_second_hash_for_large_tables():
-    how = neighbours.plan_tables(50_000_000, 64, 1.0, 1.0)
-    assert how.second and 50_000_000 / how.buckets <= neighbours.LARGE
-    x = neighbours.units(np.random.RandomState(1).randn(50, 64), how, False)
-    probes = neighbours.probes_of(x, how, 0)
-    assert all(b in p for b, p in zip(neighbours.buckets_of(x, how, 0), probes))
+
+def test_fewest_probes_prefers_cheap_ranges():
+    plans = [neighbours.Tables(1000, 1.0, 4, (4,)), neighbours.Tables(100_000, 2.0, 4, (4,))]
+    cheap, dear = np.repeat([0, 5], 50), np.repeat([0, 6], [99, 1])
+    assert neighbours.fewest_probes(plans, [cheap, dear]) == [6, 1]
+    assert neighbours.fewest_probes(plans, [cheap, dear], 1.0) == [6, 7]
+
+
+def test_clusters_need_few_candidates(spark, monkeypatch):
+    """Vectors that have near ones: the fitted probes hold less than a fifth of the table, and find nine tenths."""
+    rng = np.random.RandomState(5)
+    x = np.repeat(rng.randn(400, 32), 30, axis=0) + 0.35 * rng.randn(12_000, 32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows, plans, fit = list(enumerate(x.astype(np.float32).tolist())), [], neighbours.fitted
+    monkeypatch.setattr(neighbours, "fitted", lambda *a: plans.extend(fit(*a)) or plans)
+    got, _ = run(spark, rows)
+    want = exact(rows, 20)
+    assert got.keys() == want.keys() and np.mean([len({*got[q]} & {*want[q]}) / 20 for q in want]) >= 0.9
+    assert sum(how.cost * how.probes for how in plans) < len(rows) / 5
 
 
 @pytest.mark.parametrize("norms", ["one long", "lognormal"])
@@ -76,8 +115,7 @@ def test_recall_where_norms_differ_much(spark, norms):
 
 
 def test_queries_with_few_vectors_in_their_buckets_see_all(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "CANDIDATES", 1)
-    monkeypatch.setattr(neighbours, "LEAST_PROBES", 1)
+    monkeypatch.setattr(neighbours, "fitted", lambda plans, *_: [replace(how, tables=1) for how in plans])
     monkeypatch.setattr(neighbours, "BLOCK", 64)
     x = np.random.RandomState(4).randn(300, 8) * 0.01 + np.eye(8)[0]
     x[[20, 40]] = -np.eye(8)[1], np.eye(8)[2]
