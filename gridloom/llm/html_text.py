@@ -1,10 +1,20 @@
-"""Main text of web pages by tag-path ratios."""
+"""Main text of web pages by tag-path ratios.
+
+A page is a tree of tag paths. The text on a path, less that of links, for each of its
+blocks is its ratio, fused with punctuation and smoothed with the paths of the same
+container. Names and classes that speak of menus, adverts and the like, and article
+elements, are features beside the ratios: where most of a page's mass lies under such a
+class, the ratios overrule it.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,146 +34,250 @@ _ENDS = frozenset("article main section p h1 h2 h3 h4 h5 h6".split())
 _NO_BLOCKS = frozenset("svg select option button".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Elements, roles, and words in class or id, of what surrounds an article.
-_OUTSIDE = frozenset("nav header footer aside form menu dialog head noscript template svg object select option button".split())
-_OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_OUTSIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted reader-comments related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Elements whose paragraphs are their own, whatever they are in.
+_HOLDS = _CLOSES_P | frozenset("html body li dd dt tr td th foreignobject template".split())
+_CONTAINERS = frozenset("html body article main section div td".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What surrounds an article, by element or role; reader comments, by words in class or id.
+_OUTSIDE = frozenset("nav footer aside menu dialog head noscript template svg object select option button".split())
+_OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
+_COMMENT_WORDS = frozenset("comment comments disqus respond".split())
+#: Elements, and words in class or id, that say the same unless the ratios overrule them; words before which they say nothing.
+_DOUBTFUL = frozenset("header form".split())
+_DOUBTFUL_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
+_NEGATING = frozenset("has no not with without".split())
+#: Elements whose classes say nothing of where their text belongs.
+_ROOTS = frozenset("html body main article".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_OPEN = re.compile(r"<(?:(!--)|[!?]|/[^a-zA-Z]|(/?)([a-zA-Z][^\s/>]*))")
+_REST_OF_TAG = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
+_END_RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 _END_APART = re.compile(rf"</({'|'.join(sorted(_APART))})\s*>", re.I)
-_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _APART}
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
-#: Weight of a path's own ratio against its neighbours', and the share of the mean that content must reach.
+#: Weight of a path's own ratio against its container's, and the share of the page's mean that content must reach.
 SMOOTH, THRESHOLD = 0.5, 0.5
+#: What lying in an article adds to a path's ratio, and lying outside of one takes off, in shares of the mean.
+ARTICLE = 0.5
+#: Share of the page's mass that overrules a doubtful element, makes an article the page's, and of text in links that makes a path a menu.
+OVERRULE, DOMINANT, LINKS = 0.5, 0.3, 0.5
 
-#: Elements whose paragraphs are their own, whatever they are in.
-_HOLDS = _CLOSES_P | frozenset("html body li dd dt tr td th foreignobject template".split())
+_INSIDE, _MAYBE, _OUT = range(3)
+
+
+@dataclass
+class Tree:
+    """Tag paths as nodes, each after its parent, and the blocks of text in page order: (node, text, characters in links)."""
 
+    parent: list[int] = field(default_factory=lambda: [-1])
+    name: list[str] = field(default_factory=lambda: [""])
+    says: list[int] = field(default_factory=lambda: [_INSIDE])
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)
+    known: dict[tuple[int, str, int], int] = field(default_factory=dict)
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
-    """Blocks of a page in order: path of block elements from the root, whether it lies outside of articles, its text."""
-    found: list[tuple[tuple[str, ...], bool, str]] = []
-    stack: list[tuple[str, str, bool]] = []  # element, its step in the path, whether it is outside
+    def child(self, node: int, name: str, step: str, says: int) -> int:
+        key = (node, step, says)
+        if key not in self.known:
+            self.known[key] = len(self.parent)
+            self.parent.append(node)
+            self.name.append(name)
+            self.says.append(says)
+        return self.known[key]
+
+
+def _says(name: str, marks: dict[str, str]) -> int:
+    """What an element's name, role and classes say of its text."""
+    if name in _OUTSIDE or "hidden" in marks or marks.get("role") in _OUTSIDE_ROLES:
+        return _OUT
+    if name in _ROOTS:
+        return _INSIDE
+    said = _MAYBE if name in _DOUBTFUL else _INSIDE
+    for word in f"{marks.get('class', '')} {marks.get('id', '')}".split():
+        parts = [p for p in re.split(r"[-_]+", word) if p]
+        if _NEGATING.intersection(parts):
+            continue
+        if _COMMENT_WORDS.intersection(parts):
+            return _OUT
+        if _DOUBTFUL_WORDS.intersection(parts):
+            said = _MAYBE
+    return said
+
+
+def tree_of(page: str) -> Tree:
+    """The tag paths and blocks of a page, in one pass over it."""
+    tree = Tree()
+    stack: list[tuple[str, int]] = []  # element, node
+    count: Counter[str] = Counter()  # of open elements
     words: list[str] = []
+    links, in_link = 0, False
     at, size = 0, len(page)
-    last = {m[1].lower(): m.start() for m in _END_APART.finditer(page)}
+    ends: dict[str, list[int]] = {}
+    for m in _END_APART.finditer(page):
+        ends.setdefault(m[1].lower(), []).append(m.start())
+    breaks = [m.start() for m in _BREAKS.finditer(page)] if ends else []
 
     def flush():
+        nonlocal links
         if words:
             text = _SPACE.sub(" ", html.unescape("".join(words))).strip()
             words.clear()
             if text:
-                found.append((tuple(s for _, s, _ in stack), bool(stack) and stack[-1][2], text))
+                tree.blocks.append((stack[-1][1] if stack else 0, text, min(links, len(text))))
+        links = 0
+
+    def cut(k: int):
+        for name, _ in stack[k:]:
+            count[name] -= 1
+        del stack[k:]
 
     while at < size:
-        m = _TOKEN.search(page, at)
+        m = _OPEN.search(page, at)
+        stop = m.start() if m else size
+        if stop > at:
+            words.append(page[at:stop])
+            links += stop - at if in_link else 0
         if not m:
-            words.append(page[at:])
             break
-        if m.start() > at:
-            words.append(page[at : m.start()])
         at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        if m[1] or not m[3]:  # a comment, or what counts as one
+            end = page.find("-->" if m[1] else ">", at if m[1] else stop)
+            at = size if end < 0 else end + (3 if m[1] else 1)
             continue
+        rest = _REST_OF_TAG.match(page, at)
+        if not rest:
+            break
+        at, name, closing, attributes = rest.end(), m[3].lower(), bool(m[2]), rest[1]
+        if name == "a":
+            in_link = not closing
         if name in _INLINE:
             continue
         if name == "br":
             words.append(" ")
             continue
         if name in _RAW:
-            if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if not closing and not attributes.endswith("/"):
+                end = _END_RAW[name].search(page, at)
                 at = end.end() if end else size
             continue
-        if name in _APART and not m[1]:
-            if m[3].endswith("/") and name == "svg":
-                continue
-            end = _END[name].search(page, at) if last.get(name, -1) >= at else None
-            if end and not _BREAKS.search(page, at, end.start()):
-                at = end.end()
+        if name in _APART and not closing:
+            if name == "svg" and attributes.endswith("/"):
                 continue
+            k = bisect_left(ends.get(name, ()), at)
+            if k < len(ends.get(name, ())):
+                end, b = ends[name][k], bisect_left(breaks, at)
+                if b == len(breaks) or breaks[b] >= end:
+                    at = page.index(">", end) + 1
+                    continue
         flush()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+        if closing:
+            if count[name]:
+                cut(max(k for k in range(len(stack)) if stack[k][0] == name) if stack[-1][0] != name else len(stack) - 1)
             continue
         if name in _VOID:
             continue
         if name in _CLOSES_P and stack and stack[-1][0] == "p":
-            stack.pop()
-        if name in _ENDS:
+            cut(len(stack) - 1)
+        if name in _ENDS and any(count[x] for x in _APART):
             for k in range(len(stack) - 1, -1, -1):
                 holder = stack[k][0]
-                if holder in _APART and (holder in _NO_BLOCKS or last.get(holder, -1) < at):
-                    del stack[k:]
+                if holder in _APART and (holder in _NO_BLOCKS or ends.get(holder, [-1])[-1] < at):
+                    cut(k)
                 elif holder in _HOLDS:
                     break
         for other in _SAME.get(name, ()):
             if stack and stack[-1][0] == other:
-                stack.pop()
-        marks = {a.lower(): (b or c or d or "").lower() for a, b, c, d in _ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
-        names = f"{marks.get('class', '')} {marks.get('id', '')}".split()
-        out = bool(stack) and stack[-1][2] or name in _OUTSIDE or marks.get("role") in _OUTSIDE_ROLES or "hidden" in marks or any(w in _OUTSIDE_WORDS or _OUTSIDE_WORDS & set(re.split(r"[-_]+", w)) for w in names)
-        if not m[3].endswith("/") or name not in _VOID:
-            stack.append((name, name + "".join("." + w for w in marks.get("class", "").split()), out))
+                cut(len(stack) - 1)
+        marks = {a.lower(): (b or c or d or "").lower() for a, b, c, d in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
+        step = ".".join([name, *marks.get("class", "").split()])
+        stack.append((name, tree.child(stack[-1][1] if stack else 0, name, step, _says(name, marks))))
+        count[name] += 1
     flush()
-    return found
+    return tree
 
 
-def main_text(page: str | None) -> str:
-    """Text of the blocks on content paths, joined by empty lines.
+def _sums(tree: Tree, of_node: np.ndarray) -> np.ndarray:
+    """The sum over each node and all below it."""
+    total = of_node.tolist()
+    for node in range(len(total) - 1, 0, -1):
+        total[tree.parent[node]] += total[node]
+    return np.array(total)
 
-    A tag path's ratio is the text on it for each of its blocks, fused with its
-    punctuation. Ratios are smoothed with those of the paths in the same container,
-    and containers whose ratio reaches a share of the page's mean hold the content:
-    all their blocks outside of menus and the like, short ones too. Where the page
-    marks articles, only paths through them compete.
-    """
-    blocks = [b for b in blocks_of(page or "") if not b[1]]
-    marked = [b for b in blocks if any(s.split(".")[0] in ("article", "main") for s in b[0])]
-    blocks = marked or blocks
-    if not blocks:
-        return ""
-    paths = list(dict.fromkeys(b[0] for b in blocks))
-    index = {p: k for k, p in enumerate(paths)}
-    of = np.array([index[b[0]] for b in blocks])
-    size = np.array([len(b[2]) for b in blocks], float)
-    marks = np.array([len(_PUNCTUATION.findall(b[2])) for b in blocks], float)
-    times = np.bincount(of)
-    ratio = np.bincount(of, size) / times * np.log1p(1 + np.bincount(of, marks) / times)
-    holder = [_container(p) for p in paths]
-    total: dict[tuple[str, ...], list[float]] = {}
-    for k, c in enumerate(holder):
-        sums = total.setdefault(c, [0.0, 0.0])
-        sums[0] += ratio[k] * times[k]
-        sums[1] += times[k]
-    level = np.array([total[c][0] / total[c][1] for c in holder])
+
+def _inherited(tree: Tree, own: np.ndarray) -> np.ndarray:
+    """Whether a node or one above it is marked."""
+    marked = own.tolist()
+    for node in range(1, len(marked)):
+        marked[node] = marked[node] or marked[tree.parent[node]]
+    return np.array(marked)
+
+
+def content_blocks(tree: Tree) -> np.ndarray:
+    """Which blocks are content."""
+    n = len(tree.parent)
+    of = np.array([b[0] for b in tree.blocks])
+    size = np.array([len(b[1]) for b in tree.blocks], float)
+    links = np.bincount(of, [b[2] for b in tree.blocks], n)
+    marks = np.bincount(of, [len(_PUNCTUATION.findall(b[1])) for b in tree.blocks], n)
+    times, chars = np.bincount(of, minlength=n), np.bincount(of, size, n)
+    each = np.maximum(times, 1)
+    ratio = (chars - links) / each * np.log1p(1 + marks / each)
+    says = np.array(tree.says)
+    out = _inherited(tree, says == _OUT)
+    mass = _sums(tree, np.where(out, 0, ratio * times))
+    named = np.array([name in ("article", "main") for name in tree.name])
+    articles = _sums(tree, (named & (_sums(tree, np.where(out, 0, times)) > 0)).astype(int))
+    overruled = (mass > OVERRULE * mass[0]) & ((articles > 0) | (articles[0] == 0) | _inherited(tree, named))
+    out = _inherited(tree, (says == _OUT) | ((says == _MAYBE) & ~overruled))
+    inside = (times > 0) & ~out
+    if not inside.any():
+        return np.zeros(len(of), bool)
+    mean = float((ratio * chars)[inside].sum() / max(chars[inside].sum(), 1))
+
+    # the nodes' containers, and the mean ratio on the paths of each
+    holder = np.zeros(n, int)
+    for node in range(1, n):
+        holder[node] = node if tree.name[node] in _CONTAINERS else holder[tree.parent[node]]
+    weight = np.where(inside, times, 0)
+    level = (np.bincount(holder, ratio * weight, n) / np.maximum(np.bincount(holder, weight, n), 1))[holder]
     smooth = SMOOTH * ratio + (1 - SMOOTH) * level
-    mean = float((smooth * times).sum() / times.sum())
-    content = {c for c, s in zip(holder, smooth) if s >= THRESHOLD * mean}
-    keep = np.array([any(c[: len(d)] == d for d in content) or bool(marked) for c in holder])
-    return "\n\n".join(b[2] for b, k in zip(blocks, of) if keep[k])
 
+    menu = links > LINKS * chars
+    mass = _sums(tree, np.where(inside, ratio * times, 0))
+    article = _inherited(tree, named & (mass >= DOMINANT * mass[0]) & (mass > 0))
+    bonus = np.where(article, ARTICLE, -ARTICLE) if article.any() else np.zeros(n)
+    good = inside & ~menu & (smooth + bonus * mean >= THRESHOLD * mean)
+    # what lies in a container that holds content goes with it
+    own = np.zeros(n, bool)
+    own[holder[good]] = True
+    own &= np.array([name not in ("", "html", "body") for name in tree.name])
+    good |= inside & ~menu & (_inherited(tree, own) | own[holder])
+    in_body = np.zeros(n, bool)
+    in_body[holder[good]] = True
+    good |= inside & ~menu & in_body[holder]
+    keep = good[of]
+    heading = np.array([tree.name[node] in _HEADINGS for node in of]) & inside[of]
+    for k in range(len(keep) - 2, -1, -1):  # a heading goes with what follows it
+        keep[k] |= heading[k] and keep[k + 1]
+    return keep
 
-def _container(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path down to the last sectioning step, so that paragraphs, headings and list items of one section go together."""
-    for k in range(len(path), 0, -1):
-        if path[k - 1].split(".")[0] in ("article", "main", "section", "div", "body", "td"):
-            return path[:k]
-    return ()
+
+def main_text(page: str | None) -> str:
+    """Text of a page's content blocks, joined by empty lines."""
+    tree = tree_of(page or "")
+    if not tree.blocks:
+        return ""
+    return "\n\n".join(b[1] for b, k in zip(tree.blocks, content_blocks(tree)) if k)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars (code points).
 
-    pages: page_id, url, html; further columns are left out. A null or empty html has
-    an empty text. Each page is read whole and by itself, so nothing is shuffled and
-    repeated pages give repeated rows.
+    pages: page_id, url, html; further columns, whatever their names, are left out. A
+    null or empty html, or one without content, has an empty text; an empty table gives
+    no rows. Each page is read whole and by itself in time that grows with its length,
+    so nothing is shuffled and repeated pages give repeated rows; null ids and urls stay
+    null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
