@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from .common import slices
 from .merges import MergeTable, merge_rounds
@@ -37,18 +38,38 @@ class WordBpe:
         letters = _byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + suffix] for c in letters], np.int64)
+        self.path = path
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.table = MergeTable.build([vocab[a] for a, _ in merges], [vocab[b] for _, b in merges], range(len(merges)), [vocab[a + b] for a, b in merges], len(self.tokens))
 
     def pieces(self, text: str) -> list[str]:
         """Words and added tokens of a text, in order. Added tokens are found before anything is normalized."""
         if "<|" not in text:
-            return self.words.findall(_normal(text))
+            return self.words_of(text)
         found = []
         for k, part in enumerate(self.split_added.split(text)):
-            found += [part] if k % 2 else self.words.findall(_normal(part))
+            found += [part] if k % 2 else self.words_of(part)
         return found
 
+    def words_of(self, text: str) -> list[str]:
+        """Words of a text without added tokens. Tables of characters differ by release; those that Python's don't have are looked up in the library's."""
+        if text.isascii():
+            return self.words.findall(text.lower())
+        if not _unknown()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
+            return self.words.findall(_normal(text))
+        text = _library(self.path).normalizer.normalize_str(text)
+        alike = "".join([self.stand_in(c) if _unknown()[ord(c)] else c for c in text])
+        return [text[m.start() : m.end()] for m in self.words.finditer(alike)]
+
+    def stand_in(self, char: str) -> str:
+        """A letter, digit or mark, as the library's pattern takes this character for one."""
+        if len(self.words_in_library("a" + char + "a")) == 1:
+            return "a"
+        return "1" if len(self.words_in_library("." + char + ".")) == 3 else "."
+
+    def words_in_library(self, text: str) -> list:
+        return _library(self.path).pre_tokenizer.pre_tokenize_str(text)
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers."""
         raw = [w.encode() for w in words]
@@ -75,11 +96,20 @@ def _byte_letters() -> list[str]:
 
 def _normal(text: str) -> str:
     """Composed and lower-cased letter by letter, so a final sigma is no special case. White space only parts words."""
-    if text.isascii():
-        return text.lower()
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+@functools.lru_cache(1)
+def _unknown() -> np.ndarray:
+    """Whether Python's tables have no character at each code point."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
+
+
+@functools.lru_cache(1)
+def _library(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
 @functools.lru_cache(1)
 def load(path: str) -> WordBpe:
     return WordBpe(path)
@@ -93,13 +123,13 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.R
     for batch in slices(batches, "text"):
         parts = [bpe.pieces(t) if t else [] for t in batch.column("text").to_pylist()]
         fresh = list({p for part in parts for p in part}.difference(cache))
-        known = dict(zip(fresh, bpe.encode_words(fresh))) if fresh else {}
-        if len(cache) + len(known) > CACHE_ROWS:
-            known |= {p: cache[p] for part in parts for p in part if p in cache}
+        cache.update(zip(fresh, bpe.encode_words(fresh)) if fresh else ())
+        yield batch, [np.frombuffer(b"".join(map(cache.__getitem__, part)), "<u4") for part in parts]
+        for p in fresh:
+            if len(p) > CACHE_CHARS:
+                del cache[p]
+        if len(cache) > CACHE_ROWS:
             cache = dict(fixed)
-        look = known | cache
-        yield batch, [np.frombuffer(b"".join(map(look.__getitem__, part)), "<u4") for part in parts]
-        cache.update((p, n) for p, n in known.items() if len(p) <= CACHE_CHARS)
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -128,7 +158,8 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, text: str = "text", key: st
     """Digest of encoding each whole text and decoding its ids again, without shipping either.
 
     A null text is an empty one: no ids, and the digests of nothing. Repeated rows
-    give repeated results, further columns are left out, a null key stays null.
+    give repeated results, further columns, whatever their names, are left out, a null
+    key stays null. Very long texts are encoded whole; an empty table gives no rows.
     """
 
     def run(batches):

@@ -56,7 +56,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, text: str
 
     The texts stay where the scan put them: no shuffle. A null text counts as an
     empty one: no bytes and no tokens. Ties, repeated rows and further columns
-    change nothing, as each row is counted by itself; a null key stays null.
+    change nothing, as each row is counted by itself; a null key stays null. Very long
+    texts are counted whole, and an empty table gives no rows.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,15 +65,14 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, text: str
         for batch in slices(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             parts = [_PRE_TOKEN.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-            fresh = {p for part in parts for p in part}.difference(cache)
-            known = dict(zip(fresh, count_pre_tokens(list(fresh), model_path))) if fresh else {}
-            if len(cache) + len(known) > CACHE_ROWS:
-                long = {p: cache[p] for part in parts for p in part if p in cache}
+            fresh = list({p for part in parts for p in part}.difference(cache))
+            cache.update(zip(fresh, count_pre_tokens(fresh, model_path)) if fresh else ())
+            totals = [sum(map(cache.__getitem__, part)) for part in parts]
+            for p in fresh:
+                if len(p) > CACHE_CHARS:
+                    del cache[p]
+            if len(cache) > CACHE_ROWS:
                 cache = {}
-                known |= long
-            look = cache | known if len(cache) < len(known) else known | cache
-            totals = [sum(map(look.__getitem__, part)) for part in parts]
-            cache.update((p, n) for p, n in known.items() if len(p) <= CACHE_CHARS)
             sizes = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

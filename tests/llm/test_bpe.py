@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -25,6 +26,13 @@ def test_counts_equal_the_library(spark):
     assert [(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got] == [(i, len((t or "").encode()), n := len(library.encode(t or "")), n > 50) for i, t in rows]
 
 
+def test_clashing_columns_and_very_long_texts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = "long words, " * 100_000
+    row = bpe.bpe_round_trip(spark.createDataFrame([(1, text, 7, "x", "k")], "doc_id long, text string, n_tokens int, ids string, key string"), path).first()
+    assert row.n_tokens == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+
+
 def test_encoding_and_decoding_equal_the_library(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
@@ -36,6 +44,18 @@ def test_encoding_and_decoding_equal_the_library(spark):
     assert [r.decoded for r in bpe.bpe_decode(got, path).collect()] == [library.decode(x, skip_special_tokens=False) for x in ids]
 
 
+@pytest.mark.parametrize("between", [" ", "a", "1.", "É"])
+def test_every_code_point_equals_the_library(between):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, mine = Tokenizer.from_file(path), bpe.load(path)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [between.join(chars[k : k + 1024]) for k in range(0, len(chars), 1024)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    got = [ids.tolist() for _, some in bpe.encoded([batch], path) for ids in some]
+    assert got == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert all(mine.decode(np.array(ids)) == library.decode(ids, skip_special_tokens=False) for ids in got[:200])
+
+
 def test_digests(spark):
     import hashlib
 
