@@ -16,8 +16,8 @@ from .common import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Bits of the filter that goes along with the plan (a fixed size); windows and words that may be broadcast.
-FILTER_BITS, BROADCAST_ROWS = 1 << 18, 100_000
+#: Least and most bits of the filter that goes along with the plan, and bits for each word in between; windows and words that may be broadcast.
+FILTER_BITS, MOST_FILTER_BITS, BITS_A_WORD, BROADCAST_ROWS = 1 << 18, 1 << 22, 32, 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -26,22 +26,22 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _bit(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(FILTER_BITS))
-
-
-def _filter_of(words: DataFrame) -> Column:
-    """A literal bit set of the words' hashes: FILTER_BITS bits however many words there are."""
-    bits = words.select(_bit(F.col("word")).alias("bit")).distinct().groupBy(F.expr("cast(bit div 64 as int)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).collect()
-    cells = [0] * (FILTER_BITS // 64)
+def _filter_of(words: DataFrame) -> list[int]:
+    """A bit set of the words' hashes, of a bounded size however many words there are."""
+    size = FILTER_BITS
+    n = words.limit(MOST_FILTER_BITS // BITS_A_WORD).count()
+    while size < n * BITS_A_WORD and size < MOST_FILTER_BITS:
+        size *= 2
+    bits = words.select(F.pmod(F.xxhash64("word"), F.lit(size)).alias("bit")).distinct().groupBy(F.expr("cast(bit div 64 as int)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).collect()
+    cells = [0] * (size // 64)
     for row in bits:
         cells[row.cell] = row.bits
-    return F.lit(cells)
+    return cells
 
 
-def _in_filter(word: Column, cells: Column) -> Column:
-    bit = _bit(word)
-    cell = F.get(cells, F.call_function("shiftright", bit, F.lit(6)).cast("int"))
+def _in_filter(word: Column, cells: list[int]) -> Column:
+    bit = F.pmod(F.xxhash64(word), F.lit(64 * len(cells)))
+    cell = F.get(F.lit(cells), F.call_function("shiftright", bit, F.lit(6)).cast("int"))
     return F.call_function("shiftright", cell, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
@@ -78,9 +78,14 @@ def prefixes(windows: DataFrame, docs: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row for each row of docs.
 
-    docs: doc_id, text. benchmark: item_id, text. Null and wordless texts have no words
-    and no windows; a null item_id's windows are found but name no item. Repeated rows
-    give repeated results. Items that share a window all count.
+    docs: doc_id, text. benchmark: item_id, text. Further columns, whatever their names,
+    are left out. Null and wordless texts have no words and no windows; a null item_id's
+    windows are found but name no item. Repeated rows give repeated results. Items that
+    share a window all count. Very long texts are read whole. Without items nothing is
+    contaminated; without documents there are no rows.
+
+    The texts are read once for the words' counts and once for the places where a prefix
+    may be; those are few, and only they take part in the joins.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     windows = materialize(item_windows(benchmark.select("item_id", "text"), window))
@@ -90,22 +95,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     def hits(words: Column) -> Column:
         places = F.array_compact(F.transform(words, lambda w, i: F.when(_in_filter(w, cells), i)))
-        found = F.transform(places, lambda i: F.struct(F.get(words, i).alias("token"), i.alias("place"), F.greatest(i - reach, F.lit(0)).alias("first"), F.slice(words, F.greatest(i - reach, F.lit(0)) + 1, 2 * window - 1).alias("near")))
-        none = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("array<string>").alias("near")))
-        return F.concat(none, found)  # the first one stands for the row itself
+        first = lambda i: F.greatest(i - reach, F.lit(0))
+        return F.transform(places, lambda i: F.struct(F.get(words, i).alias("token"), i.alias("place"), first(i).alias("first"), F.slice(words, first(i) + 1, 2 * window - 1).alias("near")))
 
     held = F.transform(F.array(words_of(F.col("text"))), lambda words: F.struct(F.size(words).alias("n"), hits(words).alias("hits")))
-    rows = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("of_text"), F.explode(held).alias("held")).select("doc_id", "of_text", "held.n", F.explode("held.hits").alias("hit")).select("doc_id", "of_text", "n", "hit.*")
+    read = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("of_text"), F.explode(held).alias("held"))
+    read = materialize(read.select("doc_id", "of_text", "held.*"))
     start = F.col("place") - F.col("at")
     probes = _small(ready.select("token", "at", "length").distinct())
-    lying = rows.join(probes, "token", "left").withColumn("start", F.when((start >= 0) & (start + F.col("length") <= F.col("n")), start)).where("token is null or start is not null")
-    lying = lying.withColumn("window", F.when(F.col("token").isNotNull(), F.concat_ws(" ", F.slice("near", F.col("start") - F.col("first") + 1, F.greatest("length", F.lit(1))))))
-    matched = lying.join(_small(windows.withColumn("seen", F.lit(True))), "window", "left")
-    matched = matched.where("token is null or seen")
-    spans = F.collect_set(F.when(F.col("seen"), F.struct("start", "length")))
-    grouped = matched.groupBy("doc_id", "of_text").agg(F.max("n").alias("n"), F.count(F.when(F.col("token").isNull(), 1)).alias("rows"), spans.alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    lying = read.select("doc_id", "of_text", "n", F.explode("hits").alias("hit")).select("doc_id", "of_text", "n", "hit.*").join(probes, "token")
+    lying = lying.withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n")))
+    lying = lying.withColumn("window", F.concat_ws(" ", F.slice("near", F.col("start") - F.col("first") + 1, F.col("length"))))
+    matched = lying.join(_small(windows), "window").select("doc_id", "of_text", F.struct("start", "length").alias("span"), "item_id")
+    rows = read.select("doc_id", "of_text", "n", F.lit(1).alias("row")).unionByName(matched, allowMissingColumns=True)
+    grouped = rows.groupBy("doc_id", "of_text").agg(F.max("n").alias("n"), F.count("row").cast("int").alias("rows"), F.collect_set("span").alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
-    done = grouped.select(
-        "doc_id", F.col("n").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "rows"
-    )
-    return done.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy")).drop("copy")
+    sha = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    done = grouped.select("doc_id", F.col("n").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), "rows")
+    each = F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy")
+    return done.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), each).drop("copy")
