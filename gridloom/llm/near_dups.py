@@ -8,7 +8,7 @@ Documents with the same shingle set form one class, which takes part once. A buc
 2. Components of the confirmed links are found. Buckets whose members are now in one
    component are done. In the others, members outside of the least member's component
    are held against all members, in blocks of bounded size, by their signatures alone;
-   what the signatures do not rule out is compared exactly.
+   only what the signatures do not rule out gets its texts and is compared exactly.
 
 So every two documents that share a bucket are compared, unless they are in one
 component already or their signatures rule the link out.
@@ -36,7 +36,7 @@ PERCENT = 75
 #: Pairs whose signatures agree in a smaller share are no candidates (five standard deviations under 0.75).
 LEAST_AGREEMENT = 0.6
 #: Members of a block, and ids that may be broadcast.
-BLOCK, BROADCAST_IDS = 1024, 500_000
+BLOCK, BROADCAST_IDS = 512, 500_000
 CACHE_ROWS = 200_000
 _RNG = np.random.RandomState(20240229)
 _A = (_RNG.randint(0, 2**63, BANDS * ROWS, np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -148,7 +148,7 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets are similar enough. docs: doc_id, text; of equal ids any row will do, as their sets are the same."""
+    """Pairs (a, b) whose full shingle sets are similar enough. docs: doc_id, text; an id on unlike texts has the links of all of them."""
     texts = _texts(docs, pairs.selectExpr("a as doc_id").union(pairs.select("b")).distinct())
     joined = pairs.join(texts.selectExpr("doc_id as a", "text as text_a"), "a").join(texts.selectExpr("doc_id as b", "text as text_b"), "b")
 
@@ -167,26 +167,52 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _stray_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) of stray members with members of other components of their bucket, block by block.
+def _stray_candidates(rows: DataFrame) -> DataFrame:
+    """bucket, i, j, probe, node, component, marks: members of blocks in which some signatures leave a link between components possible.
 
-    rows: bucket, node, component, marks, text, stray, blocks and stray_blocks (how many
-    the bucket's members, and its strays, are dealt into). A stray is held against a
-    block's full sets at once if any signature there lets a link be possible; of its
-    links with one component one is enough.
+    rows: bucket, node, component, marks, stray, blocks and stray_blocks (how many the
+    bucket's members, and its strays, are dealt into). Strays of block i are held against
+    members of block j by their signatures, and only those of both sides that match one
+    go on. Signatures have a fixed size, so no text is repeated here.
     """
     slot = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     base = rows.withColumn("j", slot("blocks", 1)).withColumn("i", steps("stray_blocks")).withColumn("probe", F.lit(False))
     probes = rows.where("stray").withColumn("i", slot("stray_blocks", 2)).withColumn("j", steps("blocks")).withColumn("probe", F.lit(True))
-    dealt = base.unionByName(probes).select("bucket", "i", "j", "probe", "node", "component", "marks", "text").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    keys, columns = ["bucket", "i", "j"], ["bucket", "i", "j", "probe", "node", "component", "marks"]
+    dealt = base.unionByName(probes).select(columns).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches):
-        shingler = Shingler()
-        for group in groups_of(batches, ["bucket", "i", "j"]):
+        for group in groups_of(batches, keys):
             probe = group.column("probe").to_numpy(zero_copy_only=False)
             if probe.all() or not probe.any():
                 continue
+            component = group.column("component").to_numpy()
+            marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8).reshape(len(probe), -1)
+            right, found = np.flatnonzero(~probe), np.zeros(len(probe), bool)
+            for k in np.flatnonzero(probe).tolist():
+                near = (component[right] != component[k]) & (agreement(marks[right], marks[k]) >= LEAST_AGREEMENT)
+                if near.any():
+                    found[k] = True
+                    found[right[near]] = True
+            if found.any():
+                yield from group.filter(pa.array(found)).combine_chunks().to_batches()
+
+    return dealt.mapInArrow(run, "bucket long, i int, j int, probe boolean, node long, component long, marks binary")
+
+
+def _stray_links(candidates: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components, block by block. candidates: as _stray_candidates gives them, with their texts.
+
+    Of a stray's links with one component one is enough.
+    """
+    keys = ["bucket", "i", "j"]
+    dealt = candidates.select(*keys, "probe", "node", "component", "marks", "text").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches):
+        shingler = Shingler()
+        for group in groups_of(batches, keys):
+            probe = group.column("probe").to_numpy(zero_copy_only=False)
             node, component = group.column("node").to_numpy(), group.column("component").to_numpy()
             marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8).reshape(len(probe), -1)
             sets = [shingler.set_of(t) for t in group.column("text").to_pylist()]
@@ -216,7 +242,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     A text without words, or null, has no shingles and is linked with nothing: its own
     id is its component. Repeated rows and exact copies have one set and so one
     component. A null id takes part in links but never names a component; where no
-    other id does, component_id is null and the row is kept.
+    other id does, component_id is null and the row is kept. Very long texts are read
+    whole, further columns are left out, and an empty table gives no rows. An id
+    that stands on unlike texts is one document with the links of all of them.
     """
     docs = docs.selectExpr(f"cast(`{key}` as long) as doc_id", f"`{text}` as text")
     rows = materialize(sketch(docs))
@@ -237,9 +265,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     blocks = lambda n: F.ceil(F.col(n) / BLOCK)
     rest = placed.join(open_buckets, "bucket").select("bucket", "node", "component", "stray", blocks("size").alias("blocks"), blocks("strays").alias("stray_blocks"))
     if open_buckets.limit(1).count():
-        rest = materialize(rest)
-        texts = _texts(docs, rest.selectExpr("node as doc_id").distinct()).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
-        more = _stray_links(rest.join(marks.join(texts, "node"), "node"), percent)
+        near = materialize(_stray_candidates(rest.join(marks, "node")))
+        texts = _texts(docs, near.selectExpr("node as doc_id").distinct()).distinct().withColumnRenamed("doc_id", "node")
+        more = _stray_links(near.join(texts, "node"), percent)
         found = connected_components(found.selectExpr("node as a", "component as b").where("a <> b").union(more))
     named = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     joined = rows.select("doc_id", "n", "digest").join(materialize(named), "digest", "left")

@@ -65,6 +65,21 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert near_dups.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_very_long_texts_and_clashing_columns(spark):
+    words = [f"w{k}" for k in range(60_000)]
+    rows = [(1, " ".join(words), "a"), (2, " ".join(words[:55_000] + ["x"]), "b"), (3, " ".join(reversed(words)), "c"), (4, "w " * 100_000, "d")]
+    df = spark.createDataFrame([(*r, 0, "m", 1) for r in rows], "doc_id long, text string, node string, n int, marks string, kept int")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dups.near_duplicates(df).collect()}
+    assert got == {1: (59_996, 1, True), 2: (54_997, 1, False), 3: (59_996, 3, True), 4: (1, 4, True)}
+
+
+def test_an_id_on_unlike_texts_has_the_links_of_all(spark):
+    one, other, third = (" ".join(f"{c}{k}" for k in range(20)) for c in "abc")
+    rows = [(1, one), (1, other), (2, one), (3, other), (4, third)]
+    got = {(r.doc_id, r.component_id) for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_bands_miss_no_link_by_chance():
     assert (1 - 0.75**near_dups.ROWS) ** near_dups.BANDS < 5e-5
 
