@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the weights are learnt from at most.
-SAMPLE_ROWS = 4000
+#: Documents that the weights are learnt from at most, their greatest length, and how many like tokens along skip edges count.
+SAMPLE_ROWS, SAMPLE_CHARS, MOST_ALONG = 4000, 50_000, 3
 #: Passes of messages, and the least belief in a label that adds a span.
 PASSES, BELIEF = 8, 0.9
 
@@ -277,20 +277,22 @@ def _training_rows(text: str) -> list[tuple]:
     for i, j in graph.skip:
         along[j, labels[i]] += 1
         along[i, labels[j]] += 1
-    return [tuple(map(tuple, (f, b, a, s))) + (int(y),) for f, y, b, a, s in zip(graph.features, labels, before, after, along)]
+    return [tuple(map(tuple, (f, b, a, s))) + (int(y),) for f, y, b, a, s in zip(graph.features, labels, before, after, np.minimum(along, MOST_ALONG))]
 
 
 def fit_pii(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Crf:
     """Learns the potentials from the patterns' own labels in at most `rows` texts that hold digits or an "@", by the least hash.
 
-    Tasks count equal nodes together, so that what comes to the driver is a table of
-    distinct feature rows.
+    Texts of more than SAMPLE_CHARS characters are not learnt from. Tasks count equal
+    nodes together, so that what comes to the driver is a table of distinct feature rows:
+    as many as features, labels of two neighbours and MOST_ALONG skip edges can make.
     """
-    ids = docs.select(F.col(key).cast("long").alias("key"), F.col(text).rlike("[0-9@]").alias("hint")).where("hint and key is not null").select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(rows).collect()
+    hint = F.col(text).rlike("[0-9@]") & (F.length(text) <= SAMPLE_CHARS)
+    ids = docs.select(F.col(key).cast("long").alias("key"), hint.alias("hint")).where("hint and key is not null").select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(rows).collect()
     if not ids:
         return fit_crf([])
     chosen = docs.sparkSession.createDataFrame([(r.key,) for r in ids], "key long")  # `rows` at most
-    taken = docs.selectExpr(f"cast(`{key}` as long) as key", f"`{text}` as text").where("text is not null").join(F.broadcast(chosen), "key")
+    taken = docs.selectExpr(f"cast(`{key}` as long) as key", f"`{text}` as text").where(f"length(text) <= {SAMPLE_CHARS}").join(F.broadcast(chosen), "key")
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -301,7 +303,7 @@ def fit_pii(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int
             flat = [[*f, *b, *a, *s] for f, b, a, s, _ in counts]
             yield pa.RecordBatch.from_arrays([pa.array(flat, pa.list_(pa.float64())), pa.array([k[-1] for k in counts], pa.int32()), pa.array(counts.values(), pa.int64())], names=["x", "y", "times"])
 
-    counted = taken.select("text").mapInArrow(run, "x array<double>, y int, times long").groupBy("x", "y").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "x", "y").limit(20 * rows).collect()
+    counted = taken.select("text").mapInArrow(run, "x array<double>, y int, times long").groupBy("x", "y").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "x", "y").collect()
     cut = [N_FEATURES, N_FEATURES + LABELS, N_FEATURES + 2 * LABELS]
     return fit_crf([(r.x[: cut[0]], r.y, r.x[cut[0] : cut[1]], r.x[cut[1] : cut[2]], r.x[cut[2] :], r.times) for r in counted])
 
@@ -313,7 +315,9 @@ def _written(spans: list[tuple[int, int, int]]) -> str:
 def personal_data(docs: DataFrame, crf: Crf, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (matches of the fixed patterns), base_sha256, spans (all).
 
-    Null and empty texts have no spans. Rows stay where they are; each is read whole.
+    Null and empty texts have no spans. Rows stay where they are; each is read whole,
+    however long. Repeated rows give repeated results, a null key stays null, further
+    columns, whatever their names, are left out, and an empty table gives no rows.
     """
 
     def run(batches):

@@ -1,9 +1,10 @@
+import hashlib
 import random
 import re
 
 import numpy as np
 
-from gridloom.llm import pii
+from gridloom.llm import pii, queries
 
 PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -76,3 +77,16 @@ def test_numbers_over_several_tokens_are_linked():
     graph = pii.graph_of(text, pii.base_spans(text))
     assert [text[a:b] for a, b in graph.spans][:8] == ["+1", "(456)", "555", "2186", "456", "555", "2186", "4565552186,"]
     assert graph.skip == [(3, 4), (3, 5), (3, 6), (6, 7)]
+
+
+def test_the_query_equals_plain_regular_expressions(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op9_personal_data(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = plain(texts[r.doc_id])
+        written = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for _, k, _ in base) for kind in range(4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest() and {*written} <= {*r.spans.split(",")} | {""}
+    assert any(r.n_email for r in got) and any(r.n_card for r in got)
