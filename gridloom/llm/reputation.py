@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -14,6 +16,15 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 DEVIATIONS, BOUND = 1.645, 0.5
 #: A table of hosts up to this size goes to every task; a larger one is joined by salted keys.
 BROADCAST_HOSTS, SALTS = 50_000, 32
+#: Suffixes of two labels that domains are registered under; all others have one label.
+SUFFIXES = tuple(f"{kind}.{land}" for land, kinds in {
+    "uk": "ac co gov ltd me net nhs org plc police sch", "au": "asn com edu gov id net org", "nz": "ac co geek gen govt iwi maori net org school",
+    "jp": "ac ad co ed go gr lg ne or", "kr": "ac co go ne or pe re", "cn": "ac com edu gov net org", "tw": "com edu gov idv net org",
+    "hk": "com edu gov idv net org", "in": "ac co edu firm gen gov ind net org", "br": "com edu gov net org", "ar": "com edu gob net org",
+    "mx": "com edu gob net org", "za": "ac co gov net org web", "tr": "bel com edu gov k12 net org", "il": "ac co gov k12 net org", "id": "ac co go net or sch web",
+    "th": "ac co go in net or", "my": "com edu gov net org", "sg": "com edu gov net org", "ph": "com edu gov net org", "pl": "com edu gov net org", "ua": "com edu gov net org",
+}.items() for kind in kinds.split())
+_ADDRESS = r"^([0-9]+(\.[0-9]+){3}|\[.*\])$"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -25,13 +36,23 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels of a host, its registered domain where suffixes have one label."""
-    return F.substring_index(host, ".", -2)
+def name_of(host: Column) -> Column:
+    """A host without what may stand around it: user names before an "@", a port, a last dot."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"\.?(:[0-9]*)?$", "")
+
+
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The registered domain: the suffix and one label before it. An address is a domain of its own."""
+    name = name_of(host)
+    labels = F.when(F.substring_index(name, ".", -2).isin(*suffixes), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    return F.when(name.rlike(_ADDRESS), name).otherwise(labels)
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """What domains are registered under. Addresses have one in common."""
+    name = name_of(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(_ADDRESS), "(address)").when(two.isin(*suffixes), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def rule_columns(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
@@ -75,14 +96,16 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     or 0; rows without either are no outcomes. A rule's verdict comes first. Hosts
     that nothing is known of take their domain's or suffix's reputation. A null url,
     or one without "://", has an empty host and path, which form a host of their own.
-    Repeated pages give repeated rows. Outcomes are counted per host before anything
+    Repeated pages give repeated rows; very long urls are read whole, further columns,
+    whatever their names, are left out, and a table without pages gives no rows. Hosts
+    are counted once, written, and read for each level. Outcomes are counted per host before anything
     is joined, and the join is by broadcast or by salted hosts, so a host that holds
     a third of all pages is spread over many tasks.
     """
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     seen = outcomes.where("url is not null and good is not null").select(host_of(F.col("url")).alias("host"), F.col("good").cast("long").alias("good"), F.lit(1).alias("n"))
     every = seen.unionByName(urls.select("host", F.lit(0).cast("long").alias("good"), F.lit(0).alias("n")))
-    hosts = every.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    hosts = materialize(every.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
     judged = host_reputation(hosts).select("host", F.when(F.col("mean") - deviations * F.col("deviation") >= bound, "allow").otherwise("block").alias("by_host"))
     if hosts.limit(broadcast_hosts + 1).count() <= broadcast_hosts:
         joined = urls.join(F.broadcast(judged), "host", "left")

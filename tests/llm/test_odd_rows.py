@@ -47,6 +47,18 @@ def test_decontamination_equals_brute_force(spark):
     assert Counter(map(tuple, got.collect())) == Counter(brute_hits(docs, items))
 
 
+def test_decontamination_by_shuffled_joins(spark, monkeypatch):
+    """With nothing small enough to broadcast the result is the same, and no join has null keys."""
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choices(("a", "b", "C", "dd", "e"), k=n))
+    items, docs = [(k, say(12)) for k in range(8)], [(k, say(rng.randrange(30))) for k in range(50)] + [(None, None), (None, say(30)), (7, "")]
+    docs += [(100 + k, say(4) + " " + items[k][1]) for k in range(8)]
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    got = decontamination.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == Counter(brute_hits(docs, items))
+    assert "LeftOuter" not in got._jdf.queryExecution().toString()
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b", "", "", "")], DOCS), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert decontamination.contamination(docs.limit(0), items).count() == 0
@@ -67,6 +79,20 @@ def test_urls(spark):
     assert {r.verdict for r in reputation.judge_urls(pages, seen.limit(0)).collect()} <= {"allow", "block"}
 
 
+def test_registered_domains_and_suffixes(spark):
+    rows = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.example.org:8080": ("example.org", "org"), "u@www.a.com.": ("a.com", "com"), "10.0.0.1:80": ("10.0.0.1", "(address)"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in rows], "host string")
+    got = df.select("host", reputation.domain_of(F.col("host")).alias("d"), reputation.suffix_of(F.col("host")).alias("s")).collect()
+    assert {r.host: (r.d, r.s) for r in got} == rows
+
+
+def test_very_long_urls(spark):
+    path = "/p" * 500_000
+    pages = spark.createDataFrame([(1, "x://A.net" + path + "?q"), (2, "x://" + "a." * 100_000 + "net/")], "page_id long, url string")
+    got = {r.page_id: r for r in reputation.judge_urls(pages, spark.createDataFrame([("x://a.net/", 1)], "url string, good int")).collect()}
+    assert (got[1].host, got[1].path) == ("a.net", path) and len(got[2].host) == 200_003
+
+
 def test_salted_hosts_give_the_same_verdicts(spark):
     pages = spark.createDataFrame([(k, f"x://h{k % 7}.net/{k}") for k in range(100)] + [(None, None)], "page_id long, url string")
     seen = spark.createDataFrame([(f"x://h{k % 7}.net/", int(k % 7 < 3)) for k in range(200)], "url string, good int")

@@ -49,3 +49,36 @@ def test_each_row_is_judged_by_its_own_text(spark):
     docs = spark.createDataFrame([(1, bad), (1, other), (None, bad), (None, other)], "doc_id long, text string")
     got = corpus_pipeline.drop_contaminated(spark, docs, SF)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, other), (None, other)]))
+
+
+def test_quality_judges_rows_with_null_and_repeated_ids(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    known = spark.read.parquet(f"{SF}/documents.parquet").join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id").collect()
+    model = corpus_pipeline.quality.fit_quality(spark.read.parquet(f"{SF}/documents.parquet"), labels, corpus_pipeline.crc_is(3, 1))
+    scored = {r.doc_id: r.score for r in corpus_pipeline.quality.score_quality(spark.read.parquet(f"{SF}/documents.parquet"), model).collect()}
+    good, bad = (f(known, key=lambda r: scored[r.doc_id]) for f in (max, min))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, good.text), (None, bad.text), (10**9, bad.text), (10**9, good.text)], "doc_id long, text string")
+    got = corpus_pipeline.keep_quality(spark, docs.select("doc_id", "text").unionByName(odd), SF)
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert (None, good.text) in kept and (None, bad.text) not in kept and (10**9, bad.text) not in kept and (10**9, good.text) in kept
+
+
+def test_stages_take_empty_tables_long_texts_and_further_columns(spark):
+    long = " ".join(f"word{k % 5000}" for k in range(300_000))
+    rows = [(1, long, "x", "s", 1.5), (2, None, "x", None, None), (3, "", "x", "s", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string, span string, rank double")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        got = stage(spark, docs, SF)
+        assert sorted(r.doc_id for r in got.collect()) == [1, 2, 3], name
+        if name != "bpe":
+            assert got.columns == docs.columns and {r.text for r in got.collect()} == {long, None, ""}
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.keep_quality(spark, docs.limit(0), SF).count() == 0
+
+
+def test_the_result_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.selectExpr("cast(null as long) as doc_id", "text")).unionByName(docs.selectExpr("doc_id div 2 as doc_id", "concat(text, ' and more') as text"))
+    got = [sorted(map(str, map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs.repartition(n), SF).collect()))) for n in (1, 7)]
+    assert got[0] == got[1]
