@@ -10,10 +10,8 @@ from gridloom.llm import bpe, decontamination, near_dups, pii, quality
 from gridloom.llm.common import materialize, table
 from gridloom.llm.queries import crc_is
 
-#: Rejected rows up to this number are broadcast, more are joined by a shuffle.
+#: Rejected rows up to this number are broadcast, more are joined by a shuffle; the column that numbers the rows of a stage.
 BROADCAST_IDS = 500_000
-
-
 ROW = "_row"
 
 
@@ -34,7 +32,7 @@ def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be good."""
+    """Documents that the quality classifier predicts to be good. A null text is judged as an empty one; each row by its own text, with or without an id."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), crc_is(3, 1))
     rows = _numbered(docs)
     return _without(rows, quality.score_quality(_by_row(rows), model).where("predicted = 0"))
@@ -53,15 +51,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs. Null and empty texts stay, as rows without an id do where their text is clean."""
     rows = _numbered(docs)
     return _without(rows, decontamination.contamination(_by_row(rows), table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind; n_chars follows the text."""
+    """All documents, personal data in their texts replaced by its kind; n_chars, where there is one, follows the text. Null texts stay null."""
     cleaned = pii.redact(docs, pii.fit_pii(docs))
-    return cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast(dict(docs.dtypes)["n_chars"]), F.col("n_chars"))).select(docs.columns)
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return cleaned.select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
