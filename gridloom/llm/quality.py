@@ -15,16 +15,19 @@ from .common import slices
 
 #: Texts, and trusted positives, that the fit sees at most.
 SAMPLE_ROWS = 6000
-_MARKS = np.frombuffer(b"#$%&*|!~^=<>{}[]\\_@", np.uint8)
-_STOPS = np.frombuffer(b".,;:'\"?()-", np.uint8)
+_FOLDS = 5
+#: ASCII signs that are no sentence punctuation, and those that are.
+_MARKS, _STOPS = (np.frombuffer(x, np.uint8) for x in (b"#$%&*+/<=>@[\\]^_`{|}~", b".,;:!?'\"()-"))
+_ENDS = frozenset(_MARKS.tobytes())
 _UPPER_WORD = re.compile(rb"(?<![A-Za-z])[A-Z]{2,}(?![a-z])")
+_BARE_WORD = re.compile(rb"(?<!\S)[^\sA-Za-z0-9\x80-\xff]+(?!\S)")
 
 
 def features(text: str | None) -> np.ndarray:
     """Style of a whole text: shares of kinds of characters, words and lines. An empty text has zeros."""
     raw = (text or "").encode()
     words = raw.split()
-    out = np.zeros(20)
+    out = np.zeros(19)
     if not words:
         return out
     count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
@@ -33,13 +36,13 @@ def features(text: str | None) -> np.ndarray:
     kinds = len(set(words))
     same = sum(a == b for a, b in zip(words, words[1:]))
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    marked = sum(w[-1] in b"#$%&*|!~" for w in words)
+    marked = sum(w[-1] in _ENDS for w in words)
     share = count[count > 0] / size
     out[:] = (
         count[_MARKS].sum() / size, count[_STOPS].sum() / size, count[48:58].sum() / size, count[65:91].sum() / max(1, letters),
         count[128:].sum() / size, letters / size, (count[32] + count[9:14].sum()) / size, np.log1p(n) / 5, size / n / 10,
         kinds / n, kinds / n**0.75, same / n, marked / n, len(_UPPER_WORD.findall(raw)) / n, len(set(lines)) / len(lines),
-        np.log1p(n / len(lines)) / 5, sum(len(w) <= 3 for w in words) / n, -(share * np.log(share)).sum() / 4, count[124] / n, count[33] / n,
+        np.log1p(n / len(lines)) / 5, sum(len(w) <= 3 for w in words) / n, -(share * np.log(share)).sum() / 4, len(_BARE_WORD.findall(raw)) / n,
     )
     return out
 
@@ -76,39 +79,49 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(min(ratios, default=0.5), 0.05, 0.98))
 
 
+def _descended(gradient, size: int, steps: int, rate: float, decay: float) -> np.ndarray:
+    """Weights after so many steps of Adam down a gradient, all but the constant's drawn to zero."""
+    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+    for t in range(1, steps + 1):
+        g = gradient(w) + decay * np.r_[w[:-1], 0]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The risk's two terms, positive and negative, and the step's gradient: against the negative term alone where that is below zero."""
+    zp, zu = p @ w, u @ w
+    sp, su = _sigmoid(zp), _sigmoid(zu)
+    positive = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    push = su @ u / len(u) - prior * (sp @ p / len(p))
+    return positive, negative, -push if negative < 0 else push - prior * ((1 - sp) @ p / len(p))
+
+
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> PuModel:
     """Minimises prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) for the logistic loss l.
 
     Where the second term would fall below zero, the step goes against it, as the
-    non-negative estimator prescribes. The prior is estimated from a first fit that
-    tells positives from unlabelled texts.
+    non-negative estimator prescribes. The prior is estimated from first fits that tell
+    positives from unlabelled texts, each on four fifths of both, by the scores of the
+    rest: scores of the rows fitted on would set the positives too far apart.
     """
     both = np.vstack([positive, unlabelled])
     decay = max(decay, 2 / len(both))
     model = PuModel(both.mean(0), both.std(0) + 1e-6, np.zeros(2 * both.shape[1] + 1), 0.5)
     p, u = model.expand(positive), model.expand(unlabelled)
 
-    def descend(gradient, steps):
-        w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
-        for t in range(1, steps + 1):
-            g = gradient(w) + decay * np.r_[w[:-1], 0]
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        return w
-
-    def first(w):
-        return -(1 - _sigmoid(p @ w)) @ p / len(p) + _sigmoid(u @ w) @ u / len(u)
-
-    w = descend(first, steps // 2)
-    model.prior = prior = class_prior(p @ w, u @ w)
-
-    def risk(w):
-        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
-        negative = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
-        push = su @ u / len(u) - prior * (sp @ p / len(p))
-        return -push if negative < 0 else push - prior * ((1 - sp) @ p / len(p))
+    def apart(some_p, some_u):
+        return lambda w: -(1 - _sigmoid(some_p @ w)) @ some_p / max(1, len(some_p)) + _sigmoid(some_u @ w) @ some_u / max(1, len(some_u))
 
-    model.weights = descend(risk, steps)
+    score_p, score_u = np.zeros(len(p)), np.zeros(len(u))
+    for fold in range(_FOLDS):
+        rest_p, rest_u = np.arange(len(p)) % _FOLDS == fold, np.arange(len(u)) % _FOLDS == fold
+        w = _descended(apart(p[~rest_p], u[~rest_u]), p.shape[1], steps // 2, rate, decay)
+        score_p[rest_p], score_u[rest_u] = p[rest_p] @ w, u[rest_u] @ w
+    model.prior = class_prior(score_p, score_u)
+    model.weights = _descended(lambda w: risk_gradient(w, p, u, model.prior)[2], p.shape[1], steps, rate, decay)
     return model
 
 
@@ -147,9 +160,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, held_out, text: str = "text"
 
 
 def score_quality(docs: DataFrame, model: PuModel | None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Scores every whole text: doc_id, score, predicted. Null texts are scored as empty ones; without a model all score 0.5.
+    """Scores every whole text, however long: doc_id, score, predicted. Null texts are scored as empty ones; without a model all score 0.5.
 
-    No row moves: the model is a few hundred numbers that go with the task.
+    Repeated rows give repeated results, a null key stays null, further columns,
+    whatever their names, are left out, and an empty table gives no rows. No row moves: the model is a few hundred numbers that go with the task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
