@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Labelled texts that the fit sees at most.
-SAMPLE_ROWS = 16_000
+#: Labelled texts that the fit sees at most, and their greatest length in characters.
+SAMPLE_ROWS, SAMPLE_CHARS = 16_000, 50_000
 BITS = 20
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 CACHE_ROWS = 200_000
@@ -24,13 +24,14 @@ CACHE_ROWS = 200_000
 
 @dataclass
 class Ftrl:
-    """Rates and penalties of the per-coordinate updates. l1 is that for SAMPLE_ROWS texts; fewer get less, by the root."""
+    """Rates and penalties of the per-coordinate updates, and how much a toxic text weighs. l1 is that for SAMPLE_ROWS texts; fewer get less, by the root."""
 
-    alpha: float = 1.0
+    alpha: float = 3.0
     beta: float = 1.0
-    l1: float = 8.0
+    l1: float = 32.0
     l2: float = 0.05
     epochs: int = 5
+    weight: float = 3.0
 
 
 class Hasher:
@@ -54,11 +55,9 @@ class Hasher:
         return np.unique(np.r_[np.uint64(0), np.concatenate(grams) >> np.uint64(64 - BITS)]).astype(np.int32)
 
 
-def train(texts: list[str | None], labels: list[int], how: Ftrl) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes and weights that are not zero after going over the texts in the order given."""
-    z, n, l1 = np.zeros(1 << BITS), np.zeros(1 << BITS), how.l1 * (len(texts) / SAMPLE_ROWS) ** 0.5
-    hasher = Hasher()
-    rows = [(hasher.indexes(t), y) for t, y in zip(texts, labels)]
+def train(rows: list[tuple[np.ndarray, int]], how: Ftrl) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes and weights that are not zero after going over the rows (distinct indexes, label) in the order given."""
+    z, n, l1 = np.zeros(1 << BITS), np.zeros(1 << BITS), how.l1 * (len(rows) / SAMPLE_ROWS) ** 0.5
 
     def weights(at):
         w = (np.sign(z[at]) * l1 - z[at]) / ((how.beta + np.sqrt(n[at])) / how.alpha + how.l2)
@@ -67,7 +66,7 @@ def train(texts: list[str | None], labels: list[int], how: Ftrl) -> tuple[np.nda
     for _ in range(how.epochs):
         for at, y in rows:
             w = weights(at)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y
+            g = (1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y) * (how.weight if y else 1)
             step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / how.alpha
             z[at] += g - step * w
             n[at] += g * g
@@ -79,8 +78,10 @@ def train(texts: list[str | None], labels: list[int], how: Ftrl) -> tuple[np.nda
 def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out, text: str = "text", key: str = "doc_id", label: str = "toxic", rows: int = SAMPLE_ROWS, how: Ftrl | None = None) -> dict[int, float]:
     """Sparse weights, learnt in one task from at most `rows` labelled texts, those with the least hash of their key.
 
-    held_out: a condition on the key; labels of such rows are never read. Nothing to
-    learn from gives no weights.
+    held_out: a condition on the key; labels of such rows are never read. Texts of more
+    than SAMPLE_CHARS characters are not learnt from. Their grams are hashed where the
+    texts are, so only indexes go to the task that learns. Nothing to learn from gives
+    no weights.
     """
     how = how or Ftrl()
     known = labels.selectExpr(f"cast(`{key}` as long) as key", f"cast(`{label}` as int) as y").where("key is not null and y is not null")
@@ -88,21 +89,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out, text: str = "text
     if not ids:
         return {}
     chosen = docs.sparkSession.createDataFrame([(r.key, r.y) for r in ids], "key long, y int")  # `rows` at most
-    taken = docs.selectExpr(f"cast(`{key}` as long) as key", f"`{text}` as text").join(F.broadcast(chosen), "key")
-    taken = taken.groupBy("key").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    taken = docs.selectExpr(f"cast(`{key}` as long) as key", f"`{text}` as text").where(f"text is null or length(text) <= {SAMPLE_CHARS}").join(F.broadcast(chosen), "key")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in slices(batches, "text"):
+            indexes = pa.array([hasher.indexes(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), indexes], names=["key", "y", "indexes"])
+
+    grams = taken.select("key", "y", "text").mapInArrow(hashed, "key long, y int, indexes array<int>")
+    grams = grams.groupBy("key").agg(F.min("indexes").alias("indexes"), F.min("y").alias("y"))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("key", key=lambda k: k.map(lambda x: zlib.crc32(str(x).encode())))
-        at, w = train(part["text"].tolist(), part["y"].tolist(), how)
+        at, w = train([(np.asarray(x), y) for x, y in zip(part["indexes"], part["y"])], how)
         return pd.DataFrame({"at": at, "w": w})
 
-    return {r.at: r.w for r in taken.groupBy().applyInPandas(fit, "at long, w double").collect()}
+    return {r.at: r.w for r in grams.groupBy().applyInPandas(fit, "at long, w double").collect()}
 
 
 def score_toxicity(docs: DataFrame, weights: dict[int, float], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Scores every whole text: doc_id, score, predicted. A null text is an empty one and gets the constant's score.
+    """Scores every whole text, however long: doc_id, score, predicted. A null text is an empty one and gets the constant's score.
 
-    The sparse weights go along with each task; no row moves.
+    Repeated rows give repeated results, a null key stays null, further columns,
+    whatever their names, are left out, and an empty table gives no rows. The sparse weights go along with each task; no row moves.
     """
     at, w = np.array([*weights], np.int64), np.array([*weights.values()], np.float64)
 

@@ -118,7 +118,7 @@ def test_unclosed_elements_do_not_empty_the_page(before):
     assert html_text.main_text(page) == f"Flood\n\n{story} Then E=3 it ended.".replace("  ", " ")
 
 
-@pytest.mark.parametrize("query, label, least", [("op1_quality", "quality", 0.85), ("op6_toxicity", "toxic", 0.95)])
+@pytest.mark.parametrize("query, label, least", [("op1_quality", "quality", 0.95), ("op6_toxicity", "toxic", 0.95)])
 def test_held_out_accuracy(spark, query, label, least):
     scored = queries.QUERIES[query](spark, SF)
     known = scored.join(spark.read.parquet(f"{SF}/labels.parquet").where(f"{label} is not null"), "doc_id").where("held_out")
