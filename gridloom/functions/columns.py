@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Readings that stand for "none", edges of the fraction classes, land-cover codes.
+#: Readings that stand for "none", edges of the fraction classes, metres of a degree on the sphere, land-cover codes.
 SENTINELS = (-9999.0, -28672.0)
 FRACTION_EDGES = (0.1, 0.2125, 0.325, 0.4375, 0.55, 0.6625, 0.775, 0.8875, 1.0)
+METRES_PER_DEGREE = 2 * math.pi * 6_378_137 / 360
 LAND_COVER = (10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 100)
 
 
@@ -80,7 +82,12 @@ def two_sigma(value: Column, mean: Column, std: Column) -> Column:
 def metres_per_degree(lat: Column) -> tuple[Column, Column]:
     """Metres of one degree of latitude and of longitude at a latitude."""
     a = F.radians(lat)
-    return 111132.92 - 559.82 * F.cos(2 * a) + 1.175 * F.cos(4 * a) - 0.0023 * F.cos(6 * a), 111412.84 * F.cos(a) - 93.5 * F.cos(3 * a) + 0.118 * F.cos(5 * a)
+    return 111132.954 - 559.822 * F.cos(2 * a) + 1.175 * F.cos(4 * a) - 0.0023 * F.cos(6 * a), 111412.84 * F.cos(a) - 93.5 * F.cos(3 * a) + 0.118 * F.cos(5 * a)
+
+
+def degree_spacing(lat: Column, step_x: float, step_y: float) -> tuple[Column, Column]:
+    """Metres of steps in degrees along a row at a latitude, and along a column, on the sphere."""
+    return step_x * METRES_PER_DEGREE * F.cos(F.radians(lat)), F.lit(step_y * METRES_PER_DEGREE)
 
 
 def box_around(lat: Column, lon: Column, half_metres: float) -> Column:
@@ -153,6 +160,41 @@ def turned(y: Column, x: Column, size: int, choice: Column) -> tuple[Column, Col
     return new_y, new_x
 
 
+def ablated(value: Column, band: Column, step: Column, hidden: Sequence[str] = (), only: Sequence[str] | None = None, first: Column | None = None, last: Column | None = None) -> Column:
+    """Whether a reading is masked: it is missing, its band is hidden, it is before `first`, or it is at `last` and not of the bands kept there."""
+    masked = value.isNull()
+    if hidden:
+        masked = masked | band.isin(*hidden)
+    if first is not None:
+        masked = masked | (step < first)
+    if last is not None:
+        masked = masked | ((step == last) & (~band.isin(*only) if only else F.lit(True)))
+    return masked
+
+
+def hemisphere_month(lat: Column, north: Column, south: Column) -> Column:
+    """The season of the place's own half of the globe."""
+    return F.when(lat < 0, south).otherwise(north)
+
+
+def patch_of(row: Column, col: Column, size: int, rows: int, cols: int) -> Column:
+    """The patch that a pixel is in, and whether the pixel is on the raster."""
+    return F.struct(F.floor(row / size).alias("row"), F.floor(col / size).alias("col"), (row.between(0, rows - 1) & col.between(0, cols - 1)).alias("inside"))
+
+
+def reclassified(label: Column, classes: dict[int, int]) -> Column:
+    """Labels by a mapping; null for all others."""
+    found = F.lit(None).cast("int")
+    for old, new in classes.items():
+        found = F.when(label == old, new).otherwise(found)
+    return found
+
+
+def row_major_id(row: Column, col: Column, first_row: int, first_col: int, width: int) -> Column:
+    """The number of a cell, counted row by row from the south and west."""
+    return (row - first_row) * width + col - first_col
+
+
 def hash_rank_key(seed: str, *keys: Column) -> Column:
     """A number-free random order that is the same whatever the partitions."""
     return F.md5(F.concat_ws("|", F.lit(seed), *[k.cast("string") for k in keys]))

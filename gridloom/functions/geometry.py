@@ -104,3 +104,16 @@ def hash_number(seed: str, *keys: Column) -> Column:
     """A number below 2^32 from a seed and keys, the same on every run."""
     text = F.concat_ws("|", F.lit(seed), *[k.cast("string") for k in keys])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def random_window(key: Column, years: Sequence[int], first: str, last: str, days: int) -> Column:
+    """A window of `days` days within a season (first and last MM-dd) of one of the years, by hashes of a key: year, first_day, last_day.
+
+    A season that goes over the new year belongs to the year that it begins in. The last
+    day of a window is at most the season's last.
+    """
+    year = F.element_at(F.array(*[F.lit(y) for y in years]), (hash_number("year", key) % len(years) + 1).cast("int"))
+    at = lambda y, day: F.to_date(F.concat_ws("-", y.cast("string"), F.lit(day)))
+    start, stop = at(year, first), at(year + 1 if first > last else year, last)
+    day = F.date_add(start, (hash_number("day", key) % (F.datediff(stop, start) - days + 2)).cast("int"))
+    return F.struct(year.alias("year"), day.alias("first_day"), F.date_add(day, days - 1).alias("last_day"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.operators.steps import written
+
 
 def cells_by_days(cells: DataFrame, days: DataFrame) -> DataFrame:
     """Every cell on every day; both sides are dimensions, the result is what is asked for."""
@@ -60,14 +65,39 @@ def bilinear(target: DataFrame, pixels: DataFrame, keys: Sequence[str], value: s
     return joined.groupBy("target_id").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum(valid), F.lit(0.0))).alias(value))
 
 
-def nearest_point(grid: DataFrame, swath: DataFrame, size: float, value: str) -> DataFrame:
-    """Reading of the nearest swath point to each grid position (grid_id, x, y), within the 3 x 3 buckets around it; null if none is there."""
-    cell = lambda c: F.floor(F.col(c) / size)
+def nearest_point(grid: DataFrame, swath: DataFrame, size: float, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Reading of the nearest swath point to each grid position (grid_id, x, y) among those of equal keys: (*keys, grid_id, value).
+
+    grid and swath have the keys. Of points equally near the one with the lesser
+    point_id counts; null only where no point has the position's keys. A position looks
+    into the 3 x 3 buckets around it. Where nothing is there, or something beyond could be
+    nearer than the best found, it looks again in buckets twice as wide, so that most
+    positions are done after a round or two.
+    """
+    ids = [*keys, "grid_id"]
+    points = swath.select(*keys, "point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col(value).alias("v"))
+    ends = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
+    places = grid.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if ends[0] is None or places[0] is None:
+        return grid.select(*ids, F.lit(None).cast(swath.schema[value].dataType).alias(value))
+    reach = max(max(ends[1], places[1]) - min(ends[0], places[0]), max(ends[3], places[3]) - min(ends[2], places[2]))
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    asked = grid.withColumn("n", near).select("grid_id", "x", "y", (cell("x") + F.col("n.a")).alias("bx"), (cell("y") + F.col("n.b")).alias("by"))
-    points = swath.select(F.col("point_id"), F.col("x").alias("px"), F.col("y").alias("py"), F.col(value).alias("v"), cell("x").alias("bx"), cell("y").alias("by"))
-    d = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2
-    return asked.join(points, ["bx", "by"], "left").groupBy("grid_id").agg(F.min_by("v", F.when(F.col("point_id").isNotNull(), F.struct(d, "point_id"))).alias(value))
+    left, found = grid.select(*ids, "x", "y"), None
+    while True:
+        cell = lambda c: F.floor(F.col(c) / size)
+        asked = left.withColumn("n", near).select(*ids, "x", "y", (cell("x") + F.col("n.a")).alias("bx"), (cell("y") + F.col("n.b")).alias("by"))
+        d = F.when(F.col("point_id").isNotNull(), F.struct(((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2).alias("d"), "point_id"))
+        seen = asked.join(points.withColumns({"bx": cell("px"), "by": cell("py")}), [*keys, "bx", "by"], "left")
+        best = seen.groupBy(*ids).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.min(d).alias("best"), F.min_by("v", d).alias(value))
+        inside = lambda c: F.least(F.col(c) - cell(c) * size, (cell(c) + 1) * size - F.col(c)) + size
+        sure = F.coalesce(F.col("best.d") < F.least(inside("x"), inside("y")) ** 2, F.lit(False)) if size <= reach else F.lit(True)
+        best = written(best.withColumn("sure", sure))
+        done = best.where("sure").select(*ids, value)
+        found = done if found is None else found.unionByName(done)
+        left = best.where("not sure").select(*ids, "x", "y")
+        if not left.limit(1).count():
+            return found
+        size *= 2
 
 
 def nearest_in_time(requests: DataFrame, images: DataFrame, keys: Sequence[str], asked: str, taken: str, image: str) -> DataFrame:
@@ -87,25 +117,67 @@ def nearest_in_time(requests: DataFrame, images: DataFrame, keys: Sequence[str],
     return both.select("request_id", chosen["img"].alias(image), chosen["at"].alias(taken))
 
 
-def knn_predict(queries: DataFrame, base: DataFrame, k: int, blocks: int = 8) -> DataFrame:
-    """Mean label of the k nearest rows of base (id, v, label) by Euclidean distance for each query (query_id, q).
+def knn_predict(queries: DataFrame, base: DataFrame, most: Sequence[int], block: int = 2048) -> DataFrame:
+    """(query_id, k, mean_label, n): mean label of the k nearest rows of base (id, v, label) by Euclidean distance, for each query (query_id, q) and each k in `most`.
 
-    Base is dealt into blocks that each keep the k best of a query, so what is merged is
-    blocks x k rows for a query.
+    A row of base is no neighbour of a query of its own id; equal distances go by id.
+    Both sides are dealt into blocks of about `block` rows, each pair of which keeps the
+    best of its queries, so what is merged is the blocks of base times the greatest k.
     """
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    d = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    scored = asked.join(dealt, "block").select("query_id", "block", "id", "label", d.alias("d"))
-    within = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "block").orderBy("d", "id"))).where(F.col("r") <= k)
-    top = within.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where(F.col("r") <= k)
-    return top.groupBy("query_id").agg(F.avg("label").alias("mean_label"), F.count(F.lit(1)).alias("k"))
+    many = lambda df: max(1, math.ceil(df.count() / block))
+    ni, nj, best = many(queries), many(base), max(most)
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    slot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = queries.select("query_id", "q", slot("query_id", ni).alias("i"), steps(nj).alias("j"))
+    dealt = base.select("id", "v", "label", slot("id", nj).alias("j"), steps(ni).alias("i"))
+
+    def nearest(asked: pd.DataFrame, dealt: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or dealt.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "label": [], "d": []})
+        v, ids = np.vstack(dealt["v"].to_numpy()).astype(float), dealt["id"].to_numpy()
+        rows = []
+        for query, q in zip(asked["query_id"], asked["q"]):
+            d = ((v - np.asarray(q, float)) ** 2).sum(axis=1)
+            d[ids == query] = np.inf
+            first = np.flatnonzero(d <= np.partition(d, min(best, len(d)) - 1)[min(best, len(d)) - 1])
+            first = first[np.isfinite(d[first])]
+            first = first[np.lexsort((ids[first], d[first]))][:best]
+            rows.append(pd.DataFrame({"query_id": query, "id": ids[first], "label": dealt["label"].to_numpy()[first], "d": d[first]}))
+        return pd.concat(rows)
+
+    scored = asked.groupBy("i", "j").cogroup(dealt.groupBy("i", "j")).applyInPandas(nearest, "query_id long, id long, label double, d double")
+    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where(F.col("r") <= best)
+    each = ranked.withColumn("k", F.explode(F.array(*[F.lit(k) for k in most]))).where("r <= k")
+    return each.groupBy("query_id", "k").agg(F.avg("label").alias("mean_label"), F.count(F.lit(1)).alias("n"))
 
 
 def not_yet_done(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return wanted.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def needed_minus_present(needed: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct keys that are needed and not there."""
+    return needed.select(*keys).subtract(present.select(*keys))
+
+
+def nearest_pixels(target: DataFrame, pixels: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The reading of the pixel that each fractional (y, x) of target lies in, null if there is none: target's columns and the reading."""
+    named = pixels.select(*keys, F.col("y").cast("long").alias("_y"), F.col("x").cast("long").alias("_x"), value)
+    return target.withColumns({"_y": F.floor("y"), "_x": F.floor("x")}).join(named, [*keys, "_y", "_x"], "left").drop("_y", "_x")
+
+
+def paired_in_time(predictions: DataFrame, labels: DataFrame, keys: Sequence[str], step: str, value: str, lead: int = 1) -> DataFrame:
+    """Predictions beside the labels of `lead` steps later: keys, step, prediction, label."""
+    later = labels.select(*keys, (F.col(step) - lead).cast(labels.schema[step].dataType).alias(step), F.col(value).alias("label"))
+    return predictions.select(*keys, step, F.col(value).alias("prediction")).join(later, [*keys, step])
+
+
+def region_split(boxes: DataFrame, region: dict[str, float], box: dict[str, Column]) -> DataFrame:
+    """Adds `part`: scenes whose box meets the region are "test", so that no ground is seen in both parts."""
+    meets = (box["min_x"] <= region["max_x"]) & (box["max_x"] >= region["min_x"]) & (box["min_y"] <= region["max_y"]) & (box["max_y"] >= region["min_y"])
+    return boxes.withColumn("part", F.when(meets, "test").otherwise("train"))
+
+
 def upsample(coarse: DataFrame, fine: DataFrame, keys: Sequence[str], factor: int, value: str) -> DataFrame:
     """Every fine pixel with the reading of the coarse pixel that it lies in."""
     block = [F.floor(F.col("y") / factor).alias("cy"), F.floor(F.col("x") / factor).alias("cx")]

@@ -32,6 +32,11 @@ def fit_forest(df: DataFrame, features: Sequence[str], label: str, trees: int =
     return forest.fit(assembled(df.where(f"`{label}` is not null"), features, [label]))
 
 
+def predicted(model, df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """`keep` and the model's `prediction` of every row that has all features."""
+    return model.transform(assembled(df, features, keep)).select(*keep, "prediction")
+
+
 def score_batches(df: DataFrame, score: Callable[[pd.DataFrame], pd.Series], keys: Sequence[str], key_schema: str) -> DataFrame:
     """keys and `score` of every row by the user's function on batches; a score outside [0, 1] is an error."""
 

@@ -20,15 +20,22 @@ def forward_fill(df: DataFrame, keys: Sequence[str], step: str, value: str) -> D
 
 
 def median_fill(df: DataFrame, pixel: Sequence[str], space: Sequence[str], tier: Sequence[str], value: str, out: str = "value_filled") -> DataFrame:
-    """Fills by the lower median over a pixel's time, then over space of what that filled, then by the tier's mean."""
-    over = lambda c, keys, f: f(c).over(Window.partitionBy(*keys))
-    timed = df.withColumn("_t", F.coalesce(F.col(value), over(value, pixel, lower_median)))
-    spaced = timed.withColumn("_s", F.coalesce(F.col("_t"), over("_t", space, lower_median)))
-    return spaced.withColumn(out, F.coalesce(F.col("_s"), over("_s", tier, F.avg))).drop("_t", "_s")
+    """Fills by the lower median over a pixel's time, then over space of what that filled, then by the tier's mean.
 
+    Tiers hold most of all pixels, so their means are aggregated and joined back, not taken over a window.
+    """
+    over = lambda c, keys: lower_median(c).over(Window.partitionBy(*keys))
+    timed = df.withColumn("_t", F.coalesce(F.col(value), over(value, pixel)))
+    spaced = timed.withColumn("_s", F.coalesce(F.col("_t"), over("_t", space)))
+    means = spaced.groupBy(*tier).agg(F.avg("_s").alias("_m"))
+    return spaced.join(means, list(tier), "left").withColumn(out, F.coalesce("_s", "_m")).drop("_t", "_s", "_m")
 
-def slope_aspect(df: DataFrame, keys: Sequence[str], height: str, size_x: float, size_y: float) -> DataFrame:
-    """Slope and aspect in degrees by the third-order stencil on 3 x 3 pixels; edges repeat themselves."""
+
+def slope_aspect(df: DataFrame, keys: Sequence[str], height: str, size_x: Column | float, size_y: Column | float) -> DataFrame:
+    """Slope and aspect in degrees by the third-order stencil on 3 x 3 pixels; edges repeat themselves.
+
+    The sizes of a pixel may be columns: in degrees, that along a row depends on its latitude.
+    """
     along_x, along_y = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
     z = F.col(height)
     rows = df.withColumn("_w", F.coalesce(F.lag(z).over(along_x), z)).withColumn("_e", F.coalesce(F.lead(z).over(along_x), z)).withColumn("_r", F.struct("_w", z.alias("_c"), "_e"))
@@ -56,13 +63,31 @@ def quota(df: DataFrame, keys: Sequence[str], ids: Sequence[str], most: int, see
     return df.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")
 
 
+def sampled(df: DataFrame, ids: Sequence[str], rows: int, seed: str) -> DataFrame:
+    """A sample of so many rows by a seeded hash of their ids, the same whatever the partitions."""
+    return df.orderBy(hash_rank_key(seed, *[F.col(i) for i in ids]), *ids).limit(rows)
+
+
+def best_and_worst(df: DataFrame, score: str, name: str, most: int) -> DataFrame:
+    """The rows with the greatest and the least score: kind (best or worst), and the rows' columns. Equal scores go by name."""
+    best, worst = df.orderBy(F.desc(score), name).limit(most), df.orderBy(score, name).limit(most)
+    return best.select(F.lit("best").alias("kind"), "*").union(worst.select(F.lit("worst").alias("kind"), "*"))
+
+
 def split_exact(df: DataFrame, groups: Sequence[str], share: float, seed: str, strata: Sequence[str] = ()) -> DataFrame:
-    """Adds `part`: ceil(share * n) groups of each stratum are "test". Rows of one group stay together."""
-    names = df.select(*strata, *groups).distinct()
-    order = Window.partitionBy(*(strata or [F.lit(0)])).orderBy(hash_rank_key(seed, *[F.col(g) for g in groups]), *groups)
-    every = Window.partitionBy(*(strata or [F.lit(0)]))
-    ranked = names.withColumn("_k", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(every))
-    return df.join(ranked.select(*strata, *groups, F.when(F.col("_k") <= F.ceil(F.col("_n") * share), "test").otherwise("train").alias("part")), [*strata, *groups])
+    """Adds `part`: ceil(share * n) groups of each stratum are "test". Rows of one group stay together.
+
+    Groups are ranked by their hash. Those that begin alike are counted first, so that a
+    group's rank is the number before its beginning and its rank among the groups there.
+    """
+    names = df.select(*strata, *groups).distinct().withColumn("_h", hash_rank_key(seed, *[F.col(g) for g in groups])).withColumn("_b", F.substring("_h", 1, 4))
+    counts = names.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_in"))  # 65,536 for each stratum at most
+    stratum = Window.partitionBy(*(strata or [F.lit(0)]))
+    before = F.sum("_in").over(stratum.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_in")
+    counts = counts.select(*strata, "_b", before.alias("_before"), F.sum("_in").over(stratum).alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", *groups)) + F.col("_before")
+    parts = names.join(counts, [*strata, "_b"]).select(*strata, *groups, F.when(rank <= F.ceil(F.col("_n") * share), "test").otherwise("train").alias("part"))
+    return df.join(parts, [*strata, *groups])
 
 
 def exact_ratio_mask(df: DataFrame, sample: Sequence[str], token: Sequence[str], valid: str, encode: float, decode: float, seed: str) -> DataFrame:

@@ -11,13 +11,13 @@ from gridloom.operators import clipping as K
 from gridloom.operators import joins as J
 from gridloom.operators import series as W
 from gridloom.operators.adapters import fetch
-from gridloom.plans.queries import _RING, OBS, ORACLE_SQL, POINTS, PX, SCENES, _ring_sql, observations, pixels, points, query, r, scenes, table
+from gridloom.plans.queries import _RING, OBS, ORACLE_SQL, POINTS, PX, SCENES, _ring_sql, _terrain, observations, pixels, points, query, r, scenes, table
 from gridloom.sources import names as N
 from gridloom.sources import sinks as S
 
 
 def _readings(spark, sf_dir, value):
-    keys = [(F.col("l_suppkey") % 20).alias("cell"), (F.col("l_orderkey") % 40).alias("day"), F.col("l_returnflag").alias("band")]
+    keys = [F.col("l_suppkey").alias("cell"), (F.col("l_orderkey") % 40).alias("day"), F.col("l_returnflag").alias("band")]
     order = [F.col("l_linenumber").alias("proc"), F.col("l_orderkey").alias("scene"), F.col("l_partkey").alias("tie")]
     return table(spark, sf_dir, "lineitem").select(*keys, *order, value.cast("double").alias("value"))
 
@@ -27,7 +27,7 @@ def _adapter(name: str, sql: str, value, newest: str, whole: bool) -> None:
     other = "scene" if newest == "proc" else "proc"
     kept = "CASE WHEN count(value) OVER (PARTITION BY cell, day) = count(*) OVER (PARTITION BY cell, day) THEN value END" if whole else "value"
 
-    sql = f"""WITH p AS (SELECT l_suppkey % 20 AS cell, l_orderkey % 40 AS day, l_returnflag AS band, l_linenumber AS proc, l_orderkey AS scene, l_partkey AS tie, CAST({sql} AS DOUBLE) AS value FROM lineitem),
+    sql = f"""WITH p AS (SELECT l_suppkey AS cell, l_orderkey % 40 AS day, l_returnflag AS band, l_linenumber AS proc, l_orderkey AS scene, l_partkey AS tie, CAST({sql} AS DOUBLE) AS value FROM lineitem),
 f AS (SELECT cell, day, band, arg_min(value, (-{newest}, {other}, tie)) AS value FROM p WHERE value IS NOT NULL GROUP BY ALL),
 k AS (SELECT c.cell, d.day, b.band FROM (SELECT DISTINCT cell FROM p) c, (SELECT DISTINCT day FROM p) d, (SELECT DISTINCT band FROM p) b),
 j AS (SELECT k.*, f.value FROM k LEFT JOIN f USING (cell, day, band)) SELECT cell, day, band, round({kept}, 4) AS value FROM j"""
@@ -49,27 +49,25 @@ _adapter("d07_scaled_bands_keep_fill", "CASE WHEN l_quantity = 7 THEN 7 ELSE l_q
 _adapter("d10_land_cover", "CASE WHEN l_linenumber < 7 THEN l_linenumber * 10 END", lambda: F.when(F.col("l_linenumber") < 7, F.col("l_linenumber") * 10), "scene", False)
 
 
-@query(f"""WITH {POINTS}, s AS (SELECT id, id % 2 AS pass, lon, lat, CASE WHEN nation <> 7 THEN nation * 0.5 + 1 END AS v FROM points), g AS (SELECT s_suppkey AS grid_id, s_suppkey % 7 AS cell, (s_suppkey * 53 % 360) - 180.0 AS x, s_acctbal / 100 - 45 AS y FROM supplier),
-d AS (SELECT g.grid_id, cell, p.pass, s.v, row_number() OVER (PARTITION BY g.grid_id, p.pass ORDER BY (g.x - s.lon) ^ 2 + (g.y - s.lat) ^ 2, s.id) AS k FROM g CROSS JOIN (VALUES (0), (1)) p(pass) LEFT JOIN s ON s.pass = p.pass AND abs(floor(g.x / 20) - floor(s.lon / 20)) <= 1 AND abs(floor(g.y / 20) - floor(s.lat / 20)) <= 1),
+@query(f"""WITH {POINTS}, s AS (SELECT id, id % 2 AS pass, lon, lat, CASE WHEN nation <> 7 THEN nation * 0.5 + 1 END AS v FROM points), g AS (SELECT s_suppkey AS grid_id, s_suppkey // 7 AS cell, (s_suppkey * 53 % 360) - 180.0 AS x, s_acctbal / 100 - 45 AS y FROM supplier),
+d AS (SELECT g.grid_id, cell, p.pass, s.v, row_number() OVER (PARTITION BY g.grid_id, p.pass ORDER BY (g.x - s.lon) ^ 2 + (g.y - s.lat) ^ 2, s.id) AS k FROM g CROSS JOIN (SELECT DISTINCT id % 2 AS pass FROM points) p LEFT JOIN s ON s.pass = p.pass),
 n AS (SELECT * FROM d WHERE k = 1), c AS (SELECT cell, pass, count(v) AS c FROM n GROUP BY ALL), b AS (SELECT cell, arg_min(pass, (-c, pass)) AS pass FROM c GROUP BY cell)
 SELECT n.cell, n.grid_id, n.pass, n.v AS value FROM n JOIN b ON n.cell = b.cell AND n.pass = b.pass""")
 def d05_swath_radiance(spark, sf_dir):
     swath = points(spark, sf_dir).select(F.col("id").alias("point_id"), (F.col("id") % 2).alias("pass"), F.col("lon").alias("x"), F.col("lat").alias("y"), C.decode_scaled(F.col("nation"), 7, 0.5, 1.0).alias("value"))
-    grid = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("grid_id"), (F.col("s_suppkey") % 7).alias("cell"), ((F.col("s_suppkey") * 53 % 360) - F.lit(180.0)).alias("x"), (F.col("s_acctbal") / 100 - 45).alias("y"))
-    seen = [J.nearest_point(grid, swath.where(F.col("pass") == p), 20.0, "value").withColumn("pass", F.lit(p).cast("long")) for p in (0, 1)]
-    found = seen[0].unionByName(seen[1]).join(grid.select("grid_id", "cell"), "grid_id")
+    grid = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("grid_id"), F.floor(F.col("s_suppkey") / 7).alias("cell"), ((F.col("s_suppkey") * 53 % 360) - F.lit(180.0)).alias("x"), (F.col("s_acctbal") / 100 - 45).alias("y"))
+    every = grid.crossJoin(swath.select("pass").distinct())  # a day's passes are few
+    found = J.nearest_point(every, swath, 20.0, "value", ["pass"]).join(grid.select("grid_id", "cell"), "grid_id")
     best = A.best_overpass(found, ["cell"], "pass", "value").select("cell", "pass")
     return found.join(best, ["cell", "pass"]).select("cell", "grid_id", "pass", "value")
 
 
-@query(f"""WITH s AS ({ORACLE_SQL["w04_slope"]}), t AS (SELECT c_custkey AS target_id, CAST(floor(c_custkey % 240 / 10.0) AS BIGINT) AS y, CAST(floor(c_nationkey + 0.5) AS BIGINT) AS x, c_nationkey % 9 = 0 AS void FROM customer)
-SELECT target_id, CASE WHEN NOT void THEN slope END AS slope FROM t JOIN s ON t.y = s.y AND t.x = s.x""")
+@query(f"""WITH s AS ({ORACLE_SQL["w04_slope"]}), t AS (SELECT c_custkey AS target_id, c_custkey // 15 + 1 AS cell, CAST(floor(c_custkey % 97 / 10.0) AS BIGINT) AS y, CAST(floor(c_nationkey % 10 + 0.5) AS BIGINT) AS x, c_nationkey % 9 = 0 AS void FROM customer)
+SELECT target_id, CASE WHEN NOT void THEN slope END AS slope FROM t LEFT JOIN s ON t.cell = s.cell AND t.y = s.y AND t.x = s.x""")
 def d09_terrain(spark, sf_dir):
-    y, x = F.col("l_partkey") % 25, F.col("l_orderkey") % 25
-    z = table(spark, sf_dir, "lineitem").groupBy(y.alias("y"), x.alias("x")).agg(F.max("l_quantity").alias("q")).withColumn("z", F.col("q") + 0.37 * F.col("y"))
-    native = W.slope_aspect(z, [], "z", 10.0, 10.0).select("y", "x", "slope")
-    target = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target_id"), F.floor(F.col("c_custkey") % 240 / 10).alias("y"), F.floor(F.col("c_nationkey") + F.lit(0.5)).alias("x"), (F.col("c_nationkey") % 9 == 0).alias("void"))
-    return target.join(native, ["y", "x"]).select("target_id", r(F.when(~F.col("void"), F.col("slope"))).alias("slope"))
+    native = _terrain(spark, sf_dir).select("cell", "y", "x", "slope")
+    target = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target_id"), (F.floor(F.col("c_custkey") / 15) + 1).alias("cell"), (F.col("c_custkey") % 97 / 10).alias("y"), (F.col("c_nationkey") % 10 + F.lit(0.5)).alias("x"), (F.col("c_nationkey") % 9 == 0).alias("void"))
+    return J.nearest_pixels(target, native, ["cell"], "slope").select("target_id", r(F.when(~F.col("void"), F.col("slope"))).alias("slope"))
 
 
 @query(f"""WITH {POINTS} SELECT id, CASE WHEN nation > 0 THEN CAST(printf('%.4f', lon) AS DOUBLE) END AS first_lon, CASE WHEN nation > 0 THEN CAST(printf('%.4f', lat + 2) AS DOUBLE) END AS top FROM points""")
@@ -82,10 +80,10 @@ def s10_metadata_footprints(spark, sf_dir):
     return rows.select("id", F.get("f", F.lit(0))["lon"].alias("first_lon"), F.array_max(F.transform("f", lambda p: p["lat"])).alias("top"))
 
 
-@query(f"""WITH {PX} SELECT cell, t, count(*) AS n, count(*) = 70 AS whole FROM px GROUP BY cell, t""")
+@query(f"""WITH {PX} SELECT cell, t, count(*) AS n, count(*) = 60 AS whole FROM px GROUP BY cell, t""")
 def s18_checked_samples(spark, sf_dir):
     samples = pixels(spark, sf_dir).groupBy("cell", "t").agg(F.collect_list(F.struct("y", "x", "value")).alias("pixels"))
-    good, wrong = S.checked_samples(samples, {"pixels": 70})
+    good, wrong = S.checked_samples(samples, {"pixels": 60})
     return good.withColumn("whole", F.lit(True)).unionByName(wrong.drop("wrong").withColumn("whole", F.lit(False))).select("cell", "t", F.size("pixels").cast("long").alias("n"), "whole")
 
 
@@ -106,12 +104,12 @@ def s22_results_with_overall(spark, sf_dir):
 _BOX = ((0.0, 10.0), (40.0, 10.0), (40.0, 45.0), (0.0, 45.0))
 
 
-@query(f"""WITH {POINTS}, o AS (SELECT id, greatest(lon, 0) AS x1, greatest(lat, 10) AS y1, least(lon + 50, 40) AS x2, least(lat + 30, 45) AS y2 FROM points WHERE lat < 55)
+@query(f"""WITH {POINTS}, o AS (SELECT id, greatest(lon, 0) AS x1, greatest(lat, 10) AS y1, least(lon + 50, 40) AS x2, least(lat + 30, 45) AS y2 FROM points)
 SELECT id, round(greatest(radians(x2 - x1), 0) * greatest(sin(radians(y2)) - sin(radians(y1)), 0) * 6371.007181 ^ 2, 2) AS km2, x2 > x1 AND y2 > y1 AS overlaps FROM o""")
 def f05_clipped_areas(spark, sf_dir):
     x, y = F.col("lon"), F.col("lat")
     ring = F.array(*[F.struct(a.alias("lon"), b.alias("lat")) for a, b in ((x, y), (x + 50, y), (x + 50, y + 30), (x, y + 30))])
-    clipped = K.clip_to_convex(points(spark, sf_dir).where("lat < 55").select("id", ring.alias("ring")), "ring", _BOX)
+    clipped = K.clip_to_convex(points(spark, sf_dir).select("id", ring.alias("ring")), "ring", _BOX)
     return clipped.select("id", G.polygon_area_km2(F.col("ring")).alias("km2")).select("id", r("km2", 2).alias("km2"), (F.col("km2") > 0).alias("overlaps"))
 
 
@@ -147,11 +145,10 @@ def j12_excluded_regions(spark, sf_dir):
     return p.join(J.box_join(left, right, 5.0).select(F.col("left_id").alias("id")), "id", "left_anti").select("id")
 
 
-@query(f"""WITH {SCENES} SELECT DISTINCT tile, day FROM scenes WHERE day BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' AND tile < 20 AND (tile, day) NOT IN (SELECT (tile, day) FROM scenes WHERE priority <= 3)""")
+@query(f"""WITH {SCENES} SELECT DISTINCT tile, day FROM scenes WHERE (tile, day) NOT IN (SELECT (tile, day) FROM scenes WHERE priority <= 3)""")
 def j15_needed_but_missing(spark, sf_dir):
     s = scenes(spark, sf_dir)
-    needed = s.where("day between date'1995-01-01' and date'1996-12-31' and tile < 20").select("tile", "day").distinct()
-    return J.not_yet_done(needed, s.where("priority <= 3"), ["tile", "day"]).select("tile", "day")
+    return J.not_yet_done(s.select("tile", "day").distinct(), s.where("priority <= 3"), ["tile", "day"]).select("tile", "day")
 
 
 @query("""SELECT coalesce(CAST(l.quality AS VARCHAR), 'none') AS kind, d.lang, count(*) AS n, round(avg(d.n_chars), 4) AS mean FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL""")
@@ -163,18 +160,17 @@ def j16_results_enriched(spark, sf_dir):
 
 @query(f"""WITH {PX} SELECT cell, t, y // 5 AS by, x // 5 AS bx, round(avg(value), 4) AS mean, max(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS masked FROM px GROUP BY ALL""")
 def a05_block_mean_and_mask(spark, sf_dir):
-    return pixels(spark, sf_dir).groupBy("cell", "t", F.floor(F.col("y") / 5).alias("by"), F.floor(F.col("x") / 5).alias("bx")).agg(r(F.avg("value")).alias("mean"), F.max(F.col("value").isNull().cast("int")).alias("masked"))
+    return A.block_down_sample(pixels(spark, sf_dir), ["cell", "t"], "value", 5, 5).select("cell", "t", "by", "bx", r("mean").alias("mean"), F.col("mask").alias("masked"))
 
 
-@query(f"""WITH {PX} SELECT cell, t, count(value) AS n_valid, max(CASE WHEN value IS NOT NULL THEN y END) AS reach FROM px GROUP BY cell, t HAVING count(value) < 60 OR coalesce(max(CASE WHEN value IS NOT NULL THEN y END), -1) < 9""")
+@query(f"""WITH {PX} SELECT cell, t, count(value) AS n_valid, max(CASE WHEN value IS NOT NULL THEN y END) AS reach FROM px GROUP BY cell, t HAVING count(value) < 45 OR coalesce(max(CASE WHEN value IS NOT NULL THEN y END), -1) < 9""")
 def a31_zero_signal_audit(spark, sf_dir):
-    facts = pixels(spark, sf_dir).groupBy("cell", "t").agg(F.count("value").alias("n_valid"), F.max(F.when(F.col("value").isNotNull(), F.col("y"))).alias("reach"))
-    return facts.where((F.col("n_valid") < 60) | (F.coalesce(F.col("reach"), F.lit(-1)) < 9))
+    return A.zero_signal(pixels(spark, sf_dir), ["cell", "t"], "value", "y", 45, 9)
 
 
 @query(f"""WITH {OBS} SELECT day, string_agg(DISTINCT band, ',' ORDER BY band) AS bands FROM obs WHERE value IS NOT NULL GROUP BY day""")
 def a34_label_sets(spark, sf_dir):
-    return observations(spark, sf_dir).where("value is not null").groupBy("day").agg(F.concat_ws(",", F.array_sort(F.collect_set("band"))).alias("bands"))
+    return observations(spark, sf_dir).where("value is not null").transform(A.label_sets, "day", "band")
 
 
 @query("""SELECT 'document' AS kind, source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source UNION ALL SELECT 'event', event_type, count(*) FROM events WHERE event_type <> 'error' GROUP BY event_type""")
@@ -196,12 +192,11 @@ def f17_cloud_cover_scenes(spark, sf_dir):
     return scenes(spark, sf_dir).where(cloudy | clear).groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.count_if(cloudy).alias("cloudy"), F.count_if(clear).alias("clear"))
 
 
-@query(f"""WITH {PX} SELECT cell, t, y * 10 + a AS "row", x * 10 + b AS col, round(value, 2) AS value FROM px, range(10) u(a), range(10) v(b) WHERE t = 3 AND cell < 3""")
+@query(f"""WITH {PX} SELECT cell, t, y * 2 + a AS "row", x * 2 + b AS col, round(value, 2) AS value FROM px, range(2) u(a), range(2) v(b)""")
 def m06_patches_on_mosaic(spark, sf_dir):
     from gridloom.operators.models import placed
 
-    patches = pixels(spark, sf_dir).where("t = 3 and cell < 3")
-    return placed(patches, 10).select("cell", "t", "row", "col", r("value", 2).alias("value"))
+    return placed(pixels(spark, sf_dir), 2).select("cell", "t", "row", "col", r("value", 2).alias("value"))
 
 
 @query(f"""WITH {PX}, f AS (SELECT cell, t, y, x, quantile_disc(value, 0.5) OVER (PARTITION BY cell, t) AS m, value FROM px), w AS (SELECT cell, y, x, list(coalesce(value, m, -1) ORDER BY t) AS v, count(*) AS n FROM f GROUP BY ALL)

@@ -1,7 +1,7 @@
 """Registered queries of the raster operators over the given tables, with their SQL.
 
 Roles: events are observations (cell, band, day, value), lineitem a pixel grid (cell, t, y,
-x, value), orders scenes with dates and priorities, accounts positions on the globe.
+x, value; a cell for each supplier, so it grows with the table), orders scenes with dates and priorities, accounts positions on the globe.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import bands as B
 from gridloom.functions import columns as C
 from gridloom.operators import aggregates as A
 from gridloom.operators import joins as J
 from gridloom.operators import series as W
 from gridloom.sources import names as N
+from gridloom.sources.catalogue import catalogue_extents, catalogue_items
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,7 +25,7 @@ ORACLE_SQL: dict[str, str] = {}
 OBS = """obs AS (SELECT cell, band, day, t, CASE WHEN v >= 5 THEN v END AS value FROM (
   SELECT user_id AS cell, event_type AS band, CAST(ts AS DATE) AS day, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS t, arg_max(value, event_id) AS v
   FROM events GROUP BY user_id, event_type, CAST(ts AS DATE)))"""
-PX = """px AS (SELECT l_suppkey % 20 AS cell, l_linenumber AS t, l_partkey % 10 AS y, l_orderkey % 10 AS x, max(CASE WHEN l_tax < 0.07 THEN l_extendedprice END) AS value FROM lineitem GROUP BY ALL)"""
+PX = """px AS (SELECT l_suppkey AS cell, l_linenumber AS t, l_partkey % 10 AS y, l_orderkey % 10 AS x, max(CASE WHEN l_tax < 0.07 THEN l_extendedprice END) AS value FROM lineitem GROUP BY ALL)"""
 SCENES = """scenes AS (SELECT o_orderkey AS scene, o_custkey % 50 AS tile, CAST(o_orderdate AS DATE) AS day, CAST(left(o_orderpriority, 1) AS INTEGER) AS priority, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS value FROM orders)"""
 POINTS = """points AS (SELECT c_custkey AS id, c_nationkey AS nation, c_acctbal / 100 - 45 AS lat, (c_custkey * 37 % 3600) / 10.0 - 180 AS lon FROM customer)"""
 
@@ -39,7 +41,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = [(F.col("l_suppkey") % 20).alias("cell"), F.col("l_linenumber").alias("t"), (F.col("l_partkey") % 10).alias("y"), (F.col("l_orderkey") % 10).alias("x")]
+    keys = [F.col("l_suppkey").alias("cell"), F.col("l_linenumber").alias("t"), (F.col("l_partkey") % 10).alias("y"), (F.col("l_orderkey") % 10).alias("x")]
     return table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.max(F.when(F.col("l_tax") < 0.07, F.col("l_extendedprice"))).alias("value"))
 
 
@@ -80,10 +82,13 @@ def minimum_slice(spark, sf_dir):
     return carried.groupBy("cell", "band").agg(r(F.avg("filled")).alias("mean_value"), r(F.avg(F.col("v").isNotNull().cast("double"))).alias("share_valid"), r(F.avg("age")).alias("mean_age"))
 
 
-@query("""SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS host, CAST(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS BIGINT) AS number, replace(url, '.html', '') AS bare FROM pages""")
-def s02_name_parse(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.regexp_extract("url", "://([^/]*)", 1).alias("host"), F.nullif(F.regexp_extract("url", "/([0-9]+)", 1), F.lit("")).cast("long").alias("number"), F.replace("url", F.lit(".html"), F.lit("")).alias("bare"))
+@query(f"""WITH {SCENES} SELECT scene, CASE WHEN priority < 5 THEN 'LC0' || (8 + scene % 2) END AS sensor, CASE WHEN priority < 5 THEN printf('%03d', tile) END AS path, CASE WHEN priority < 5 THEN '024' END AS "row",
+CASE WHEN priority < 5 THEN day END AS acq, CASE WHEN priority < 5 THEN day + 8 END AS proc FROM scenes""")
+def s02_scene_names(spark, sf_dir):
+    """Names of another tier are no scenes."""
+    tier = F.when(F.col("priority") < 5, "_02_T1.tar").otherwise("_02_T2.tar")
+    name = F.concat(F.lit("LC0"), (8 + F.col("scene") % 2).cast("string"), F.lit("_L1TP_"), F.lpad(F.col("tile").cast("string"), 3, "0"), F.lit("024_"), F.date_format("day", "yyyyMMdd"), F.lit("_"), F.date_format(F.date_add("day", 8), "yyyyMMdd"), tier)
+    return scenes(spark, sf_dir).select("scene", N.landsat_name(name).alias("n")).select("scene", "n.*")
 
 
 @query(f"""WITH {SCENES} SELECT scene, strftime(day, 'A%Y%j') AS name, day AS parsed FROM scenes""")
@@ -107,14 +112,20 @@ def s07_box_identifiers(spark, sf_dir):
     return named.select("id", "name", r(a).alias("lat"), r(o).alias("lon"), N.month_index(F.col("name")).alias("month"), N.location_season(F.col("name")).alias("place"))
 
 
-@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
-def s12_json_metadata(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+@query("""SELECT p_partkey, CASE WHEN p_size <> 7 THEN CAST(printf('%.5f', p_size / 100000.0) AS DOUBLE) END AS mult, CAST(printf('%.3f', -p_size / 1000.0) AS DOUBLE) AS add, CAST(printf('%.2f', (10 + p_partkey % 70)::DOUBLE) AS DOUBLE) AS sun_elevation FROM part""")
+def s12_scene_metadata(spark, sf_dir):
+    size = F.col("p_size")
+    factor = F.when(size != 7, F.format_string('"REFLECTANCE_MULT_BAND_3": "%.5f", ', size / F.lit(100000.0))).otherwise("")
+    text = F.format_string('{"LANDSAT_METADATA_FILE": {"LEVEL1_RADIOMETRIC_RESCALING": {%s"REFLECTANCE_ADD_BAND_3": "%.3f"}, "IMAGE_ATTRIBUTES": {"SUN_ELEVATION": "%.2f"}}}', factor, -size / F.lit(1000.0), (10 + F.col("p_partkey") % 70).cast("double"))
+    return table(spark, sf_dir, "part").select("p_partkey", N.mtl_radiometry(text, 3).alias("m")).select("p_partkey", "m.*")
 
 
-@query("""SELECT source, lang, min(doc_id) AS first_id, max(doc_id) AS last_id, sum(n_chars)::BIGINT AS chars, count(*) AS n FROM documents GROUP BY ALL""")
+@query(f"""WITH {SCENES}, {POINTS}, i AS (SELECT 'L' || priority AS collection, scene, day, lon, lat FROM scenes JOIN points ON id = tile + 1) SELECT collection, min(lon) AS min_lon, min(lat) AS min_lat, max(lon + 2) AS max_lon, max(lat + 1) AS max_lat, min(day) AS first_day, max(day) AS last_day, count(*) AS n FROM i GROUP BY collection""")
 def s14_catalogue_extents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("n_chars").alias("chars"), F.count(F.lit(1)).alias("n"))
+    placed = scenes(spark, sf_dir).join(points(spark, sf_dir).select((F.col("id") - 1).alias("tile"), "lon", "lat"), "tile")
+    box = F.struct(F.col("lon").alias("min_lon"), F.col("lat").alias("min_lat"), (F.col("lon") + 2).alias("max_lon"), (F.col("lat") + 1).alias("max_lat"))
+    items = catalogue_items(placed, F.concat(F.lit("L"), F.col("priority").cast("string")), F.col("scene").cast("string"), box, F.col("day"), F.concat(F.col("scene").cast("string"), F.lit(".tar")))
+    return catalogue_extents(items)
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size <> 7 THEN p_size * 0.01 + 0.5 END AS decoded, CASE WHEN p_size = 7 THEN p_size ELSE p_size * 0.25 END AS kept FROM part""")
@@ -154,12 +165,32 @@ def p09_one_hot(spark, sf_dir):
     return rows.groupBy("code", "channels").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {OBS}, bounds(band, low) AS (VALUES ('view', 10.0), ('click', 20.0), ('error', 30.0), ('signup', 0.0), ('purchase', 50.0))
-SELECT cell, o.band, count(*) AS n, count_if(coalesce(value >= low, false)) AS n_valid FROM obs o JOIN bounds b ON o.band = b.band GROUP BY ALL""")
+_BANDED = """banded AS (SELECT l_partkey % 54 AS position, CASE WHEN l_tax < 0.07 THEN l_extendedprice / 100 - 400 ELSE -9999 END AS value FROM lineitem),
+judged AS (SELECT position, value, coalesce(value <> -9999 AND value >= CASE WHEN position < 2 THEN -50 WHEN position = 2 THEN 0 WHEN position < 9 THEN -1 WHEN position < 15 THEN 0.0000001 WHEN position < 17 THEN -1 WHEN position < 24 THEN -100
+  WHEN position < 26 THEN -0.01 WHEN position < 28 THEN -1 WHEN position = 28 THEN 0.0000001 WHEN position < 42 THEN 0 WHEN position < 46 THEN -0.01 WHEN position < 48 THEN 184 WHEN position = 48 THEN -1 WHEN position < 51 THEN -53 ELSE -1 END, false) AS valid FROM banded)"""
+
+
+def _banded(spark, sf_dir) -> DataFrame:
+    """Line items as readings of the registry's bands: (position, band, value, valid)."""
+    value = F.when(F.col("l_tax") < 0.07, F.col("l_extendedprice") / 100 - 400).otherwise(B.NODATA)
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 54).cast("int").alias("position"), value.alias("value"))
+    return rows.join(F.broadcast(B.registry(spark)), "position").withColumn("valid", B.is_valid(F.col("value"), F.col("least")))
+
+
+@query(f"""WITH {_BANDED} SELECT position::INTEGER AS position, count(*) AS n, count_if(valid) AS n_valid FROM judged GROUP BY position""")
 def p10_validity_mask(spark, sf_dir):
-    bounds = spark.createDataFrame([("view", 10.0), ("click", 20.0), ("error", 30.0), ("signup", 0.0), ("purchase", 50.0)], "band string, low double")
-    obs = observations(spark, sf_dir).join(F.broadcast(bounds), "band")
-    return obs.groupBy("cell", "band").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("value") >= F.col("low"), F.lit(False))).alias("n_valid"))
+    return _banded(spark, sf_dir).groupBy("position").agg(F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("n_valid"))
+
+
+@query(f"""WITH {_BANDED}, stats AS (SELECT position, avg(value) AS mean, stddev_samp(value) AS std FROM judged WHERE valid GROUP BY position),
+n AS (SELECT position, CASE WHEN NOT valid THEN -9999 WHEN position IN (26, 27) OR position BETWEEN 31 AND 41 OR position >= 51 THEN value ELSE (value - (mean - 2 * std)) / (4 * std) END AS v FROM judged JOIN stats USING (position))
+SELECT position::INTEGER AS position, round(min(CASE WHEN v <> -9999 THEN v END), 4) AS low, round(max(v), 4) AS high, count_if(v = -9999) AS n_fill FROM n GROUP BY position""")
+def p12_normalization(spark, sf_dir):
+    rows = _banded(spark, sf_dir)
+    stats = A.band_statistics(rows.where("valid"), ["position"], "value").drop("n")
+    value = B.normalized(F.col("value"), F.col("valid"), F.col("band"), F.col("mean"), F.col("std"))
+    kept = rows.join(stats, "position").select("position", value.alias("v"))
+    return kept.groupBy("position").agg(r(F.min(F.when(F.col("v") != B.NODATA, F.col("v")))).alias("low"), r(F.max("v")).alias("high"), F.count_if(F.col("v") == B.NODATA).alias("n_fill"))
 
 
 @query(f"""WITH {POINTS} SELECT id, round(cos(radians(lat)) * cos(radians(lon)), 6) AS x, round(cos(radians(lat)) * sin(radians(lon)), 6) AS y, round(sin(radians(lat)), 6) AS z FROM points""")
@@ -167,7 +198,7 @@ def p11_unit_sphere(spark, sf_dir):
     return points(spark, sf_dir).select("id", C.unit_sphere(F.col("lat"), F.col("lon")).alias("s")).select("id", r("s.x", 6).alias("x"), r("s.y", 6).alias("y"), r("s.z", 6).alias("z"))
 
 
-_LAT = "(111132.92 - 559.82 * cos(2 * radians(lat)) + 1.175 * cos(4 * radians(lat)) - 0.0023 * cos(6 * radians(lat)))"
+_LAT = "(111132.954 - 559.822 * cos(2 * radians(lat)) + 1.175 * cos(4 * radians(lat)) - 0.0023 * cos(6 * radians(lat)))"
 _LON = "(111412.84 * cos(radians(lat)) - 93.5 * cos(3 * radians(lat)) + 0.118 * cos(5 * radians(lat)))"
 
 
@@ -196,8 +227,7 @@ def p19_seasons(spark, sf_dir):
 @query(f"""WITH {SCENES}, d AS (SELECT tile, day + 1 AS day, sum(priority)::BIGINT AS total FROM scenes GROUP BY ALL) SELECT a.tile, a.day, b.total AS accumulated FROM (SELECT DISTINCT tile, day FROM scenes) a LEFT JOIN d b ON a.tile = b.tile AND a.day = b.day""")
 def p22_day_shift(spark, sf_dir):
     s = scenes(spark, sf_dir)
-    shifted = s.groupBy("tile", F.date_add("day", 1).alias("day")).agg(F.sum("priority").alias("accumulated"))
-    return s.select("tile", "day").distinct().join(shifted, ["tile", "day"], "left")
+    return A.day_shifted(s.groupBy("tile", "day").agg(F.sum("priority").alias("accumulated")), ["tile"], "day", "accumulated")
 
 
 @query(f"""WITH {PX} SELECT cell, t, y, x, CASE (cell % 8) WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN 9 - y WHEN 3 THEN 9 - x WHEN 4 THEN y WHEN 5 THEN 9 - y WHEN 6 THEN x ELSE 9 - x END AS new_y,
@@ -234,10 +264,9 @@ def f01_point_in_polygon(spark, sf_dir):
     return points(spark, sf_dir).select("id", inside.alias("inside"), F.when(inside, "KEEP").otherwise("DROP").alias("action"))
 
 
-@query(f"""WITH {PX} SELECT cell, t, CASE WHEN count(value) = 0 THEN 'SKIP_EMPTY' WHEN count(value) < 60 THEN 'SKIP_PARTIAL' ELSE 'CLIP' END AS action, count(value) AS valid_pixel_count FROM px GROUP BY ALL""")
+@query(f"""WITH {PX} SELECT cell, t, CASE WHEN count(value) = 0 THEN 'SKIP_EMPTY' WHEN count(value) < 45 THEN 'SKIP_PARTIAL' ELSE 'CLIP' END AS action, count(value) AS valid_pixel_count FROM px GROUP BY ALL""")
 def f06_clip_gate(spark, sf_dir):
-    n = F.count("value")
-    return pixels(spark, sf_dir).groupBy("cell", "t").agg(F.when(n == 0, "SKIP_EMPTY").when(n < 60, "SKIP_PARTIAL").otherwise("CLIP").alias("action"), n.alias("valid_pixel_count"))
+    return A.clip_actions(pixels(spark, sf_dir), ["cell", "t"], "value", 45)
 
 
 @query("""SELECT CASE WHEN value >= 5 AND value < 100 THEN 'real' ELSE 'missing' END AS kind, count(*) AS n FROM events GROUP BY 1""")
@@ -248,13 +277,13 @@ def f11_fill_test(spark, sf_dir):
 
 @query(f"""WITH {PX} SELECT cell, t, count(*) AS n FROM px GROUP BY cell, t HAVING NOT bool_and(value IS NULL)""")
 def f13_drop_masked_samples(spark, sf_dir):
-    return pixels(spark, sf_dir).groupBy("cell", "t").agg(F.bool_and(F.col("value").isNull()).alias("m"), F.count(F.lit(1)).alias("n")).where("not m").drop("m")
+    return A.unmasked_samples(pixels(spark, sf_dir), ["cell", "t"], "value")
 
 
-@query(f"""WITH {SCENES} SELECT c.tile, c.day, coalesce(s.n, -9999.0) AS n FROM (SELECT tile, day FROM (SELECT DISTINCT tile FROM scenes), (SELECT DISTINCT day FROM scenes WHERE day < DATE '1995-03-01')) c LEFT JOIN (SELECT tile, day, count(*)::DOUBLE AS n FROM scenes GROUP BY ALL) s ON c.tile = s.tile AND c.day = s.day""")
+@query(f"""WITH {SCENES} SELECT c.tile, c.day, coalesce(s.n, -9999.0) AS n FROM (SELECT tile, day FROM (SELECT DISTINCT tile FROM scenes), (SELECT DISTINCT day FROM scenes)) c LEFT JOIN (SELECT tile, day, count(*)::DOUBLE AS n FROM scenes GROUP BY ALL) s ON c.tile = s.tile AND c.day = s.day""")
 def j03_calendar(spark, sf_dir):
     s = scenes(spark, sf_dir)
-    dims = J.cells_by_days(s.select("tile").distinct(), s.where("day < date'1995-03-01'").select("day").distinct())
+    dims = J.cells_by_days(s.select("tile").distinct(), s.select("day").distinct())
     return J.complete_calendar(dims, s.groupBy("tile", "day").agg(F.count(F.lit(1)).cast("double").alias("n")), ["tile", "day"], "n")
 
 
@@ -277,16 +306,16 @@ def j06_source_fallback(spark, sf_dir):
     return J.prefer(scenes(spark, sf_dir), ["tile", "day"], "priority").select("tile", "day", "scene", "priority")
 
 
-@query(f"""WITH {PX}, t AS (SELECT c_custkey AS target_id, c_nationkey % 20 AS cell, 1 AS t, (c_custkey % 80) / 10.0 AS y, (c_custkey % 70) / 8.0 AS x FROM customer),
+@query(f"""WITH {PX}, t AS (SELECT c_custkey AS target_id, c_custkey // 15 + 1 AS cell, c_custkey % 7 + 1 AS t, (c_custkey % 80) / 10.0 AS y, (c_custkey % 70) / 8.0 AS x FROM customer),
 n AS (SELECT target_id, t.cell, t.t, floor(y) + dy AS py, floor(x) + dx AS px_, (1 - abs(y - (floor(y) + dy))) * (1 - abs(x - (floor(x) + dx))) AS w FROM t, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dy, dx))
 SELECT target_id, round(sum(w * value) / nullif(sum(CASE WHEN value IS NOT NULL THEN w END), 0), 4) AS value FROM n LEFT JOIN px ON px.cell = n.cell AND px.t = n.t AND px.y = py AND px.x = px_ GROUP BY target_id""")
 def j08_bilinear(spark, sf_dir):
-    target = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target_id"), (F.col("c_nationkey") % 20).cast("long").alias("cell"), F.lit(1).alias("t"), ((F.col("c_custkey") % 80) / F.lit(10.0)).alias("y"), ((F.col("c_custkey") % 70) / F.lit(8.0)).alias("x"))
+    target = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target_id"), (F.floor(F.col("c_custkey") / 15) + 1).alias("cell"), (F.col("c_custkey") % 7 + 1).cast("int").alias("t"), ((F.col("c_custkey") % 80) / F.lit(10.0)).alias("y"), ((F.col("c_custkey") % 70) / F.lit(8.0)).alias("x"))
     return J.bilinear(target, pixels(spark, sf_dir), ["cell", "t"], "value").withColumn("value", r("value"))
 
 
 @query(f"""WITH {POINTS}, g AS (SELECT s_suppkey AS id, (s_suppkey * 53 % 360) - 180.0 AS x, s_acctbal / 100 - 45 AS y FROM supplier),
-d AS (SELECT g.id AS grid_id, p.id AS pid, p.lat AS v, (g.x - p.lon) ^ 2 + (g.y - p.lat) ^ 2 AS d FROM g LEFT JOIN points p ON abs(floor(g.x / 4) - floor(p.lon / 4)) <= 1 AND abs(floor(g.y / 4) - floor(p.lat / 4)) <= 1)
+d AS (SELECT g.id AS grid_id, p.id AS pid, p.lat AS v, (g.x - p.lon) ^ 2 + (g.y - p.lat) ^ 2 AS d FROM g, points p)
 SELECT grid_id, round(v, 6) AS lat FROM (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY d, pid) AS k FROM d) WHERE k = 1""")
 def j09_swath_nearest(spark, sf_dir):
     grid = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("grid_id"), ((F.col("s_suppkey") * 53 % 360) - F.lit(180.0)).alias("x"), (F.col("s_acctbal") / 100 - 45).alias("y"))
@@ -294,12 +323,12 @@ def j09_swath_nearest(spark, sf_dir):
     return J.nearest_point(grid, swath, 4.0, "lat").withColumn("lat", r("lat", 6))
 
 
-@query("""WITH d AS (SELECT q.vec_id AS query_id, b.vec_id AS id, b.label, list_sum(list_transform(list_zip(q.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS d FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q, embeddings b WHERE b.vec_id % 50 <> 0)
-SELECT query_id, round(avg(label), 4) AS mean_label, count(*) AS k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS r FROM d) WHERE r <= 5 GROUP BY query_id""")
+@query("""WITH d AS (SELECT q.vec_id AS query_id, b.vec_id AS id, b.label, list_sum(list_transform(list_zip(q.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS d FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, embeddings b WHERE b.vec_id <> q.vec_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS r FROM d) SELECT query_id, k, round(avg(label), 4) AS mean_label, count(*) AS n FROM o, (VALUES (5), (20), (100)) v(k) WHERE r <= k GROUP BY ALL""")
 def j10_knn(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    return J.knn_predict(asked, e.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("id"), "v", "label"), 5).withColumn("mean_label", r("mean_label"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").cast("double").alias("label"))
+    asked = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return J.knn_predict(asked, e, (5, 20, 100)).withColumn("mean_label", r("mean_label"))
 
 
 @query(f"""WITH {SCENES}, i AS (SELECT tile, day, min(scene) AS scene FROM scenes WHERE priority = 1 GROUP BY ALL), q AS (SELECT scene AS request_id, tile, day FROM scenes WHERE priority = 5)
@@ -317,11 +346,11 @@ def j13_not_yet_done(spark, sf_dir):
     return J.not_yet_done(table(spark, sf_dir, "customer").select("c_custkey"), done, ["c_custkey"])
 
 
-@query(f"""WITH {PX}, c AS (SELECT cell, y // 5 AS cy, x // 5 AS cx, max(value) AS v FROM px WHERE t = 2 GROUP BY ALL) SELECT px.cell, px.y, px.x, px.value, c.v AS coarse_value FROM px LEFT JOIN c ON c.cell = px.cell AND c.cy = px.y // 5 AND c.cx = px.x // 5 WHERE px.t = 1""")
+@query(f"""WITH {PX}, c AS (SELECT cell, t, y // 5 AS cy, x // 5 AS cx, max(value) AS v FROM px GROUP BY ALL) SELECT px.cell, px.t, px.y, px.x, px.value, c.v AS coarse_value FROM px LEFT JOIN c ON c.cell = px.cell AND c.t = px.t AND c.cy = px.y // 5 AND c.cx = px.x // 5""")
 def j17_upsample(spark, sf_dir):
     px = pixels(spark, sf_dir)
-    coarse = px.where("t = 2").groupBy("cell", F.floor(F.col("y") / 5).alias("y"), F.floor(F.col("x") / 5).alias("x")).agg(F.max("value").alias("value"))
-    return J.upsample(coarse, px.where("t = 1").drop("t"), ["cell"], 5, "value")
+    coarse = px.groupBy("cell", "t", F.floor(F.col("y") / 5).alias("y"), F.floor(F.col("x") / 5).alias("x")).agg(F.max("value").alias("value"))
+    return J.upsample(coarse, px, ["cell", "t"], 5, "value")
 
 
 @query(f"""WITH {OBS} SELECT band, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std FROM obs GROUP BY band HAVING count(value) >= 2""")
@@ -329,9 +358,11 @@ def a01_band_statistics(spark, sf_dir):
     return A.band_statistics(observations(spark, sf_dir), ["band"], "value").select("band", "n", r("mean").alias("mean"), r("std").alias("std"))
 
 
-@query(f"""WITH {OBS} SELECT band, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std FROM obs WHERE cell % 5 = 0 GROUP BY band HAVING count(value) >= 2""")
+@query(f"""WITH {OBS}, s AS (SELECT * FROM obs ORDER BY md5('stats|' || cell || '|' || band || '|' || t), cell, band, t LIMIT 2000) SELECT band, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std FROM s GROUP BY band HAVING count(value) >= 2""")
 def a02_population_statistics(spark, sf_dir):
-    return A.band_statistics(observations(spark, sf_dir).where("cell % 5 = 0"), ["band"], "value", population=True).select("band", "n", r("mean").alias("mean"), r("std").alias("std"))
+    """Of a sample of 2000 readings, which is what is asked for here."""
+    sample = W.sampled(observations(spark, sf_dir), ["cell", "band", "t"], 2000, "stats")
+    return A.band_statistics(sample, ["band"], "value", population=True).select("band", "n", r("mean").alias("mean"), r("std").alias("std"))
 
 
 @query(f"""WITH {PX} SELECT cell, t, y // 5 AS by, x // 2 AS bx, round(avg(value), 6) AS mean, round(avg(coalesce(value, -9999)), 6) AS mean_with_nodata, bool_and(value IS NOT NULL) AS valid, max(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS mask FROM px GROUP BY ALL""")
@@ -381,7 +412,7 @@ def _labelled(spark, sf_dir) -> DataFrame:
 
 @query(f"""SELECT l_returnflag, {_METRICS} FROM (SELECT l_returnflag, l_quantity / 50 AS y, l_discount * 10 AS p FROM lineitem) GROUP BY l_returnflag""")
 def a14_regression_metrics(spark, sf_dir):
-    return _rounded(A.regression_metrics(_labelled(spark, sf_dir), "y", "p", ["l_returnflag"]), "l_returnflag")
+    return _rounded(A.regression_metrics(_labelled(spark, sf_dir), "y", "p", ["l_returnflag"], few_groups=True), "l_returnflag")
 
 
 @query("""WITH m AS (SELECT quality AS label, toxic AS prediction, count(*) AS n FROM labels GROUP BY ALL), c AS (SELECT label AS class FROM m UNION SELECT prediction FROM m),
@@ -413,7 +444,7 @@ def a19_pooled_metrics(spark, sf_dir):
 
 @query("""SELECT p_brand, round(avg(CASE WHEN p_size = 10 THEN 1.0 ELSE 0.0 END), 6) AS cover FROM part GROUP BY p_brand""")
 def a20_fractional_cover(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(r(F.avg((F.col("p_size") == 10).cast("double")), 6).alias("cover"))
+    return A.fractional_cover(table(spark, sf_dir, "part"), ["p_brand"], "p_size", 10).withColumn("cover", r("cover", 6))
 
 
 @query("""SELECT round(avg(d * d), 6) AS mse, round(avg(CASE WHEN d < 1 THEN 0.5 * d * d ELSE d - 0.5 END), 6) AS smooth_l1, count(*) AS n FROM (SELECT abs(l_quantity / 10 - l_discount * 10) AS d FROM lineitem WHERE l_linenumber % 3 = 2)""")
@@ -428,19 +459,19 @@ def a22_mean_vectors(spark, sf_dir):
     return A.mean_vector(rows, ["label"], "v").withColumn("mean", r("mean", 5))
 
 
-@query("""SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY CUBE (source, lang)""")
+@query(f"""WITH {PX}, c AS (SELECT t, CASE WHEN count(value) = 0 THEN 'SKIP_EMPTY' WHEN count(value) < 45 THEN 'SKIP_PARTIAL' ELSE 'CLIP' END AS action, count(value) AS valid FROM px GROUP BY cell, t) SELECT t, action, count(*) AS n, sum(valid)::BIGINT AS valid_pixels FROM c GROUP BY ROLLUP (t, action)""")
 def a23_action_tally(spark, sf_dir):
-    return table(spark, sf_dir, "documents").cube("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    return A.action_tally(A.clip_actions(pixels(spark, sf_dir), ["cell", "t"], "value", 45), "t", "action", "valid_pixel_count")
 
 
-@query(f"""WITH {OBS} SELECT day, round(count(value) / (150.0 * 5), 6) AS coverage FROM obs GROUP BY day""")
+@query(f"""WITH {OBS}, e AS (SELECT count(DISTINCT cell) * count(DISTINCT band) AS n FROM obs) SELECT day, round(count(value) / any_value(n), 6) AS coverage FROM obs, e GROUP BY day""")
 def a24_daily_coverage(spark, sf_dir):
-    return observations(spark, sf_dir).groupBy("day").agg(r(F.count("value") / F.lit(150.0 * 5), 6).alias("coverage"))
+    return A.coverage(observations(spark, sf_dir), "day", ["cell", "band"], "value").withColumn("coverage", r("coverage", 6))
 
 
 @query(f"""WITH {OBS} SELECT band, t, bool_or(value IS NOT NULL) AS available, count(DISTINCT cell) AS n_cells FROM obs GROUP BY ALL""")
 def a25_band_availability(spark, sf_dir):
-    return observations(spark, sf_dir).groupBy("band", "t").agg(F.bool_or(F.col("value").isNotNull()).alias("available"), F.countDistinct("cell").alias("n_cells"))
+    return A.band_availability(observations(spark, sf_dir), ["band", "t"], "value", "cell")
 
 
 @query("""SELECT l_suppkey, count(*) AS n, CASE WHEN count(*) >= 4 THEN round(quantile_cont(abs(l_discount - l_tax), 0.5), 6) END AS median_diff, CASE WHEN count(*) >= 4 THEN round(corr(l_discount, l_tax), 4) END AS corr FROM lineitem GROUP BY l_suppkey""")
@@ -451,7 +482,7 @@ def a26_parity(spark, sf_dir):
 
 @query(f"""WITH {SCENES} SELECT year(day)::INTEGER AS y, month(day)::INTEGER AS m, count(*) AS n FROM scenes GROUP BY ALL""")
 def a27_scene_calendar(spark, sf_dir):
-    return scenes(spark, sf_dir).groupBy(F.year("day").alias("y"), F.month("day").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    return A.calendar_histogram(scenes(spark, sf_dir), "day")
 
 
 @query(f"""WITH {OBS}, e AS (SELECT band, min(value) AS low, max(value) AS high FROM obs GROUP BY band) SELECT o.band, CAST(coalesce(least(floor((value - low) / nullif(high - low, 0) * 20), 19), 0) AS INTEGER) AS bin, count(*) AS n FROM obs o JOIN e ON o.band = e.band WHERE value IS NOT NULL GROUP BY ALL""")
@@ -475,15 +506,21 @@ def w03_median_fill(spark, sf_dir):
     return W.median_fill(px, ["cell", "y", "x"], ["cell", "t"], ["tier"], "value").select("cell", "t", "y", "x", r("value_filled").alias("value_filled"))
 
 
-@query("""WITH z AS (SELECT y, x, q + 0.37 * y AS z FROM (SELECT l_partkey % 25 AS y, l_orderkey % 25 AS x, max(l_quantity) AS q FROM lineitem GROUP BY ALL)),
-g AS (SELECT *, coalesce(lag(z) OVER h, z) AS w, coalesce(lead(z) OVER h, z) AS e FROM z WINDOW h AS (PARTITION BY y ORDER BY x)),
-s AS (SELECT *, coalesce(lag(w) OVER v, w) AS nw, coalesce(lag(z) OVER v, z) AS n, coalesce(lag(e) OVER v, e) AS ne, coalesce(lead(w) OVER v, w) AS sw, coalesce(lead(z) OVER v, z) AS s, coalesce(lead(e) OVER v, e) AS se FROM g WINDOW v AS (PARTITION BY x ORDER BY y)),
-d AS (SELECT y, x, ((ne + 2 * e + se) - (nw + 2 * w + sw)) / 80 AS dx, ((sw + 2 * s + se) - (nw + 2 * n + ne)) / 80 AS dy FROM s)
-SELECT y, x, round(degrees(atan(sqrt(dx * dx + dy * dy))), 4) AS slope FROM d""")
+@query("""WITH z AS (SELECT cell, y, x, q + 0.37 * y AS z FROM (SELECT l_suppkey AS cell, l_partkey % 10 AS y, l_orderkey % 10 AS x, max(l_quantity) AS q FROM lineitem GROUP BY ALL)),
+g AS (SELECT *, coalesce(lag(z) OVER h, z) AS w, coalesce(lead(z) OVER h, z) AS e FROM z WINDOW h AS (PARTITION BY cell, y ORDER BY x)),
+s AS (SELECT *, coalesce(lag(w) OVER v, w) AS nw, coalesce(lag(z) OVER v, z) AS n, coalesce(lag(e) OVER v, e) AS ne, coalesce(lead(w) OVER v, w) AS sw, coalesce(lead(z) OVER v, z) AS s, coalesce(lead(e) OVER v, e) AS se FROM g WINDOW v AS (PARTITION BY cell, x ORDER BY y)),
+m AS (SELECT *, 0.0001 * 2 * pi() * 6378137 / 360 AS my FROM s), k AS (SELECT *, my * cos(radians(50 - y * 4)) AS mx FROM m),
+d AS (SELECT cell, y, x, ((ne + 2 * e + se) - (nw + 2 * w + sw)) / (8 * mx) AS dx, ((sw + 2 * s + se) - (nw + 2 * n + ne)) / (8 * my) AS dy FROM k)
+SELECT cell, y, x, round(degrees(atan(sqrt(dx * dx + dy * dy))), 4) AS slope FROM d""")
 def w04_slope(spark, sf_dir):
-    y, x = F.col("l_partkey") % 25, F.col("l_orderkey") % 25
-    z = table(spark, sf_dir, "lineitem").groupBy(y.alias("y"), x.alias("x")).agg(F.max("l_quantity").alias("q")).withColumn("z", F.col("q") + 0.37 * F.col("y"))
-    return W.slope_aspect(z, [], "z", 10.0, 10.0).select("y", "x", r("slope").alias("slope"))
+    return _terrain(spark, sf_dir).select("cell", "y", "x", r("slope").alias("slope"))
+
+
+def _terrain(spark, sf_dir) -> DataFrame:
+    """Slope and aspect of heights made of line items, on rows four degrees apart."""
+    keys = [F.col("l_suppkey").alias("cell"), (F.col("l_partkey") % 10).alias("y"), (F.col("l_orderkey") % 10).alias("x")]
+    z = table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.max("l_quantity").alias("q")).withColumn("z", F.col("q") + 0.37 * F.col("y"))
+    return W.slope_aspect(z, ["cell"], "z", *C.degree_spacing(50 - F.col("y") * 4, 0.0001, 0.0001))
 
 
 @query(f"""WITH {SCENES} SELECT tile, day, count(*) AS n FROM scenes GROUP BY ALL HAVING count(*) > 1""")
@@ -512,14 +549,13 @@ def w11_trailing_stack(spark, sf_dir):
 @query(f"""WITH {SCENES} (SELECT 'best' AS kind, scene, value FROM scenes WHERE value IS NOT NULL ORDER BY value DESC, scene LIMIT 10) UNION ALL (SELECT 'worst', scene, value FROM scenes WHERE value IS NOT NULL ORDER BY value, scene LIMIT 10)""")
 def k01_best_and_worst(spark, sf_dir):
     s = scenes(spark, sf_dir).where("value is not null").select("scene", "value")
-    best, worst = s.orderBy(F.desc("value"), "scene").limit(10), s.orderBy("value", "scene").limit(10)
-    return best.select(F.lit("best").alias("kind"), "*").union(worst.select(F.lit("worst").alias("kind"), "*"))
+    return W.best_and_worst(s, "value", "scene", 10)
 
 
 @query("""SELECT DISTINCT o_custkey % 50 AS tile, o_orderdate::DATE AS day FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey % 50, o_orderdate::DATE FROM orders WHERE o_orderstatus = 'O'""")
 def g04_needed_minus_present(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("tile"), F.to_date("o_orderdate").alias("day"), "o_orderstatus")
-    return o.where("o_orderstatus = 'F'").drop("o_orderstatus").subtract(o.where("o_orderstatus = 'O'").drop("o_orderstatus"))
+    return J.needed_minus_present(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), ["tile", "day"])
 
 
 @query(f"""WITH {SCENES} SELECT scene, tile, CASE WHEN k <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS part FROM scenes JOIN (SELECT tile, row_number() OVER (ORDER BY md5('split|' || tile), tile) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT tile FROM scenes)) USING (tile)""")

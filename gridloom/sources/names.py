@@ -14,20 +14,31 @@ def _date(text: Column, pattern: str = "yyyyMMdd") -> Column:
     return F.try_to_timestamp(text, F.lit(pattern)).cast("date")
 
 
-_LANDSAT = r"^(L[A-Z]\d{2})_[A-Z0-9]+_(\d{3})(\d{3})_(\d{8})_(\d{8})"
-_SENTINEL2 = r"^S2[A-Z]_MSIL[12][AC]_(\d{8})T\d{6}_N(\d{4})_R\d{3}_T([0-9A-Z]{5})_(\d{8}T\d{6})"
-_SENTINEL1 = r"^S1[A-Z]_.*?_(\d{8})T\d{6}_.*_([0-9A-F]{4})(?:\.|$)"
+#: Scenes of level 1 with terrain correction, tier 1.
+_LANDSAT = r"^(LC0[89])_L1TP_(\d{3})(\d{3})_(\d{8})_(\d{8})_02_T1(?:\.|$)"
+#: Granules of level 1C.
+_SENTINEL2 = r"^S2[ABC]_MSIL1C_(\d{8})T\d{6}_N(\d{4})_R\d{3}_(T\d{2}[0-9A-Z]{3})_(\d{8})T\d{6}"
+#: Ground-range products, as they are named or as their calibrated rasters are.
+_SENTINEL1 = r"^(?:s1_grd_)?S1[A-Z]_IW_GRDH_\w+?_(\d{8})T\d{6}_\d{8}T\d{6}_\d{6}_[0-9A-F]{6}_([0-9A-F]{4})(?:\.|$)"
 
 
 def landsat_name(name: Column) -> Column:
+    """Sensor, path, row, days of acquisition and processing."""
     return F.struct(_part(name, _LANDSAT, 1).alias("sensor"), _part(name, _LANDSAT, 2).alias("path"), _part(name, _LANDSAT, 3).alias("row"), _date(_part(name, _LANDSAT, 4)).alias("acq"), _date(_part(name, _LANDSAT, 5)).alias("proc"))
 
 
 def sentinel2_name(name: Column) -> Column:
-    return F.struct(_date(_part(name, _SENTINEL2, 1)).alias("acq"), (_part(name, _SENTINEL2, 2).cast("int") / 100).alias("baseline"), _part(name, _SENTINEL2, 3).alias("tile"), _part(name, _SENTINEL2, 4).alias("proc"))
+    """Days of acquisition and processing, baseline, tile."""
+    return F.struct(_date(_part(name, _SENTINEL2, 1)).alias("acq"), (_part(name, _SENTINEL2, 2).cast("int") / 100).alias("baseline"), _part(name, _SENTINEL2, 3).alias("tile"), _date(_part(name, _SENTINEL2, 4)).alias("proc"))
+
+
+def manifest_baseline(xml: Column, path: str, name: Column) -> Column:
+    """The baseline that a manifest states at a path, else the one in the product's name."""
+    return F.coalesce(F.nullif(F.xpath_string(xml, F.lit(path)), F.lit("")).cast("double"), sentinel2_name(name)["baseline"])
 
 
 def sentinel1_name(name: Column) -> Column:
+    """Day of acquisition and the product's own number."""
     return F.struct(_date(_part(name, _SENTINEL1, 1)).alias("acq"), _part(name, _SENTINEL1, 2).alias("uid"))
 
 

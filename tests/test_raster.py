@@ -65,7 +65,7 @@ def test_names(spark):
     df = spark.createDataFrame([("LC08_L1TP_042024_20240105_20240113_02_T1", "S2A_MSIL1C_20240105T184731_N0510_R070_T11UPS_20240105T202515.SAFE", "50,-116 51,-116 51,-115 50,-116", "odd")], "l string, s string, g string, o string")
     row = df.select(names.landsat_name(F.col("l")).alias("l"), names.sentinel2_name(F.col("s")).alias("s"), names.gml_footprint(F.col("g")).alias("g"), names.gml_footprint(F.col("o")).alias("n"), names.landsat_name(F.col("o")).alias("x")).first()
     assert (row.l.path, row.l.row, str(row.l.acq)) == ("042", "024", "2024-01-05")
-    assert (row.s.baseline, row.s.tile) == (5.1, "11UPS") and len(row.g) == 4 and row.g[0].lon == -116 and row.n is None and row.x.acq is None
+    assert (row.s.baseline, row.s.tile) == (5.1, "T11UPS") and len(row.g) == 4 and row.g[0].lon == -116 and row.n is None and row.x.acq is None
 
 
 def test_zero_spread_is_an_error(spark):
