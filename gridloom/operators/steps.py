@@ -17,3 +17,9 @@ def written(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(f"{folder or tempfile.mkdtemp(prefix='checkpoint-')}/{uuid.uuid4().hex}")
     return df.checkpoint()
+
+
+def scratch(spark) -> str:
+    """A new path in the shared folder, for tables that a job writes and reads again."""
+    written(spark.range(0))  # sees to it that the folder is set
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
