@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.columns import two_sigma
+from gridloom.functions.columns import bits, two_sigma
 
 #: Bands of each tier in the order of the cube.
 TIERS = {
@@ -46,3 +46,16 @@ def normalized(value: Column, valid: Column, band: Column, mean: Column, std: Co
     """Readings by two deviations around the mean; bands of fixed range as they are, what is not valid as the fill."""
     fixed = band.isin(*FIXED)
     return F.when(~valid, NODATA).when(fixed, value).otherwise(two_sigma(value, mean, F.when(fixed, 1.0).otherwise(std)))
+
+#: For each sensor the first of the quality bits that are zero where the sky is clear, and how many they are.
+CLEAR_BITS = {"landsat": (3, 2), "modis": (0, 2), "viirs": (2, 2), "s3": (27, 1), "s2": (10, 2)}
+#: Fixed value: the cloud probability, in percent, that clear pixels stay under.
+CLEAR_PROBABILITY = 5
+
+
+def is_clear(sensor: str, quality: Column) -> Column:
+    """Whether a sensor's quality word says that a pixel is clear: no cloud or shadow, cloud state 0, or a probability under the bound."""
+    if sensor == "s2_probability":
+        return quality < CLEAR_PROBABILITY
+    low, width = CLEAR_BITS[sensor]
+    return bits(quality, low, width) == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridloom.functions import bands as B
 from gridloom.functions import columns as C
 from gridloom.functions import geometry as G
 from gridloom.operators import aggregates as A
@@ -115,3 +116,9 @@ def k03_first_images(spark, sf_dir):
 def x01_random_windows(spark, sf_dir):
     first = F.date_add(F.lit("2024-01-10").cast("date"), F.pmod(G.hash_number("window", F.col("id")), F.lit(35)).cast("int"))
     return points(spark, sf_dir).select("id", first.alias("first_day"), F.date_add(first, 7).alias("last_day"))
+
+
+@query("""WITH q AS (SELECT p_partkey, p_partkey * 7654321 % 2147483648 AS q, p_size FROM part) SELECT p_partkey, (q & 8) = 0 AND (q & 16) = 0 AS landsat, (q & 3) = 0 AS modis, ((q >> 2) & 3) = 0 AS viirs, (q & 134217728) = 0 AS s3, (q & 1024) = 0 AND (q & 2048) = 0 AS s2, p_size < 5 AS s2_probability FROM q""")
+def p06_clear_sky(spark, sf_dir):
+    word = F.col("p_partkey") * 7654321 % 2147483648
+    return table(spark, sf_dir, "part").select("p_partkey", *[B.is_clear(s, word).alias(s) for s in B.CLEAR_BITS], B.is_clear("s2_probability", F.col("p_size")).alias("s2_probability"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 from collections.abc import Callable, Iterator
 
@@ -20,6 +21,12 @@ def products(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return _files(spark, folder, pattern).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified"))
 
 
+def product_catalogue(spark: SparkSession, folders: dict[str, tuple[str, str]]) -> DataFrame:
+    """Products of all modalities: modality, path, name, length, modified. folders: modality to (folder, pattern of names)."""
+    found = [products(spark, folder, pattern).select(F.lit(modality).alias("modality"), "*") for modality, (folder, pattern) in folders.items()]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def decode_products(spark: SparkSession, folder: str, pattern: str, decode: Callable[[str, bytes], pd.DataFrame], schema: str) -> DataFrame:
     """Rows that `decode` makes of each file's path and content; products of many megabytes want spark.sql.execution.arrow.maxRecordsPerBatch at 1."""
 

@@ -22,6 +22,15 @@ def test_products_are_listed_and_decoded(spark, tmp_path):
     assert sorted((r["y"], r["x"], r["value"]) for r in rows.collect()) == [(0, 0, 1.0), (0, 0, 9.5), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0)]
 
 
+def test_products_of_all_modalities(spark, tmp_path):
+    for folder, name in (("l8", "LC08_L1TP_042024_20240105_20240113_02_T1.tar"), ("s2", "S2A_MSIL1C_20240105T184731_N0510_R070_T11UPS_20240105T202515.SAFE.zip"), ("s2", "notes.txt")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_bytes(b"x")
+    rows = files.product_catalogue(spark, {"landsat": (f"{tmp_path}/l8", "*.tar"), "s2": (f"{tmp_path}/s2", "*.zip")})
+    parsed = rows.select("modality", F.coalesce(names.landsat_name(F.col("name"))["acq"], names.sentinel2_name(F.col("name"))["acq"]).alias("acq"), "length").collect()
+    assert sorted((r.modality, str(r.acq), r.length) for r in parsed) == [("landsat", "2024-01-05", 1), ("s2", "2024-01-05", 1)]
+
+
 def test_area_of_interest_is_one_polygon(spark, tmp_path):
     shape = lambda kind, ring: {"type": "Feature", "properties": {}, "geometry": {"type": kind, "coordinates": [ring]}}
     ring = [[0, 0], [4, 0], [4, 3], [0, 0]]
