@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ASCII that is neither letter nor digit: words are runs of all other characters.
+BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 WINDOW = 10
 #: Least and most bits of the filter that goes along with the plan, and bits for each word in between; windows and words that may be broadcast.
 FILTER_BITS, MOST_FILTER_BITS, BITS_A_WORD, BROADCAST_ROWS = 1 << 18, 1 << 22, 32, 100_000
 
 
 def words_of(text: Column) -> Column:
-    """Words of a text after lower-casing A to Z. Where all letters are ASCII, the faster lower() does the same."""
-    lowered = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
-    return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """Words of a text: A to Z become small letters and all other ASCII but letters and digits becomes blanks, between which the words are."""
+    parts = F.split(F.translate(text, UPPER + BETWEEN, LOWER + " " * len(BETWEEN)), " ")
+    return F.coalesce(F.filter(parts, lambda w: w != ""), F.array().cast("array<string>"))
 
 
 def _filter_of(words: DataFrame) -> list[int]:
@@ -75,7 +76,7 @@ def prefixes(windows: DataFrame, docs: DataFrame) -> DataFrame:
     return rarest.select("window", F.col("r.word").alias("token"), F.col("r.at").alias("at"), "length")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_text_hash: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row for each row of docs.
 
     docs: doc_id, text. benchmark: item_id, text. Further columns, whatever their names,
@@ -84,7 +85,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     share a window all count. Very long texts are read whole. Without items nothing is
     contaminated; without documents there are no rows.
 
-    The texts are read once for the words' counts and once for the places where a prefix
+    with_text_hash adds of_text, xxhash64 of the text that a row was judged by. The texts
+    are read once for the words' counts and once for the places where a prefix
     may be; those are few, and only they take part in the joins.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -111,6 +113,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     grouped = rows.groupBy("doc_id", "of_text").agg(F.max("n").alias("n"), F.count("row").cast("int").alias("rows"), F.collect_set("span").alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
     sha = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
-    done = grouped.select("doc_id", F.col("n").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), "rows")
+    done = grouped.select("doc_id", "of_text", F.col("n").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), sha.alias("items_sha256"), "rows")
     each = F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy")
-    return done.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), each).drop("copy")
+    own = ["doc_id", "of_text"] if with_text_hash else ["doc_id"]
+    return done.select(*own, "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), each).drop("copy")

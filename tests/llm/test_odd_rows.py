@@ -42,7 +42,7 @@ def test_decontamination_equals_brute_force(spark):
     say = lambda n: " ".join(rng.choices(("a", "b", "C", "É", "dd"), k=n))
     items = [(k, say(n)) for k, n in enumerate((10, 10, 12, 25, 10, 3, 2))] + [(90, None), (91, "-- !"), (None, say(11)), (92, "A b"), (10, "a B")]
     docs = [(k, say(rng.randrange(0, 40))) for k in range(60)] + [(100 + k, say(5) + ", " + (items[k % 5][1]).upper() + "! " + say(4)) for k in range(10)]
-    docs += [(200, None), (201, ""), (202, "..."), (203, "x " * 30_000 + items[3][1]), docs[0], docs[61], (None, items[0][1])]
+    docs += [(200, None), (201, ""), (202, "..."), (204, "a\x00b\tA\u0085b\U0001f600 \u00c9x _y_ \x7f" + items[0][1].replace(" ", "\x00")), (203, "x " * 30_000 + items[3][1]), docs[0], docs[61], (None, items[0][1])]
     got = decontamination.contamination(spark.createDataFrame([(d, t, "s", "k", "n") for d, t in docs], DOCS), spark.createDataFrame(items, "item_id long, text string"))
     assert Counter(map(tuple, got.collect())) == Counter(brute_hits(docs, items))
 
