@@ -18,7 +18,7 @@ from .common import slices
 from .merges import MergeTable, merge_rounds
 
 #: Encodings that a Python worker keeps, and the longest word that it keeps one of.
-CACHE_ROWS, CACHE_CHARS = 100_000, 48
+CACHE_ROWS, CACHE_CHARS = 60_000, 48
 
 
 class WordBpe:

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts handled at once inside a task: rows, and characters of text.
-SLICE_ROWS, SLICE_CHARS = 512, 2_000_000
+SLICE_ROWS, SLICE_CHARS = 256, 1_000_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ component already or their signatures rule the link out.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ PERCENT = 75
 LEAST_AGREEMENT = 0.6
 #: Members of a block, and ids that may be broadcast.
 BLOCK, BROADCAST_IDS = 512, 500_000
-CACHE_ROWS = 200_000
+CACHE_ROWS = 100_000
 _RNG = np.random.RandomState(20240229)
 _A = (_RNG.randint(0, 2**63, BANDS * ROWS, np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _RNG.randint(0, 2**63, BANDS * ROWS, np.int64).astype(np.uint64)
@@ -99,8 +99,8 @@ def _bands(least: np.ndarray) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n (size of the set), digest of the set, its bands and its signature (a byte of every minimum); null for empty sets."""
+def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n (size of the set), digest of the set, its bands and its signature (a byte of every minimum), null for empty sets; and the columns to carry along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -115,11 +115,13 @@ def sketch(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
                 for k, b, m in zip(full, _bands(least), short):
                     bands[k], marks[k] = b, m.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "n", "digest", "bands", "marks"]
+                [batch.column("key"), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary()), *map(batch.column, carry)],
+                names=["doc_id", "n", "digest", "bands", "marks", *carry],
             )
 
-    rows = docs.selectExpr(f"cast(`{key}` as long) as key", f"`{text}` as text")
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>, marks binary")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *carry)
+    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, f"doc_id long, n long, digest binary, bands array<long>, marks binary{carried}")
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -236,8 +238,8 @@ def _stray_links(candidates: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs.
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, and the columns to carry along: one row for each row of docs.
 
     A text without words, or null, has no shingles and is linked with nothing: its own
     id is its component. Repeated rows and exact copies have one set and so one
@@ -246,8 +248,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     whole, further columns are left out, and an empty table gives no rows. An id
     that stands on unlike texts is one document with the links of all of them.
     """
+    rows = materialize(sketch(docs, text, key, carry))
     docs = docs.selectExpr(f"cast(`{key}` as long) as doc_id", f"`{text}` as text")
-    rows = materialize(sketch(docs))
     classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     classes = materialize(classes)
     marks = classes.select("node", "marks")
@@ -270,6 +272,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
         more = _stray_links(near.join(texts, "node"), percent)
         found = connected_components(found.selectExpr("node as a", "component as b").where("a <> b").union(more))
     named = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    joined = rows.select("doc_id", "n", "digest").join(materialize(named), "digest", "left")
+    joined = rows.select("doc_id", "n", "digest", *carry).join(materialize(named), "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *carry).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,8 +159,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, held_out, text: str = "text"
     return fit_pu(*sets) if all(map(len, sets)) else None
 
 
-def score_quality(docs: DataFrame, model: PuModel | None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Scores every whole text, however long: doc_id, score, predicted. Null texts are scored as empty ones; without a model all score 0.5.
+def score_quality(docs: DataFrame, model: PuModel | None, text: str = "text", key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+    """Scores every whole text, however long: doc_id, score, predicted, and the columns to carry along. Null texts are scored as empty ones; without a model all score 0.5.
 
     Repeated rows give repeated results, a null key stays null, further columns,
     whatever their names, are left out, and an empty table gives no rows. No row moves: the model is a few hundred numbers that go with the task.
@@ -170,6 +170,8 @@ def score_quality(docs: DataFrame, model: PuModel | None, text: str = "text", ke
         for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
             score = model.score(np.array([features(t) for t in texts])) if model else np.full(len(texts), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *map(batch.column, carry)], names=["doc_id", "score", "predicted", *carry])
 
-    return docs.selectExpr(f"cast(`{key}` as long) as key", f"`{text}` as text").mapInArrow(run, "doc_id long, score double, predicted int")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *carry)
+    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, f"doc_id long, score double, predicted int{carried}")

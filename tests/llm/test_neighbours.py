@@ -52,6 +52,13 @@ def test_copies_in_many_blocks(spark, monkeypatch):
     assert got[40] == list(range(20)) and got[0] == list(range(1, 21)) and got[1000] == list(range(20))
 
 
+def test_ties_at_the_cut_go_to_smaller_ids(spark):
+    """Unlike vectors with one inner product, in several tables and ranges of norms."""
+    rows = [(0, [1.0, 0.0, 0.0]), *((k, [0.5, 0.3 * k, 1.0 / k]) for k in range(1, 60)), (100, [0.75, 0.0, 0.0])]
+    got, _ = run(spark, rows)
+    assert got[0] == [100, *range(1, 20)] and got == exact(rows, 20)
+
+
 def test_near_copies_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
     monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 4)

@@ -1,4 +1,5 @@
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -82,3 +83,22 @@ def test_the_result_does_not_depend_on_partitions(spark):
     docs = docs.unionByName(docs.selectExpr("cast(null as long) as doc_id", "text")).unionByName(docs.selectExpr("doc_id div 2 as doc_id", "concat(text, ' and more') as text"))
     got = [sorted(map(str, map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs.repartition(n), SF).collect()))) for n in (1, 7)]
     assert got[0] == got[1]
+
+
+def test_texts_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    one, other, third = (" ".join(f"{c}{k}" for k in range(20)) for c in "abc")
+    rows = [(1, one), (2, other), (3, one), (None, other), (4, third), (4, third), (5, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())))
+    assert want == sorted(map(str, [(1, one), (2, other), (4, third), (5, ""), (None, None)]))
+    hashed = corpus_pipeline._hashed
+    monkeypatch.setattr(corpus_pipeline, "_hashed", lambda docs: hashed(docs).withColumn("_hash_1", F.lit(7).cast("long")))
+    assert sorted(map(str, map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()))) == want
+
+
+def test_rows_of_one_id_and_text_leave_the_first_by_all_columns(spark):
+    text = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, text, "b"), (1, text, "a"), (None, text, "c"), (2, "", "x"), (2, "", "y")], "doc_id long, text string, lang string")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert got == [(1, text), (2, "")]
+    assert {tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), SF).collect()} == {tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs.coalesce(1), SF).collect()}
