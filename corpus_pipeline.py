@@ -2,58 +2,80 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.llm import bpe, decontamination, near_dups, pii, quality
 from gridloom.llm.common import materialize, table
 from gridloom.llm.queries import crc_is
 
-#: Rejected rows up to this number are broadcast, more are joined by a shuffle; the column that numbers the rows of a stage.
-BROADCAST_IDS = 500_000
-ROW = "_row"
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows of docs, each with a number of its own, so that it is judged by its own text whatever its id is."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+#: Rejected texts up to this number are broadcast, more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: Names of the columns that a stage adds for itself: two hashes of the text.
+HASHES = ["_hash_1", "_hash_2"]
 
 
-def _by_row(rows: DataFrame) -> DataFrame:
-    """The rows for operators that know documents by doc_id: the number stands in its place."""
-    return rows.withColumn("doc_id", F.col(ROW)).drop(ROW)
+def _hashed(docs: DataFrame) -> DataFrame:
+    """Rows of docs with 128 bits of hashes of their texts, so that each is judged by its own text whatever its id is."""
+    return docs.withColumns({"_hash_1": F.xxhash64(F.lit(1), "text"), "_hash_2": F.xxhash64("text")})
 
 
-def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Numbered rows whose number is not rejected, columns of the documents as they were."""
-    numbers = materialize(rejected.select(F.col("doc_id").alias(ROW)))
-    return rows.join(F.broadcast(numbers) if numbers.count() <= BROADCAST_IDS else numbers, ROW, "left_anti").drop(ROW)
+def _without(rows: DataFrame, rejected: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose columns `by` are not among those rejected; nulls are equal."""
+    keys = materialize(rejected.select(*[F.col(c).alias(f"_no{c}") for c in by]).distinct())
+    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_no{c}")) for c in by])
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, same, "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good. A null text is judged as an empty one; each row by its own text, with or without an id."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), crc_is(3, 1))
-    rows = _numbered(docs)
-    return _without(rows, quality.score_quality(_by_row(rows), model).where("predicted = 0"))
+    rows = _hashed(docs)
+    judged = quality.score_quality(rows, model, key="_hash_1", carry=["_hash_2"])
+    return _without(rows, judged.where("predicted = 0").select(F.col("doc_id").alias("_hash_1"), "_hash_2"), HASHES).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id (rows without an id come last). Of texts without words one stays for each id and text."""
-    rows = _numbered(docs)
-    judged = near_dups.near_duplicates(_by_row(rows)).withColumnRenamed("doc_id", ROW)
-    named = rows.select(ROW, "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), F.col("text").isNull().alias("none"))
-    words = F.coalesce(F.col("n_shingles"), F.lit(0)) > 0
-    alone = F.struct("doc_id", "sha", "none", F.when(F.col("doc_id").isNull(), F.col(ROW)).alias("only"))
-    group = materialize(judged.join(named, ROW).select(ROW, "doc_id", "sha", F.when(words, F.col("component_id")).alias("component"), F.when(~words, alone).alias("alone")))
-    least = group.groupBy("component", "alone").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "sha", ROW)).alias("least")).select(F.col(f"least.{ROW}").alias(ROW))
-    return _without(rows, group.join(least, ROW, "left_anti").select(F.col(ROW).alias("doc_id")))
+    """One document of each group of near copies, the one with the least id (rows without an id come last).
+
+    Of texts without words one stays for each id and text, and all that have no id. Of
+    rows of one id and one text one stays, the first by all columns. Texts go by a hash of
+    64 bits; where two texts share it, which a count of another 64 bits shows, rows get
+    numbers instead.
+    """
+    rows = _hashed(docs)
+    clash = rows.groupBy("_hash_1").agg((F.min("_hash_2") != F.max("_hash_2")).alias("clash")).where("clash")
+    if clash.limit(1).count():
+        rows = materialize(docs.withColumns({"_hash_1": F.monotonically_increasing_id(), "_hash_2": F.lit(0).cast("long")}))
+    named = rows.select(F.col("_hash_1").alias("key"), "text", "doc_id", "_hash_1", "_hash_2").withColumnRenamed("doc_id", "own")
+    judged = near_dups.near_duplicates(named, key="key", carry=["own", *HASHES])
+    group = F.when(F.col("n_shingles") > 0, F.struct("component_id")).alias("group")
+    keys = materialize(judged.groupBy(group, F.col("own").alias("doc_id"), *HASHES).agg(F.count(F.lit(1)).alias("times")))
+    least = keys.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *HASHES)).alias("least"))
+    kept = materialize(least.select(F.col("least.doc_id").alias("doc_id"), *[F.col(f"least.{h}").alias(h) for h in HASHES]))
+    by = ["doc_id", *HASHES]
+    left = _without(rows, _without(keys.where("group is not null"), kept, by), by)
+    again = keys.where("times > 1 and (group is not null or doc_id is not null)")
+    if not again.limit(1).count():
+        return left.select(docs.columns)
+    again = materialize(again.select(*[F.col(c).alias(f"_no{c}") for c in by]))
+    same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_no{c}")) for c in by])
+    first = Window.partitionBy(*by).orderBy(F.xxhash64(*docs.columns), *[c for c in docs.columns if c != "text"])
+    one = left.join(again, same, "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1")
+    return left.join(again, same, "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs. Null and empty texts stay, as rows without an id do where their text is clean."""
-    rows = _numbered(docs)
-    return _without(rows, decontamination.contamination(_by_row(rows), table(spark, sf_dir, "benchmark")).where("contaminated"))
+    rows = _hashed(docs)
+    judged = decontamination.contamination(rows.select(F.col("_hash_1").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), with_text_hash=True)
+    bad = judged.where("contaminated").select(F.col("doc_id").alias("_hash_1"), F.col("of_text").alias("_hash_2"))
+    return _without(rows, bad, HASHES).select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
