@@ -117,3 +117,12 @@ def m05_batch_scores(spark, sf_dir):
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:4])
     scored = M.score_batches(rows, lambda b: (b["l_discount"] * 5 + b["l_tax"] * 2).clip(0, 1), rows.columns[:4], schema)
     return scored.withColumn("score", r("score", 6))
+
+
+@query(None)
+def m02_logistic(spark, sf_dir):
+    """Whether a line item was sent back, by a logistic regression over three features: its classes and how many of each are foretold so."""
+    features = ["l_quantity", "l_extendedprice", "l_discount"]
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("label"), *features)
+    scored = M.predicted(M.fit_logistic(rows, features, "label"), rows, features, ["label"])
+    return A.confusion(scored, "label", "prediction")

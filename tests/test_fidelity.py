@@ -151,3 +151,9 @@ def test_the_forest_query_has_all_suppliers_and_all_line_items(spark):
     got = {r.l_suppkey: r.n for r in stored.m01_forest(spark, SF).collect()}
     want = {r.l_suppkey: r["count"] for r in spark.read.parquet(f"{SF}/lineitem.parquet").groupBy("l_suppkey").count().collect()}
     assert got == {**want, None: sum(want.values())}
+
+
+def test_the_logistic_query_has_every_line_item(spark):
+    got = stored.m02_logistic(spark, SF).collect()
+    flags = spark.read.parquet(f"{SF}/lineitem.parquet").groupBy(F.col("l_returnflag") == "R").count().collect()
+    assert {label: sum(r.n for r in got if r.label == label) for label in (0.0, 1.0)} == {float(f[0]): f[1] for f in flags}
