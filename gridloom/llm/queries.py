@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .oracles import ORACLE_SQL  # noqa: F401
-from . import bpe, decontamination, html_text, near_dups, neighbours, pii, quality, reputation, token_counts, toxicity
+from . import alignment, bpe, conversations, decontamination, html_text, near_dups, neighbours, pii, quality, reputation, sharding, token_counts, toxicity
 from .common import table
 
 
@@ -73,7 +73,35 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair_digests(conversations.damaged(rows), conversations=rows.select("conv_id").distinct())
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), *paths, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_url_reputation, op3_neighbours, op4_html_text, op5_token_counts, op6_toxicity, op7_near_dups, op8_bpe, op9_personal_data, op10_decontamination)
+    for f in (
+        op1_quality,
+        op2_url_reputation,
+        op3_neighbours,
+        op4_html_text,
+        op5_token_counts,
+        op6_toxicity,
+        op7_near_dups,
+        op8_bpe,
+        op9_personal_data,
+        op10_decontamination,
+        op11_sharding,
+        op12_conversation_repair,
+        op13_token_alignment,
+    )
 }
