@@ -85,9 +85,9 @@ def metres_per_degree(lat: Column) -> tuple[Column, Column]:
     return 111132.954 - 559.822 * F.cos(2 * a) + 1.175 * F.cos(4 * a) - 0.0023 * F.cos(6 * a), 111412.84 * F.cos(a) - 93.5 * F.cos(3 * a) + 0.118 * F.cos(5 * a)
 
 
-def degree_spacing(lat: Column, step_x: float, step_y: float) -> tuple[Column, Column]:
+def degree_spacing(lat: Column, step_x: Column | float, step_y: Column | float) -> tuple[Column, Column]:
     """Metres of steps in degrees along a row at a latitude, and along a column, on the sphere."""
-    return step_x * METRES_PER_DEGREE * F.cos(F.radians(lat)), F.lit(step_y * METRES_PER_DEGREE)
+    return step_x * METRES_PER_DEGREE * F.cos(F.radians(lat)), F.lit(step_y) * METRES_PER_DEGREE
 
 
 def box_around(lat: Column, lon: Column, half_metres: float) -> Column:

@@ -24,24 +24,58 @@ def utm_zone(lon: Column) -> Column:
     return (F.floor((lon + 180) / 6) + 1).cast("int")
 
 
+def conformal(lat: Column) -> Column:
+    """The sine-like measure of latitude that a transverse projection starts from."""
+    e = 2 * _N**0.5 / (1 + _N)
+    s = F.sin(F.radians(lat))
+    return F.sinh(F.atanh(s) - e * F.atanh(e * s))
+
+
+def transverse(t: Column, d: Column) -> tuple[Column, Column]:
+    """On the sphere: angles along and across the meridian at `d` radians."""
+    return F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
+
+
+def _series(terms: Sequence[float], xi: Column, eta: Column, f, g) -> Column:
+    return sum((a * f(2 * k * xi) * g(2 * k * eta) for k, a in enumerate(terms, 1)), F.lit(0.0))
+
+
+def rolled_out(xi: Column, eta: Column, south: Column) -> tuple[Column, Column]:
+    """Easting and northing of the ellipsoid from the angles of the sphere."""
+    x, y = eta + _series(_FORWARD, xi, eta, F.cos, F.sinh), xi + _series(_FORWARD, xi, eta, F.sin, F.cosh)
+    return FALSE_EASTING + _RADIUS * x, F.when(south, FALSE_NORTHING).otherwise(0.0) + _RADIUS * y
+
+
+def rolled_up(easting: Column, northing: Column, south: Column) -> tuple[Column, Column]:
+    return (northing - F.when(south, FALSE_NORTHING).otherwise(0.0)) / _RADIUS, (easting - FALSE_EASTING) / _RADIUS
+
+
+def on_sphere(xi: Column, eta: Column) -> tuple[Column, Column]:
+    return xi - _series(_BACK, xi, eta, F.sin, F.cosh), eta - _series(_BACK, xi, eta, F.cos, F.sinh)
+
+
+def from_transverse(x: Column, h: Column) -> tuple[Column, Column]:
+    """Conformal latitude and the distance to the middle meridian, in radians."""
+    return F.asin(F.sin(x) / F.cosh(h)), F.atan2(F.sinh(h), F.cos(x))
+
+
+def geodetic(chi: Column) -> Column:
+    return F.degrees(chi + sum((d * F.sin(2 * k * chi) for k, d in enumerate(_LATITUDE, 1)), F.lit(0.0)))
+
+
+def middle_meridian(zone: Column) -> Column:
+    return zone * 6 - 183
+
+
 def to_utm(lat: Column, lon: Column, zone: Column) -> Column:
     """Easting and northing in a zone, by the transverse Mercator series to third order (well under a millimetre inside a zone)."""
-    e = 2 * _N**0.5 / (1 + _N)
-    s, d = F.sin(F.radians(lat)), F.radians(lon - (zone * 6 - 183))
-    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
-    xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
-    x = eta + sum((a * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, a in enumerate(_FORWARD, 1)), F.lit(0.0))
-    y = xi + sum((a * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, a in enumerate(_FORWARD, 1)), F.lit(0.0))
-    return F.struct((FALSE_EASTING + _RADIUS * x).alias("easting"), (F.when(lat < 0, FALSE_NORTHING).otherwise(0.0) + _RADIUS * y).alias("northing"))
+    easting, northing = rolled_out(*transverse(conformal(lat), F.radians(lon - middle_meridian(zone))), lat < 0)
+    return F.struct(easting.alias("easting"), northing.alias("northing"))
 
 
 def from_utm(easting: Column, northing: Column, zone: Column, south: Column) -> Column:
-    xi, eta = (northing - F.when(south, FALSE_NORTHING).otherwise(0.0)) / _RADIUS, (easting - FALSE_EASTING) / _RADIUS
-    x = xi - sum((b * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, b in enumerate(_BACK, 1)), F.lit(0.0))
-    h = eta - sum((b * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, b in enumerate(_BACK, 1)), F.lit(0.0))
-    chi = F.asin(F.sin(x) / F.cosh(h))
-    lat = chi + sum((d * F.sin(2 * k * chi) for k, d in enumerate(_LATITUDE, 1)), F.lit(0.0))
-    return F.struct(F.degrees(lat).alias("lat"), (zone * 6 - 183 + F.degrees(F.atan2(F.sinh(h), F.cos(x)))).alias("lon"))
+    chi, d = from_transverse(*on_sphere(*rolled_up(easting, northing, south)))
+    return F.struct(geodetic(chi).alias("lat"), (middle_meridian(zone) + F.degrees(d)).alias("lon"))
 
 
 def from_sinusoidal(x: Column, y: Column) -> Column:
@@ -49,6 +83,10 @@ def from_sinusoidal(x: Column, y: Column) -> Column:
     return F.struct(F.degrees(lat).alias("lat"), F.degrees(x / (SINUSOIDAL_RADIUS * F.cos(lat))).alias("lon"))
 
 
+def to_sinusoidal(lat: Column, lon: Column) -> Column:
+    return F.struct((SINUSOIDAL_RADIUS * F.radians(lon) * F.cos(F.radians(lat))).alias("x"), (SINUSOIDAL_RADIUS * F.radians(lat)).alias("y"))
+
+
 def box_area_km2(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column) -> Column:
     """Area of a longitude-latitude box on the sphere of equal area; zero if it is empty."""
     height = F.sin(F.radians(max_lat)) - F.sin(F.radians(min_lat))

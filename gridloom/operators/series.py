@@ -34,7 +34,8 @@ def median_fill(df: DataFrame, pixel: Sequence[str], space: Sequence[str], tier:
 def slope_aspect(df: DataFrame, keys: Sequence[str], height: str, size_x: Column | float, size_y: Column | float) -> DataFrame:
     """Slope and aspect in degrees by the third-order stencil on 3 x 3 pixels; edges repeat themselves.
 
-    The sizes of a pixel may be columns: in degrees, that along a row depends on its latitude.
+    For pixels in rows and columns that windows can hold; see stencils.gradients for lattices of
+    any extent. The sizes of a pixel may be columns: in degrees, that along a row depends on its latitude.
     """
     along_x, along_y = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
     z = F.col(height)
@@ -43,7 +44,8 @@ def slope_aspect(df: DataFrame, keys: Sequence[str], height: str, size_x: Column
     c = F.col
     dx = ((c("_n._e") + 2 * c("_e") + c("_s._e")) - (c("_n._w") + 2 * c("_w") + c("_s._w"))) / (8 * size_x)
     dy = ((c("_s._w") + 2 * c("_s._c") + c("_s._e")) - (c("_n._w") + 2 * c("_n._c") + c("_n._e"))) / (8 * size_y)
-    rows = rows.withColumn("slope", F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))).withColumn("aspect", F.pmod(450 - F.degrees(F.atan2(dy, -dx)), F.lit(360.0)))
+    aspect = F.when((dx == 0) & (dy == 0), 270.0).otherwise(F.pmod(450 - F.degrees(F.atan2(dy, -dx)), F.lit(360.0)))  # level ground, as from a signed zero
+    rows = rows.withColumn("slope", F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))).withColumn("aspect", aspect)
     return rows.drop("_w", "_e", "_r", "_n", "_s")
 
 
