@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -105,6 +106,49 @@ def polygon_area_km2(ring: Column) -> Column:
     return F.abs(F.aggregate(turns, F.lit(0.0), lambda total, t: total + t)) / 2 * (AUTHALIC_RADIUS / 1000) ** 2
 
 
+_E2 = FLATTENING * (2 - FLATTENING)
+
+
+def authalic(lat: Column) -> Column:
+    """The height of a latitude in the equal-area map of the WGS84 ellipsoid, in square metres for one radian of longitude."""
+    e = _E2**0.5
+    s = F.sin(F.radians(lat))
+    return SEMI_MAJOR**2 * (1 - _E2) / 2 * (s / (1 - _E2 * s * s) + F.atanh(e * s) / e)
+
+
+def ellipsoid_box_km2(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column) -> Column:
+    """Area of a longitude-latitude box on the ellipsoid, in closed form; zero if it is empty."""
+    return F.greatest(F.radians(max_lon - min_lon), F.lit(0.0)) * F.greatest(authalic(max_lat) - authalic(min_lat), F.lit(0.0)) / 1e6
+
+
+def _around(ring: Column, turn) -> Column:
+    """Sum of turn(corner, next corner) over a ring."""
+    following = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(1), F.lit(1)))
+    return F.aggregate(F.zip_with(ring, following, turn), F.lit(0.0), lambda total, t: total + t)
+
+
+def ellipsoid_area_km2(ring: Column) -> Column:
+    """Area of a ring of (x longitude, y latitude) on the ellipsoid; its edges are straight in the equal-area map. Zero below three corners, null for a null ring."""
+    mapped = F.transform(ring, lambda p: F.struct(F.radians(p["x"]).alias("x"), authalic(p["y"]).alias("y")))
+    return F.abs(_around(mapped, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])) / 2 / 1e6
+
+
+def geodesic_area_km2(ring: Column) -> Column:
+    """Area of a ring of (x longitude, y latitude) on the ellipsoid, its edges being great circles of the sphere of equal area.
+
+    On the sphere an edge and the equator enclose an area in closed form; the authalic latitude carries the ellipsoid
+    over, so a ring that follows parallels closely has the area of the ellipsoid's box. Edges take the shorter way round.
+    """
+    pole = SEMI_MAJOR**2 * (1 - _E2) / 2 * (1 / (1 - _E2) + math.atanh(_E2**0.5) / _E2**0.5)
+    half = F.transform(ring, lambda p: F.struct(F.radians(p["x"]).alias("x"), F.tan(F.asin(F.greatest(F.least(authalic(p["y"]) / pole, F.lit(1.0)), F.lit(-1.0))) / 2).alias("t")))
+
+    def below(p: Column, q: Column) -> Column:
+        step = F.pmod(q["x"] - p["x"] + math.pi, F.lit(2 * math.pi)) - math.pi
+        return 2 * F.atan2(F.tan(step / 2) * (p["t"] + q["t"]), 1 + p["t"] * q["t"])
+
+    return F.abs(_around(half, below)) * pole / 1e6
+
+
 def overlap_action(area_km2: Column, least: float = 1.0) -> Column:
     return F.when(area_km2 <= 0, "SKIP_NO_OVERLAP").when(area_km2 < least, "SKIP_DEGENERATE_OVERLAP").otherwise("CLIP")
 
