@@ -38,7 +38,7 @@ _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _HOLDS = _CLOSES_P | frozenset("html body li dd dt tr td th foreignobject template".split())
 _CONTAINERS = frozenset("html body article main section div td".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: What surrounds an article, by element or role; reader comments, by words in class or id.
+#: What surrounds an article, by element or role; reader comments, by words in class or id, unless the page's own article lies below.
 _OUTSIDE = frozenset("nav footer aside menu dialog head noscript template svg object select option button".split())
 _OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 _COMMENT_WORDS = frozenset("comment comments disqus respond".split())
@@ -51,19 +51,22 @@ _ROOTS = frozenset("html body main article".split())
 
 _OPEN = re.compile(r"<(?:(!--)|[!?]|/[^a-zA-Z]|(/?)([a-zA-Z][^\s/>]*))")
 _REST_OF_TAG = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute after the other, each with its value, so that no value is taken for a name.
+_ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 _SPACE = re.compile(r"\s+")
 _END_RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 _END_APART = re.compile(rf"</({'|'.join(sorted(_APART))})\s*>", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 #: Weight of a path's own ratio against its container's, and the share of the page's mean that content must reach.
 SMOOTH, THRESHOLD = 0.5, 0.5
-#: What lying in an article adds to a path's ratio, and lying outside of one takes off, in shares of the mean.
-ARTICLE = 0.5
+#: What lying in the page's article adds to a path's ratio, and lying outside of it takes off, in shares of the mean.
+ARTICLE, BESIDE = 0.5, 1.5
 #: Share of the page's mass that overrules a doubtful element, makes an article the page's, and of text in links that makes a path a menu.
 OVERRULE, DOMINANT, LINKS = 0.5, 0.3, 0.5
+#: Share of the mass of a page without articles and headings that overrules a word for comments, and with which an article that has the first heading is the page's.
+ALONE, HEADED = 0.8, 0.1
 
-_INSIDE, _MAYBE, _OUT = range(3)
+_INSIDE, _MAYBE, _OUT, _COMMENTS = range(4)
 
 
 @dataclass
@@ -86,20 +89,29 @@ class Tree:
         return self.known[key]
 
 
-def _says(name: str, marks: dict[str, str]) -> int:
-    """What an element's name, role and classes say of its text."""
+def _marks(attributes: str) -> dict[str, str]:
+    """The attributes that count, by name; of several of one name the first."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name in ("class", "id", "role", "hidden"):
+            found.setdefault(name, "".join(values).lower())
+    return found
+
+
+def _says(name: str, marks: dict[str, str], in_article: bool = False) -> int:
+    """What an element's name, role and classes say of its text. In an article a header is the article's own."""
     if name in _OUTSIDE or "hidden" in marks or marks.get("role") in _OUTSIDE_ROLES:
         return _OUT
+    words = [[p for p in re.split(r"[-_]+", word) if p] for word in f"{marks.get('class', '')} {marks.get('id', '')}".split()]
+    words = [parts for parts in words if not _NEGATING.intersection(parts)]
     if name in _ROOTS:
-        return _INSIDE
-    said = _MAYBE if name in _DOUBTFUL else _INSIDE
-    for word in f"{marks.get('class', '')} {marks.get('id', '')}".split():
-        parts = [p for p in re.split(r"[-_]+", word) if p]
-        if _NEGATING.intersection(parts):
-            continue
+        return _COMMENTS if name == "article" and any("comment" in parts for parts in words) else _INSIDE
+    said = _MAYBE if name in _DOUBTFUL and not (in_article and name == "header") else _INSIDE
+    for parts in words:
         if _COMMENT_WORDS.intersection(parts):
-            return _OUT
-        if _DOUBTFUL_WORDS.intersection(parts):
+            return _COMMENTS
+        if _DOUBTFUL_WORDS.intersection(parts).difference(("header",) if in_article else ()):
             said = _MAYBE
     return said
 
@@ -188,9 +200,9 @@ def tree_of(page: str) -> Tree:
         for other in _SAME.get(name, ()):
             if stack and stack[-1][0] == other:
                 cut(len(stack) - 1)
-        marks = {a.lower(): (b or c or d or "").lower() for a, b, c, d in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
+        marks = _marks(attributes) if attributes.strip() else {}
         step = ".".join([name, *marks.get("class", "").split()])
-        stack.append((name, tree.child(stack[-1][1] if stack else 0, name, step, _says(name, marks))))
+        stack.append((name, tree.child(stack[-1][1] if stack else 0, name, step, _says(name, marks, count["article"] > 0))))
         count[name] += 1
     flush()
     return tree
@@ -212,6 +224,37 @@ def _inherited(tree: Tree, own: np.ndarray) -> np.ndarray:
     return np.array(marked)
 
 
+def _comments(tree: Tree, says: np.ndarray, mass: np.ndarray, articles: np.ndarray, headings: np.ndarray) -> np.ndarray:
+    """Which nodes hold reader comments: those with words for them, but for those around the page's own article.
+
+    An article or a first heading belongs to the nearest such node above it, or to none. A node of that kind
+    is the article's if it holds one, and no heading and no article of as much mass is free of them.
+    """
+    worded = says == _COMMENTS
+    if not worded.any():
+        return worded
+    n = len(says)
+    nearest, doubtful = np.zeros(n, int), _inherited(tree, (says == _OUT) | (says == _MAYBE))
+    for node in range(1, n):
+        nearest[node] = node if worded[node] else nearest[tree.parent[node]]
+    articles, headings = articles & ~worded & ~_inherited(tree, says == _OUT), headings & ~_inherited(tree, says == _OUT)
+    free = (nearest == 0) & ~doubtful
+    free_mass, free_heading = mass[free & articles].max(initial=0.0), (free & headings).any()
+    anything = articles.any() or headings.any()
+    overruled = np.zeros(n, bool)
+    for node in np.flatnonzero(worded):
+        own = nearest == node
+        if not anything:
+            holds, most = mass[node] > ALONE * mass[0], mass[node]
+        else:
+            holds, most = (own & (articles | headings)).any(), mass[own & articles].max(initial=0.0) or mass[node]
+        if holds and not free_heading and most > free_mass:
+            while node > 0:
+                overruled[node] = True
+                node = tree.parent[node]
+    return worded & ~overruled
+
+
 def content_blocks(tree: Tree) -> np.ndarray:
     """Which blocks are content."""
     n = len(tree.parent)
@@ -224,11 +267,15 @@ def content_blocks(tree: Tree) -> np.ndarray:
     ratio = (chars - links) / each * np.log1p(1 + marks / each)
     says = np.array(tree.says)
     out = _inherited(tree, says == _OUT)
-    mass = _sums(tree, np.where(out, 0, ratio * times))
     named = np.array([name in ("article", "main") for name in tree.name])
+    first_heading = np.array([name == "h1" for name in tree.name]) & (times > 0)
+    comments = _comments(tree, says, _sums(tree, np.where(out, 0, ratio * times)), named, first_heading)
+    apart = (says == _OUT) | comments
+    out = _inherited(tree, apart)
+    mass = _sums(tree, np.where(out, 0, ratio * times))
     articles = _sums(tree, (named & (_sums(tree, np.where(out, 0, times)) > 0)).astype(int))
     overruled = (mass > OVERRULE * mass[0]) & ((articles > 0) | (articles[0] == 0) | _inherited(tree, named))
-    out = _inherited(tree, (says == _OUT) | ((says == _MAYBE) & ~overruled))
+    out = _inherited(tree, apart | ((says == _MAYBE) & ~overruled))
     inside = (times > 0) & ~out
     if not inside.any():
         return np.zeros(len(of), bool)
@@ -244,8 +291,11 @@ def content_blocks(tree: Tree) -> np.ndarray:
 
     menu = links > LINKS * chars
     mass = _sums(tree, np.where(inside, ratio * times, 0))
-    article = _inherited(tree, named & (mass >= DOMINANT * mass[0]) & (mass > 0))
-    bonus = np.where(article, ARTICLE, -ARTICLE) if article.any() else np.zeros(n)
+    headed = _sums(tree, (first_heading & inside).astype(int)) > 0
+    chosen = named & (mass > 0) & ((mass >= DOMINANT * mass[0]) | (headed & (mass >= HEADED * mass[0])))
+    narrow = chosen & np.array([name == "article" for name in tree.name])
+    article = _inherited(tree, narrow if narrow.any() else chosen)
+    bonus = np.where(article, ARTICLE, -BESIDE) if article.any() else np.zeros(n)
     good = inside & ~menu & (smooth + bonus * mean >= THRESHOLD * mean)
     # what lies in a container that holds content goes with it
     own = np.zeros(n, bool)

@@ -97,3 +97,56 @@ def test_time_grows_with_the_page(part):
     start = time.time()
     html_text.main_text(f"<article><p>{STORY}</p></article>" + part * 100_000 + "<p></button>")
     assert time.time() - start < 20
+
+
+PARAGRAPHS = "".join(f"<p>{STORY}</p>" for _ in range(6))
+SIDE = '<div class="sidebar"><p>Other things, today. Read on.</p></div>'
+TITLED = f"<article><h1>Flood</h1>{PARAGRAPHS}</article>"
+REMARK = "I was there, and it was cold; nobody came to help us. What a night, truly."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body style="overflow:hidden"><article>{PARAGRAPHS}</article>{SIDE}</body>',
+        f'<body><div style="overflow:hidden">{SIDE}<article>{PARAGRAPHS}</article></div></body>',
+        f"<body><article style='overflow: hidden' title=\"not hidden at all\" data-x='hidden'>{PARAGRAPHS}</article>{SIDE}</body>",
+        f'<body><div class="post comments-open"><article>{PARAGRAPHS}</article></div>{SIDE}</body>',
+        f'<body><div class="post comments-open">{PARAGRAPHS}</div>{SIDE}</body>',
+        f'<body><div id="post-comments-enabled"><article>{PARAGRAPHS}</article></div>{SIDE}</body>',
+        f'<body><div class="first-respond"><main>{PARAGRAPHS}</main></div>{SIDE}</body>',
+        f'<body><div class="gdpr-bar"><p>We use cookies, to count you. Do you agree?</p></div><article>{PARAGRAPHS}</article></body>',
+        f'<body><article>{PARAGRAPHS}</article><div class="reader-remarks"><p>{REMARK}</p><p>Well said! I agree, mostly.</p></div></body>',
+        f'<body><main><article>{PARAGRAPHS}</article><div class="reader-remarks"><p>{REMARK}</p></div></main></body>',
+        f'<body><div class="comments-open"><article>{PARAGRAPHS}</article><div id="comments"><article class="comment"><p>{REMARK * 40}</p></article></div></div></body>',
+        f'<body><div hidden class="x"><p>{REMARK * 9}</p></div><article>{PARAGRAPHS}</article></body>',
+    ],
+)
+def test_words_in_values_and_around_articles(page):
+    assert html_text.main_text(page) == "\n\n".join([STORY.strip()] * 6)
+
+
+@pytest.mark.parametrize("head", ["<header><h1>Flood</h1></header>", '<header class="entry-header"><h1 class="entry-title">Flood</h1></header>'])
+def test_an_article_keeps_its_own_header(head):
+    assert html_text.main_text(f"<body><header><p>Site, of news.</p></header><article>{head}{PARAGRAPHS}</article></body>") == "\n\n".join(["Flood"] + [STORY.strip()] * 6)
+
+
+def test_generated_pages_without_articles():
+    """Pages of divisions without telling names: what was put in as the story must come out, and nothing else."""
+    import random
+
+    rng = random.Random(8)
+    words = "the river town night water bridge people came went saw over under slowly".split()
+
+    def sentence():
+        return " ".join(rng.choices(words, k=rng.randint(6, 16))).capitalize() + rng.choice([".", ".", "!", "?"])
+
+    for k in range(300):
+        story = [" ".join(sentence() for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(3, 12))]
+        links = "".join(f'<li><a href="/{i}">{rng.choice(words)} {rng.choice(words)}</a></li>' for i in range(rng.randint(3, 20)))
+        body = "".join(f"<p>{p}</p>" for p in story)
+        before = [f'<div class="a{k}"><ul>{links}</ul></div>', f'<div class="b{k}"><p>{rng.choice(words)} {rng.choice(words)}</p></div>']
+        after = [f'<div class="c{k}"><p><a href="/more">{sentence()}</a></p><p><a href="/most">{sentence()}</a></p></div>', f'<div class="d{k}"><p>© 20{k % 90 + 10}</p></div>']
+        holder = rng.choice([f'<div class="e{k}">%s</div>', f'<div class="comments-open e{k}">%s</div>', f'<div style="overflow:hidden"><div class="e{k}">%s</div></div>', f"<table><tr><td>%s</td></tr></table>"])
+        page = f'<html><head><title>x</title></head><body title="hidden">{"".join(before)}{holder % body}{"".join(after)}</body></html>'
+        assert html_text.main_text(page) == "\n\n".join(story), page
