@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -117,40 +114,6 @@ def nearest_in_time(requests: DataFrame, images: DataFrame, keys: Sequence[str],
     return both.select("request_id", chosen["img"].alias(image), chosen["at"].alias(taken))
 
 
-def knn_predict(queries: DataFrame, base: DataFrame, most: Sequence[int], block: int = 2048) -> DataFrame:
-    """(query_id, k, mean_label, n): mean label of the k nearest rows of base (id, v, label) by Euclidean distance, for each query (query_id, q) and each k in `most`.
-
-    A row of base is no neighbour of a query of its own id; equal distances go by id.
-    Both sides are dealt into blocks of about `block` rows, each pair of which keeps the
-    best of its queries, so what is merged is the blocks of base times the greatest k.
-    """
-    many = lambda df: max(1, math.ceil(df.count() / block))
-    ni, nj, best = many(queries), many(base), max(most)
-    steps = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    slot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    asked = queries.select("query_id", "q", slot("query_id", ni).alias("i"), steps(nj).alias("j"))
-    dealt = base.select("id", "v", "label", slot("id", nj).alias("j"), steps(ni).alias("i"))
-
-    def nearest(asked: pd.DataFrame, dealt: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or dealt.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "label": [], "d": []})
-        v, ids = np.vstack(dealt["v"].to_numpy()).astype(float), dealt["id"].to_numpy()
-        rows = []
-        for query, q in zip(asked["query_id"], asked["q"]):
-            d = ((v - np.asarray(q, float)) ** 2).sum(axis=1)
-            d[ids == query] = np.inf
-            first = np.flatnonzero(d <= np.partition(d, min(best, len(d)) - 1)[min(best, len(d)) - 1])
-            first = first[np.isfinite(d[first])]
-            first = first[np.lexsort((ids[first], d[first]))][:best]
-            rows.append(pd.DataFrame({"query_id": query, "id": ids[first], "label": dealt["label"].to_numpy()[first], "d": d[first]}))
-        return pd.concat(rows)
-
-    scored = asked.groupBy("i", "j").cogroup(dealt.groupBy("i", "j")).applyInPandas(nearest, "query_id long, id long, label double, d double")
-    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where(F.col("r") <= best)
-    each = ranked.withColumn("k", F.explode(F.array(*[F.lit(k) for k in most]))).where("r <= k")
-    return each.groupBy("query_id", "k").agg(F.avg("label").alias("mean_label"), F.count(F.lit(1)).alias("n"))
-
-
 def not_yet_done(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return wanted.join(done.select(*keys).distinct(), list(keys), "left_anti")
 

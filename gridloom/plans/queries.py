@@ -15,6 +15,7 @@ from gridloom.functions import bands as B
 from gridloom.functions import columns as C
 from gridloom.operators import aggregates as A
 from gridloom.operators import joins as J
+from gridloom.operators import knn
 from gridloom.operators import series as W
 from gridloom.sources import names as N
 from gridloom.sources.catalogue import catalogue_extents, catalogue_items
@@ -328,7 +329,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS r FR
 def j10_knn(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").cast("double").alias("label"))
     asked = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    return J.knn_predict(asked, e, (5, 20, 100)).withColumn("mean_label", r("mean_label"))
+    return knn.predict(asked, e, (5, 20, 100)).withColumn("mean_label", r("mean_label"))
 
 
 @query(f"""WITH {SCENES}, i AS (SELECT tile, day, min(scene) AS scene FROM scenes WHERE priority = 1 GROUP BY ALL), q AS (SELECT scene AS request_id, tile, day FROM scenes WHERE priority = 5)
