@@ -62,39 +62,71 @@ def bilinear(target: DataFrame, pixels: DataFrame, keys: Sequence[str], value: s
     return joined.groupBy("target_id").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum(valid), F.lit(0.0))).alias(value))
 
 
+#: Buckets of a level that are sent to all tasks; more are joined by key. Levels between two that are written.
+FEW_BUCKETS, LEVELS_AT_ONCE = 10_000, 4
+
+
+def _pyramid(points: DataFrame, keys: Sequence[str], size: float, reach: float) -> list[DataFrame]:
+    """Buckets of points (*keys, bx, by, box, one point of it) by levels, from the finest to one that a swath fits in twice over."""
+    cell = lambda c: F.floor(F.col(c) / size)
+    box = [F.min("px").alias("x1"), F.min("py").alias("y1"), F.max("px").alias("x2"), F.max("py").alias("y2")]
+    levels = [written(points.groupBy(*keys, cell("px").alias("bx"), cell("py").alias("by")).agg(*box, F.min(F.struct("point_id", "px", "py")).alias("one")))]
+    up = [F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.min("one").alias("one")]
+    while size <= 2 * reach:
+        size *= 2
+        half = [F.floor(F.col(c) / 2).alias(c) for c in ("bx", "by")]
+        levels.append(written(levels[-1].groupBy(*keys, *half).agg(*up)))
+    return levels
+
+
+def _square(x: Column, y: Column) -> Column:
+    return (F.col("x") - x) ** 2 + (F.col("y") - y) ** 2
+
+
+def nearest_buckets(grid: DataFrame, levels: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """(*keys, grid_id, x, y, cx, cy): the buckets of the finest level that can hold each position's nearest point.
+
+    A position goes down the pyramid and keeps the buckets whose box is not farther than the
+    nearest single point it knows of.
+    """
+    ids = [*keys, "grid_id"]
+    nearest = lambda c, a, b: F.greatest(F.least(F.col(c), F.col(b)), F.col(a))
+    left = grid.where("x is not null and y is not null").select(*ids, "x", "y")
+    for depth, level in enumerate(reversed(levels)):
+        parent = level.withColumns({"cx": F.floor(F.col("bx") / 2), "cy": F.floor(F.col("by") / 2)}) if depth else level
+        few = F.broadcast(parent) if level.count() <= FEW_BUCKETS else parent
+        if depth or keys:
+            met = left.join(few, [*keys, "cx", "cy"] if depth else list(keys))
+        else:
+            met = left.crossJoin(few)  # four buckets at most
+        low, high = _square(nearest("x", "x1", "x2"), nearest("y", "y1", "y2")), _square(F.col("one.px"), F.col("one.py"))
+        bound = F.min("_high").over(Window.partitionBy(*ids))
+        kept = met.withColumns({"_low": low, "_high": high}).withColumn("_best", bound).where(F.col("_low") <= F.col("_best") * (1 + 1e-12))
+        left = kept.select(*ids, "x", "y", F.col("bx").alias("cx"), F.col("by").alias("cy"))
+        if depth % LEVELS_AT_ONCE == LEVELS_AT_ONCE - 1:
+            left = written(left)
+    return left
+
+
 def nearest_point(grid: DataFrame, swath: DataFrame, size: float, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Reading of the nearest swath point to each grid position (grid_id, x, y) among those of equal keys: (*keys, grid_id, value).
 
     grid and swath have the keys. Of points equally near the one with the lesser
-    point_id counts; null only where no point has the position's keys. A position looks
-    into the 3 x 3 buckets around it. Where nothing is there, or something beyond could be
-    nearer than the best found, it looks again in buckets twice as wide, so that most
-    positions are done after a round or two.
+    point_id counts; null only where no point has the position's keys. Buckets of points
+    are laid over each other in a pyramid, each with the box that its points span and one
+    of the points, so that a position meets the points of a few buckets of the finest
+    level only, however far it lies from the swath.
     """
     ids = [*keys, "grid_id"]
-    points = swath.select(*keys, "point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col(value).alias("v"))
+    points = swath.where("x is not null and y is not null").select(*keys, "point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col(value).alias("v"))
     ends = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
-    places = grid.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if ends[0] is None or places[0] is None:
+    if ends[0] is None:
         return grid.select(*ids, F.lit(None).cast(swath.schema[value].dataType).alias(value))
-    reach = max(max(ends[1], places[1]) - min(ends[0], places[0]), max(ends[3], places[3]) - min(ends[2], places[2]))
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    left, found = grid.select(*ids, "x", "y"), None
-    while True:
-        cell = lambda c: F.floor(F.col(c) / size)
-        asked = left.withColumn("n", near).select(*ids, "x", "y", (cell("x") + F.col("n.a")).alias("bx"), (cell("y") + F.col("n.b")).alias("by"))
-        d = F.when(F.col("point_id").isNotNull(), F.struct(((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2).alias("d"), "point_id"))
-        seen = asked.join(points.withColumns({"bx": cell("px"), "by": cell("py")}), [*keys, "bx", "by"], "left")
-        best = seen.groupBy(*ids).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.min(d).alias("best"), F.min_by("v", d).alias(value))
-        inside = lambda c: F.least(F.col(c) - cell(c) * size, (cell(c) + 1) * size - F.col(c)) + size
-        sure = F.coalesce(F.col("best.d") < F.least(inside("x"), inside("y")) ** 2, F.lit(False)) if size <= reach else F.lit(True)
-        best = written(best.withColumn("sure", sure))
-        done = best.where("sure").select(*ids, value)
-        found = done if found is None else found.unionByName(done)
-        left = best.where("not sure").select(*ids, "x", "y")
-        if not left.limit(1).count():
-            return found
-        size *= 2
+    left = nearest_buckets(grid, _pyramid(points, keys, size, max(ends[1] - ends[0], ends[3] - ends[2])), keys)
+    cell = lambda c: F.floor(F.col(c) / size)
+    seen = left.join(points.withColumns({"cx": cell("px"), "cy": cell("py")}), [*keys, "cx", "cy"])
+    found = seen.groupBy(*ids).agg(F.min_by("v", F.struct(_square(F.col("px"), F.col("py")).alias("d"), "point_id")).alias(value))
+    return grid.select(*ids).join(found, ids, "left")
 
 
 def nearest_in_time(requests: DataFrame, images: DataFrame, keys: Sequence[str], asked: str, taken: str, image: str) -> DataFrame:

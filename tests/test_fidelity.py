@@ -106,6 +106,19 @@ def test_nearest_points_equal_brute_force(spark):
     assert {r.grid_id: r.v for r in got.collect()} == want
 
 
+def test_a_grid_far_from_the_swath_meets_few_points(spark):
+    rng = random.Random(4)
+    swath = [(k, rng.uniform(0, 100), rng.uniform(0, 100), float(k)) for k in range(3000)]
+    grid = [(k, 5000.0 + 10 * k, rng.uniform(-3000, 3000)) for k in range(40)]
+    points = spark.createDataFrame(swath, "point_id int, px double, py double, v double")
+    places = spark.createDataFrame(grid, "grid_id int, x double, y double")
+    found = joins.nearest_buckets(places, joins._pyramid(points, [], 4.0, 100.0), [])
+    met = found.join(points.withColumns({"cx": F.floor(F.col("px") / 4), "cy": F.floor(F.col("py") / 4)}), ["cx", "cy"]).count()
+    assert met < 40 * 3000 / 50
+    got = joins.nearest_point(places, points.selectExpr("point_id", "px as x", "py as y", "v"), 4.0, "v").collect()
+    assert {r.grid_id: r.v for r in got} == {g: min(((x - a) ** 2 + (y - b) ** 2, i, v) for i, a, b, v in swath)[2] for g, x, y in grid}
+
+
 @pytest.mark.parametrize("bins", [1, 7, 4096])
 def test_percentiles_equal_brute_force(spark, bins):
     rng = random.Random(3)
