@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the weights are learnt from at most, their greatest length, and how many like tokens along skip edges count.
-SAMPLE_ROWS, SAMPLE_CHARS, MOST_ALONG = 4000, 50_000, 3
+#: Documents that the weights are learnt from at most, and how many like tokens along skip edges count.
+SAMPLE_ROWS, MOST_ALONG = 4000, 3
 #: Passes of messages, and the least belief in a label that adds a span.
 PASSES, BELIEF = 8, 0.9
 
@@ -283,16 +283,16 @@ def _training_rows(text: str) -> list[tuple]:
 def fit_pii(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Crf:
     """Learns the potentials from the patterns' own labels in at most `rows` texts that hold digits or an "@", by the least hash.
 
-    Texts of more than SAMPLE_CHARS characters are not learnt from. Tasks count equal
+    Texts of any length are learnt from whole. Tasks count equal
     nodes together, so that what comes to the driver is a table of distinct feature rows:
     as many as features, labels of two neighbours and MOST_ALONG skip edges can make.
     """
-    hint = F.col(text).rlike("[0-9@]") & (F.length(text) <= SAMPLE_CHARS)
+    hint = F.col(text).rlike("[0-9@]")
     ids = docs.select(F.col(key).cast("long").alias("key"), hint.alias("hint")).where("hint and key is not null").select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(rows).collect()
     if not ids:
         return fit_crf([])
     chosen = docs.sparkSession.createDataFrame([(r.key,) for r in ids], "key long")  # `rows` at most
-    taken = docs.selectExpr(f"cast(`{key}` as long) as key", f"`{text}` as text").where(f"length(text) <= {SAMPLE_CHARS}").join(F.broadcast(chosen), "key")
+    taken = docs.selectExpr(f"cast(`{key}` as long) as key", f"`{text}` as text").where("text is not null").join(F.broadcast(chosen), "key")
 
     def run(batches):
         for batch in slices(batches, "text"):

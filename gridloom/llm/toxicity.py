@@ -12,11 +12,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import slices
 
-#: Labelled texts that the fit sees at most, and their greatest length in characters.
-SAMPLE_ROWS, SAMPLE_CHARS = 16_000, 50_000
+#: Labelled texts that the fit sees at most, and how many grams they have together (4 bytes each), counted in the order of the sample.
+SAMPLE_ROWS, SAMPLE_GRAMS = 16_000, 64_000_000
 BITS = 20
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 CACHE_ROWS = 200_000
@@ -30,7 +31,7 @@ class Ftrl:
     beta: float = 1.0
     l1: float = 32.0
     l2: float = 0.05
-    epochs: int = 5
+    epochs: int = 3
     weight: float = 3.0
 
 
@@ -78,8 +79,8 @@ def train(rows: list[tuple[np.ndarray, int]], how: Ftrl) -> tuple[np.ndarray, np
 def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out, text: str = "text", key: str = "doc_id", label: str = "toxic", rows: int = SAMPLE_ROWS, how: Ftrl | None = None) -> dict[int, float]:
     """Sparse weights, learnt in one task from at most `rows` labelled texts, those with the least hash of their key.
 
-    held_out: a condition on the key; labels of such rows are never read. Texts of more
-    than SAMPLE_CHARS characters are not learnt from. Their grams are hashed where the
+    held_out: a condition on the key; labels of such rows are never read. The sample ends
+    where its grams reach SAMPLE_GRAMS; no text is left out for its length. Grams are hashed where the
     texts are, so only indexes go to the task that learns. Nothing to learn from gives
     no weights.
     """
@@ -89,7 +90,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out, text: str = "text
     if not ids:
         return {}
     chosen = docs.sparkSession.createDataFrame([(r.key, r.y) for r in ids], "key long, y int")  # `rows` at most
-    taken = docs.selectExpr(f"cast(`{key}` as long) as key", f"`{text}` as text").where(f"text is null or length(text) <= {SAMPLE_CHARS}").join(F.broadcast(chosen), "key")
+    taken = docs.selectExpr(f"cast(`{key}` as long) as key", f"`{text}` as text").join(F.broadcast(chosen), "key")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -99,6 +100,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out, text: str = "text
 
     grams = taken.select("key", "y", "text").mapInArrow(hashed, "key long, y int, indexes array<int>")
     grams = grams.groupBy("key").agg(F.min("indexes").alias("indexes"), F.min("y").alias("y"))
+    before = F.sum(F.size("indexes")).over(Window.orderBy(F.xxhash64("key"), "key"))  # the sample only, in the task that learns
+    grams = grams.withColumn("before", before - F.size("indexes")).where(F.col("before") < SAMPLE_GRAMS).drop("before")
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("key", key=lambda k: k.map(lambda x: zlib.crc32(str(x).encode())))

@@ -125,6 +125,27 @@ def test_held_out_accuracy(spark, query, label, least):
     assert known.agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0] >= least
 
 
+@pytest.mark.parametrize("query, label, least_of_1, least_of_0", [("op1_quality", "quality", 0.98, 0.95), ("op6_toxicity", "toxic", 0.8, 0.98)])
+def test_held_out_rows_of_each_class(spark, query, label, least_of_1, least_of_0):
+    """The rarer class by itself, over enough labels to count: low quality, toxic."""
+    sf = "/root/testdata/sf0.1"
+    scored = queries.QUERIES[query](spark, sf)
+    known = scored.join(spark.read.parquet(f"{sf}/labels.parquet").where(f"{label} is not null"), "doc_id").where("held_out")
+    right = {r.y: (r.n, r.right) for r in known.groupBy(F.col(label).alias("y")).agg(F.count("*").alias("n"), F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("right")).collect()}
+    assert right[1][0] > 50 and right[0][0] > 50
+    assert right[1][1] >= least_of_1 and right[0][1] >= least_of_0, right
+
+
+def test_long_texts_are_learnt_from(spark):
+    """Only texts of over 50,000 characters hold the toxic word."""
+    rows = [(k, ("fine words here " if k % 2 else "vile words here ") * (20 if k % 2 else 4000)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(60)], "doc_id long, toxic int")
+    weights = toxicity.fit_toxicity(docs, labels, crc_is(5, 0), how=toxicity.Ftrl(l1=1.0))
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, weights).collect()}
+    assert got == {k: 1 - k % 2 for k in range(60)}
+
+
 def scores(spark, which, docs, labels):
     if which == "quality":
         return quality.score_quality(docs, quality.fit_quality(docs, labels, crc_is(3, 1)))
