@@ -90,3 +90,43 @@ def test_the_query_equals_plain_regular_expressions(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for _, k, _ in base) for kind in range(4)]
         assert r.base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest() and {*written} <= {*r.spans.split(",")} | {""}
     assert any(r.n_email for r in got) and any(r.n_card for r in got)
+
+
+def planted(rng, filler):
+    """A text with a number or address in full, and later a mention that no pattern matches."""
+    digits, area = "".join(rng.choices("0123456789", k=7)), "".join(rng.choices("23456789", k=3))
+    name = rng.choice(["maria.lopez", "j_smith77", "anna-k9"])
+    first, later, kind = rng.choice(
+        [
+            (f"+1 {area} {digits[:3]} {digits[3:]}", f"{digits[:3]}-{digits[3:]}", 3),
+            (f"+1-{area}-{digits[:3]}-{digits[3:]}", f"({area}) {digits[:3]}-{digits[3:]}", 3),
+            (f"+44 {area}{digits}", f"0{area}{digits}", 3),
+            (f"{name}@example.com", f"{name}@intranet", 0),
+        ]
+    )
+    return f"{filler(20)} call {first} now. {filler(30)} again {later} later. {filler(10)}", later, kind
+
+
+def test_the_field_finds_later_mentions_that_patterns_miss(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    crf = pii.fit_pii(docs)
+    rng = random.Random(2)
+    numbers, words = "12 1999 3.5 2024-03-05 no.7 345-6789 7654321".split(), "the river town night over order".split()
+    filler = lambda n: " ".join(f"{rng.choice(words)} {rng.choice(numbers)} {rng.choice(words)}" for _ in range(n // 3))
+    cases = [planted(rng, filler) for _ in range(300)]
+
+    def found(with_field=True):
+        hits = wrong = 0
+        for text, later, kind in cases:
+            base, every = pii.find_spans(text, crf) if with_field else (pii.base_spans(text),) * 2
+            at = text.rindex(later)
+            added = [s for s in every if s not in base]
+            hits += any(k == kind and a < at + len(later) and b > at for a, k, b in added)
+            wrong += sum(b <= at or a >= at + len(later) for a, _, b in added)
+        return hits / len(cases), wrong
+
+    recall, wrong = found()
+    assert recall >= 0.95 and wrong == 0, (recall, wrong)
+    assert found(with_field=False)[0] == 0  # the patterns alone find none of them
+    monkeypatch.setattr(pii, "beliefs", lambda graph, crf: np.exp(graph.features @ crf.unary) / np.exp(graph.features @ crf.unary).sum(axis=1, keepdims=True))
+    assert found()[0] < 0.85  # nor do the tokens by themselves, without messages
