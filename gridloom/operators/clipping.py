@@ -63,3 +63,14 @@ def window_members(df: DataFrame, keys: Sequence[str], row: str, col: str, insid
     spans = df.where(inside).groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in (row, col) for f, n in ((F.min, "low"), (F.max, "high"))])
     near = [F.col(c).between(F.col(f"_low_{c}") - pad, F.col(f"_high_{c}") + pad) for c in (row, col)]
     return df.join(spans, list(keys)).where(near[0] & near[1]).select(df.columns)
+
+
+#: Percents of cloud over which a scene is cloudy, and under which one of each sensor is clear.
+CLOUDY, CLEAR = 50, {"sentinel2": 10, "landsat": 20}
+
+
+def cloud_kinds(scenes: DataFrame, share: str, sensor: str) -> DataFrame:
+    """Scenes whose share of cloud, in percent, makes them cloudy or clear for their sensor, with that as `kind`; those between are left out."""
+    least = F.element_at(F.create_map(*[F.lit(x) for pair in CLEAR.items() for x in pair]), F.col(sensor))
+    kind = F.when(F.col(share) > CLOUDY, "cloudy").when(F.col(share) < least, "clear")
+    return scenes.withColumn("kind", kind).where("kind is not null")

@@ -10,6 +10,7 @@ from gridloom.operators import aggregates as A
 from gridloom.operators import clipping as K
 from gridloom.operators import joins as J
 from gridloom.operators import series as W
+from gridloom.operators import training as T
 from gridloom.operators.adapters import fetch
 from gridloom.plans.queries import _RING, OBS, ORACLE_SQL, POINTS, PX, SCENES, _ring_sql, _terrain, observations, pixels, points, query, r, scenes, table
 from gridloom.sources import names as N
@@ -80,16 +81,18 @@ def s10_metadata_footprints(spark, sf_dir):
     return rows.select("id", F.get("f", F.lit(0))["lon"].alias("first_lon"), F.array_max(F.transform("f", lambda p: p["lat"])).alias("top"))
 
 
-@query(f"""WITH {PX} SELECT cell, t, count(*) AS n, count(*) = 60 AS whole FROM px GROUP BY cell, t""")
+@query(f"""WITH {PX}, e AS (SELECT max(n) AS size FROM (SELECT count(*) AS n FROM px GROUP BY cell, t)) SELECT cell, t, count(*) AS n, count(*) = any_value(size) AS whole FROM px, e GROUP BY cell, t""")
 def s18_checked_samples(spark, sf_dir):
+    """Samples with as many pixels as the fullest one are whole, the others go back to the builder."""
     samples = pixels(spark, sf_dir).groupBy("cell", "t").agg(F.collect_list(F.struct("y", "x", "value")).alias("pixels"))
-    good, wrong = S.checked_samples(samples, {"pixels": 60})
+    size = pixels(spark, sf_dir).groupBy("cell", "t").count().agg(F.max("count")).first()[0]
+    good, wrong = S.checked_samples(samples, {"pixels": size or 0})
     return good.withColumn("whole", F.lit(True)).unionByName(wrong.drop("wrong").withColumn("whole", F.lit(False))).select("cell", "t", F.size("pixels").cast("long").alias("n"), "whole")
 
 
-@query(f"""WITH {PX}, b(t, band, "position") AS (VALUES (1, 'red', 1), (2, 'green', 0), (5, 'snow', 2)) SELECT cell, "position", band, count(*) AS n, md5(string_agg(CAST(round(coalesce(value, -9999) * 100) AS BIGINT), ',' ORDER BY y, x)) AS digest FROM px JOIN b ON px.t = b.t GROUP BY ALL""")
+@query(f"""WITH {PX}, b(t, band, "position") AS (VALUES (1, 'step1', 3), (2, 'step2', 6), (3, 'step3', 2), (4, 'step4', 5), (5, 'step5', 1), (6, 'step6', 4), (7, 'step7', 0)) SELECT cell, "position", band, count(*) AS n, md5(string_agg(CAST(round(coalesce(value, -9999) * 100) AS BIGINT), ',' ORDER BY y, x)) AS digest FROM px JOIN b ON px.t = b.t GROUP BY ALL""")
 def s20_packed_cubes(spark, sf_dir):
-    registry = spark.createDataFrame([(1, "red", 1), (2, "green", 0), (5, "snow", 2)], "t int, band string, position int")
+    registry = spark.createDataFrame([(t, f"step{t}", t * 3 % 7) for t in range(1, 8)], "t int, band string, position int")
     packed = S.packed_bands(pixels(spark, sf_dir).join(F.broadcast(registry.select("t", "band")), "t"), registry, ["cell"])
     return packed.select("cell", "position", "band", F.size("values").cast("long").alias("n"), F.md5(F.concat_ws(",", F.transform("values", lambda v: F.round(v * 100).cast("long").cast("string")))).alias("digest"))
 
@@ -186,10 +189,15 @@ def g07_placeholder_bands(spark, sf_dir):
     return J.not_yet_done(registry, observations(spark, sf_dir).select("band").distinct(), ["band"]).select("band")
 
 
-@query(f"""WITH {SCENES} SELECT tile, count(*) AS n, count_if(priority < 2) AS cloudy, count_if(priority > 4) AS clear FROM scenes WHERE priority < 2 OR priority > 4 GROUP BY tile""")
+@query(f"""WITH {SCENES}, c AS (SELECT l_orderkey AS scene, 100.0 * count_if(l_tax > 0.05) / count(*) AS share FROM lineitem GROUP BY 1),
+s AS (SELECT scene, tile, share, share < CASE WHEN scene % 2 = 0 THEN 10 ELSE 20 END AS clear FROM scenes JOIN c USING (scene))
+SELECT tile, count(*) AS n, count_if(share > 50) AS cloudy, count_if(clear) AS clear FROM s WHERE share > 50 OR clear GROUP BY tile""")
 def f17_cloud_cover_scenes(spark, sf_dir):
-    cloudy, clear = F.col("priority") < 2, F.col("priority") > 4
-    return scenes(spark, sf_dir).where(cloudy | clear).groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.count_if(cloudy).alias("cloudy"), F.count_if(clear).alias("clear"))
+    """Cloudy and clear scenes of each tile, by the share of their pixels that is cloudy."""
+    share = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("scene")).agg((100 * F.avg((F.col("l_tax") > 0.05).cast("double"))).alias("share"))
+    sensor = F.when(F.col("scene") % 2 == 0, "sentinel2").otherwise("landsat")
+    kinds = K.cloud_kinds(scenes(spark, sf_dir).join(share, "scene").withColumn("sensor", sensor), "share", "sensor")
+    return kinds.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "cloudy").alias("cloudy"), F.count_if(F.col("kind") == "clear").alias("clear"))
 
 
 @query(f"""WITH {PX} SELECT cell, t, y * 2 + a AS "row", x * 2 + b AS col, round(value, 2) AS value FROM px, range(2) u(a), range(2) v(b)""")
@@ -199,12 +207,17 @@ def m06_patches_on_mosaic(spark, sf_dir):
     return placed(pixels(spark, sf_dir), 2).select("cell", "t", "row", "col", r("value", 2).alias("value"))
 
 
-@query(f"""WITH {PX}, f AS (SELECT cell, t, y, x, quantile_disc(value, 0.5) OVER (PARTITION BY cell, t) AS m, value FROM px), w AS (SELECT cell, y, x, list(coalesce(value, m, -1) ORDER BY t) AS v, count(*) AS n FROM f GROUP BY ALL)
-SELECT w.cell, w.y, w.x, n, round(list_sum(v), 2) AS total, l.value AS label FROM w JOIN px l ON l.cell = w.cell AND l.y = w.y AND l.x = w.x AND l.t = 7 WHERE l.value IS NOT NULL""")
+@query(f"""WITH {PX}, b AS (SELECT cell, t, y // 2 AS "by", x // 2 AS bx, avg(value) AS m, max(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS mask FROM px GROUP BY ALL), i AS (SELECT * FROM b WHERE t < 7),
+f AS (SELECT *, last_value(m IGNORE NULLS) OVER w AS filled, coalesce(t - last_value(CASE WHEN m IS NOT NULL THEN t END IGNORE NULLS) OVER w, -1) AS age FROM i WINDOW w AS (PARTITION BY cell, "by", bx ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+a1 AS (SELECT *, coalesce(filled, quantile_disc(filled, 0.5) OVER (PARTITION BY cell, "by", bx)) AS v1 FROM f), a2 AS (SELECT *, coalesce(v1, quantile_disc(v1, 0.5) OVER (PARTITION BY cell, t)) AS v2 FROM a1), a3 AS (SELECT *, coalesce(v2, avg(v2) OVER ()) AS v FROM a2)
+SELECT a3.cell, a3."by", a3.bx, count(*) AS n, round(sum(v), 5) AS total, sum(age) AS ages, sum(a3.mask) AS masked, round(sum(v * sin(2 * pi() * a3.t / 12)), 6) AS by_month, round(any_value(l.m), 5) AS label
+FROM a3 JOIN b l ON l.t = 7 AND l.cell = a3.cell AND l."by" = a3."by" AND l.bx = a3.bx AND l.m IS NOT NULL GROUP BY ALL""")
 def m03_training_rows(spark, sf_dir):
+    """Blocks of six steps as features, carried, aged and filled; the seventh step is the label."""
     px = pixels(spark, sf_dir)
-    medians = px.groupBy("cell", "t").agg(A.lower_median("value").alias("m"))
-    filled = px.join(medians, ["cell", "t"]).groupBy("cell", "y", "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", F.coalesce("value", "m", F.lit(-1.0)).alias("v")))), lambda s: s["v"]).alias("v"))
-    label = px.where("t = 7 and value is not null").select("cell", "y", "x", F.col("value").alias("label"))
-    total = F.aggregate("v", F.lit(0.0), lambda a, v: a + v)
-    return filled.join(label, ["cell", "y", "x"]).select("cell", "y", "x", F.size("v").cast("long").alias("n"), r(total, 2).alias("total"), "label")
+    labels = A.block_down_sample(px.where("t = 7"), ["cell"], "value", 2, 2).withColumnRenamed("mean", "label")
+    rows = T.training_rows(px.where("t < 7"), labels, ["cell"], "t", "value", F.col("t"), 2)
+    total = lambda f: F.aggregate(F.transform("features", f), F.lit(0.0), lambda a, v: a + v)
+    whole = lambda c: F.aggregate(F.transform("features", lambda s: s[c].cast("long")), F.lit(0).cast("long"), lambda a, v: a + v)
+    sums = [r(total(lambda s: s["value"]), 5).alias("total"), whole("age").alias("ages"), whole("mask").alias("masked"), r(total(lambda s: s["value"] * s["month_sin"]), 6).alias("by_month")]
+    return rows.select("cell", "by", "bx", F.size("features").cast("long").alias("n"), *sums, r("label", 5).alias("label"))

@@ -330,13 +330,15 @@ def d08_bands_by_themselves(spark, sf_dir):
     return _fetched(spark, sf_dir, False)
 
 
-@query("""WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem), p AS (SELECT l_suppkey, l_extendedprice AS y, a * l_quantity + b AS p FROM lineitem, m)
+@query("""WITH s AS (SELECT l_suppkey, row_number() OVER (ORDER BY md5('split|' || l_suppkey), l_suppkey) <= ceil(count(*) OVER () * 0.2) AS test FROM (SELECT DISTINCT l_suppkey FROM lineitem)), l AS (SELECT * FROM lineitem JOIN s USING (l_suppkey)), m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM l WHERE NOT test), p AS (SELECT l_suppkey, l_extendedprice AS y, a * l_quantity + b AS p FROM l, m WHERE test)
 SELECT l_suppkey, count(*) AS n, round(sqrt(avg((y - p) ^ 2)), 2) AS rmse FROM p GROUP BY ROLLUP (l_suppkey)""")
 def m04_predictions_by_sample(spark, sf_dir):
     from gridloom.operators.models import fit_linear, predicted
 
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice")
-    scored = predicted(fit_linear(rows, ["l_quantity"], "l_extendedprice"), rows, ["l_quantity"], ["l_suppkey", "l_extendedprice"])
+    parts = W.split_exact(rows, ["l_suppkey"], 0.2, "split")
+    model = fit_linear(parts.where("part = 'train'"), ["l_quantity"], "l_extendedprice")
+    scored = predicted(model, parts.where("part = 'test'"), ["l_quantity"], ["l_suppkey", "l_extendedprice"])
     return A.with_pooled(scored, "l_suppkey", "l_extendedprice", "prediction").withColumn("rmse", r("rmse", 2))
 
 

@@ -80,10 +80,10 @@ def f15_inner_labels(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where((label > 0) & (label < 1)).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), r(F.avg(label), 6).alias("mean"))
 
 
-@query(f"""WITH {SCENES} SELECT c.tile, d.day FROM (SELECT DISTINCT tile FROM scenes) c CROSS JOIN (SELECT DISTINCT day FROM scenes WHERE priority = 1) d""")
+@query(f"""WITH {SCENES} SELECT c.tile, d.day FROM (SELECT DISTINCT tile FROM scenes) c CROSS JOIN (SELECT DISTINCT day FROM scenes) d""")
 def j02_cells_by_days(spark, sf_dir):
     s = scenes(spark, sf_dir)
-    return J.cells_by_days(s.select("tile").distinct(), s.where("priority = 1").select("day").distinct())
+    return J.cells_by_days(s.select("tile").distinct(), s.select("day").distinct())
 
 
 @query(f"""WITH {PX} SELECT cell, t, round(avg(value), 4) AS mean, round(avg(coalesce(value, -9999)), 4) AS mean_with_fill FROM px GROUP BY cell, t""")

@@ -18,6 +18,7 @@ from gridloom.operators import joins as J
 from gridloom.operators import knn
 from gridloom.operators import series as W
 from gridloom.sources import names as N
+from gridloom.streaming import forms
 from gridloom.sources.catalogue import catalogue_extents, catalogue_items
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -567,7 +568,7 @@ def x04_split_exact(spark, sf_dir):
 @query("""SELECT time_bucket(INTERVAL '1 day', ts)::DATE AS day, event_type, count(*) AS n, round(avg(value), 8) AS mean FROM events GROUP BY ALL""")
 def t02_daily_blocks(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), r(F.avg("value"), 8).alias("mean")).select(F.to_date("w.start").alias("day"), "event_type", "n", "mean")
+    return forms.daily_blocks(e, "ts", ["event_type"], "value").select(F.to_date("start").alias("day"), "event_type", "n", r("mean", 8).alias("mean"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '6 hours' OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS k FROM g)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import aggregates as A
 from gridloom.operators import models as M
+from gridloom.operators import series as W
 from gridloom.operators.steps import scratch
 from gridloom.plans.queries import OBS, POINTS, PX, observations, pixels, points, query, r, table
 from gridloom.sources import files, sinks
@@ -39,10 +40,11 @@ def s19_blocks_of_a_window(spark, sf_dir):
     return sinks.blocks_between(spark, path, str(last.f), str(last.d)).select("cell", "modality", "day", r("value").alias("value"))
 
 
-@query(f"""WITH {OBS} SELECT day, round(count(value) / 1000.0, 6) AS coverage FROM obs GROUP BY day""")
+@query(f"""WITH {OBS} SELECT day, round(count(value) / (SELECT count(*) FROM (SELECT DISTINCT cell, band FROM obs))::DOUBLE, 6) AS coverage FROM obs GROUP BY day""")
 def s21_mosaic_coverage(spark, sf_dir):
-    path = scratch(spark)
-    sinks.write_mosaic(observations(spark, sf_dir).select("day", "cell", "band", "value"), f"{path}/pixels", f"{path}/stats", 1000)
+    path, obs = scratch(spark), observations(spark, sf_dir)
+    expected = obs.select("cell", "band").distinct().count()
+    sinks.write_mosaic(obs.select("day", "cell", "band", "value"), f"{path}/pixels", f"{path}/stats", expected)
     return spark.read.parquet(f"{path}/stats").select("day", r("coverage", 6).alias("coverage"))
 
 
@@ -104,10 +106,12 @@ def t06_daily_sweep(spark, sf_dir):
 
 @query(None)
 def m01_forest(spark, sf_dir):
-    """RMSE of each supplier's line items, and of all, by a forest over three features."""
+    """RMSE of the line items of suppliers that the forest was not fitted on, each and all, over three features."""
     features = ["l_quantity", "l_discount", "l_tax"]
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_extendedprice", *features)
-    scored = M.predicted(M.fit_forest(rows, features, "l_extendedprice", trees=20, depth=8), rows, features, ["l_suppkey", "l_extendedprice"])
+    parts = W.split_exact(rows, ["l_suppkey"], 0.2, "split")
+    forest = M.fit_forest(parts.where("part = 'train'"), features, "l_extendedprice", trees=20, depth=8)
+    scored = M.predicted(forest, parts.where("part = 'test'"), features, ["l_suppkey", "l_extendedprice"])
     return A.with_pooled(scored, "l_suppkey", "l_extendedprice", "prediction")
 
 
@@ -121,8 +125,9 @@ def m05_batch_scores(spark, sf_dir):
 
 @query(None)
 def m02_logistic(spark, sf_dir):
-    """Whether a line item was sent back, by a logistic regression over three features: its classes and how many of each are foretold so."""
+    """Whether a line item was sent back, by a logistic regression over three features: of suppliers it was not fitted on, the classes and how many of each are foretold so."""
     features = ["l_quantity", "l_extendedprice", "l_discount"]
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("label"), *features)
-    scored = M.predicted(M.fit_logistic(rows, features, "label"), rows, features, ["label"])
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_returnflag") == "R").cast("double").alias("label"), *features)
+    parts = W.split_exact(rows, ["l_suppkey"], 0.2, "split")
+    scored = M.predicted(M.fit_logistic(parts.where("part = 'train'"), features, "label"), parts.where("part = 'test'"), features, ["label"])
     return A.confusion(scored, "label", "prediction")
