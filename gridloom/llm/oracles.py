@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .reputation import SUFFIXES
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2 = r"""
@@ -14,10 +16,14 @@ seen AS (
   SELECT host, l.quality AS good
   FROM (SELECT host, try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS BIGINT) AS doc_id FROM urls) u
   JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL),
+names AS (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS name FROM urls),
+labels_of AS (
+  SELECT host, name, regexp_full_match(name, '[0-9]+(\.[0-9]+){3}|\[.*\]') AS address,
+         array_to_string(string_split(name, '.')[-2:], '.') AS two, array_to_string(string_split(name, '.')[-3:], '.') AS three FROM names),
 hosts AS (
-  SELECT h.host, string_split(h.host, '.')[-1] AS suffix, array_to_string(string_split(h.host, '.')[-2:], '.') AS domain,
-         coalesce(n, 0) AS n, coalesce(good, 0) AS good
-  FROM (SELECT DISTINCT host FROM urls) h LEFT JOIN (SELECT host, count(*) AS n, sum(good) AS good FROM seen GROUP BY host) s USING (host)),
+  SELECT h.host, CASE WHEN address THEN '(address)' WHEN two IN (LISTED) THEN two ELSE string_split(name, '.')[-1] END AS suffix,
+         CASE WHEN address THEN name WHEN two IN (LISTED) THEN three ELSE two END AS domain, coalesce(n, 0) AS n, coalesce(good, 0) AS good
+  FROM labels_of h LEFT JOIN (SELECT host, count(*) AS n, sum(good) AS good FROM seen GROUP BY host) s USING (host)),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM domains GROUP BY ALL),
 levels AS (SELECT 'h' AS l, n, good FROM hosts UNION ALL SELECT 'd', n, good FROM domains UNION ALL SELECT 's', n, good FROM suffixes),
@@ -42,7 +48,7 @@ fits AS (
 best AS (SELECT host, path, arg_max(rule, size) AS rule, arg_max(verdict, size) AS verdict FROM fits GROUP BY ALL)
 SELECT page_id, u.host, u.path, b.rule, coalesce(b.verdict, j.by_host) AS verdict
 FROM urls u JOIN judged j USING (host) LEFT JOIN best b ON b.host = u.host AND b.path = u.path
-"""
+""".replace("LISTED", ", ".join(f"'{s}'" for s in SUFFIXES))
 
 OP7 = r"""
 WITH RECURSIVE words AS (

@@ -16,7 +16,7 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 DEVIATIONS, BOUND = 1.645, 0.5
 #: A table of hosts up to this size goes to every task; a larger one is joined by salted keys.
 BROADCAST_HOSTS, SALTS = 50_000, 32
-#: Suffixes of two labels that domains are registered under; all others have one label.
+#: Suffixes of two labels that domains are registered under, of 22 lands; all others are taken to have one label. A parameter of domain_of and suffix_of.
 SUFFIXES = tuple(f"{kind}.{land}" for land, kinds in {
     "uk": "ac co gov ltd me net nhs org plc police sch", "au": "asn com edu gov id net org", "nz": "ac co geek gen govt iwi maori net org school",
     "jp": "ac ad co ed go gr lg ne or", "kr": "ac co go ne or pe re", "cn": "ac com edu gov net org", "tw": "com edu gov idv net org",

@@ -163,3 +163,19 @@ def test_classifiers_take_odd_rows(spark, which):
     assert len({r.score for r in got if r.doc_id in (40, 41)}) == 1
     assert {r.score for r in scores(spark, which, docs, labels.limit(0)).collect()} == {0.5}
     assert scores(spark, which, docs.limit(0), labels).count() == 0
+
+
+def test_reputation_sql_has_the_same_domains(spark, tmp_path):
+    """Suffixes of two labels, ports, user names and addresses: the query and its SQL side by side."""
+    import duckdb
+
+    hosts = ["a.shop.co.uk", "b.shop.co.uk", "other.co.uk", "co.uk", "x.com.au:8080", "y.com.au", "user@z.example.com", "10.0.0.1", "10.0.0.1:80", "10.0.0.2", "[::1]:9", "plain", "UP.Example.ORG.", "n.net", "m.n.net"]
+    pages = [(i, f"http://{h}/p/{i}?q", None) for i, h in enumerate(hosts * 9)] + [(900, None, None), (901, "no url", None)]
+    labels = [(i, int(i % 15 < 8 or i % 7 == 0), 0) for i in range(0, 135)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(tuple, queries.op2_url_reputation(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()))
+    assert got == sorted(con.sql(queries.ORACLE_SQL["op2_url_reputation"]).fetchall()) and {r[4] for r in got} == {"allow", "block"}
