@@ -8,6 +8,7 @@ strips, products and cells grow with the tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
@@ -50,16 +51,25 @@ h AS (SELECT cell, y, x, 500000 + {G._RADIUS!r} * (eta{_sum(G._FORWARD, '+', 'co
 
 @dataclass(frozen=True)
 class Lattice:
-    """Where the products of a role lie: the pixel size, and in Spark and SQL their zone, left and top, from tile and strip."""
+    """Where the products of a role lie: the pixel size, and in Spark (when a session is there) and SQL their zone, left and top, from tile and strip."""
 
     size: float
-    zone: tuple[Column, str]
-    left: tuple[Column, str]
-    top: tuple[Column, str]
+    zone: tuple[Callable[[], Column], str]
+    left: tuple[Callable[[], Column], str]
+    top: tuple[Callable[[], Column], str]
     positions: str  # SQL: (cell, y, x, zone, u, v)
 
 
-_T, _S = F.col("tile"), F.col("strip")
+def _tile() -> Column:
+    return F.col("tile")
+
+
+def _strip() -> Column:
+    return F.col("strip")
+
+
+def _even(a: float, b: float) -> Column:
+    return F.when(_tile() % 2 == 0, a).otherwise(b)
 
 
 def _utm(size: float) -> Lattice:
@@ -67,13 +77,12 @@ def _utm(size: float) -> Lattice:
     step = lambda edge, of: f"(floor({edge} / {size}) * {size} + {of})"
     left = f"CASE WHEN tile % 2 = 0 THEN {step(EAST, f'tile // 2 * {8 * size}')} ELSE {step(EAST_12, f'tile // 2 * {8 * size}')} END"
     top = f"floor((CASE WHEN tile % 2 = 0 THEN {NORTH} ELSE {NORTH_12} END + strip * 400) / {size}) * {size} + {12 * size}"
-    even = _T % 2 == 0
     down = lambda x: F.floor(x / size) * F.lit(size)
     return Lattice(
         size,
-        (F.when(even, 11).otherwise(12), "11 + tile % 2"),
-        (down(F.when(even, EAST).otherwise(EAST_12)) + F.floor(_T / 2) * F.lit(8 * size), left),
-        (down(F.when(even, NORTH).otherwise(NORTH_12) + _S * 400) + F.lit(12 * size), top),
+        (lambda: _even(11, 12), "11 + tile % 2"),
+        (lambda: down(_even(EAST, EAST_12)) + F.floor(_tile() / 2) * F.lit(8 * size), left),
+        (lambda: down(_even(NORTH, NORTH_12) + _strip() * 400) + F.lit(12 * size), top),
         f"{_geographic()}, {_zone_12()}, pos AS (SELECT cell, y, x, 11 AS zone, e / {size} AS u, -n / {size} AS v FROM cp UNION ALL SELECT cell, y, x, 12, px / {size}, -py / {size} FROM h)",
     )
 
@@ -83,9 +92,9 @@ def _flat(size: float, zone: int, x0: float, y0: float, step: float, x: str, y:
     down = lambda v: F.floor(v / size) * F.lit(size)
     return Lattice(
         size,
-        (F.lit(zone), str(zone)),
-        (down(F.lit(x0) + _T * F.lit(8 * size)), f"floor(({x0} + tile * {8 * size}) / {size}) * {size}"),
-        (down(F.lit(y0) + _S * F.lit(step)) + F.lit(5 * size), f"floor(({y0} + strip * {step}) / {size}) * {size} + {5 * size}"),
+        (lambda: F.lit(zone), str(zone)),
+        (lambda: down(F.lit(x0) + _tile() * F.lit(8 * size)), f"floor(({x0} + tile * {8 * size}) / {size}) * {size}"),
+        (lambda: down(F.lit(y0) + _strip() * F.lit(step)) + F.lit(5 * size), f"floor(({y0} + strip * {step}) / {size}) * {size} + {5 * size}"),
         f"{_geographic()}, pos AS (SELECT cell, y, x, {zone} AS zone, ({x}) / {size} AS u, -({y}) / {size} AS v FROM g)",
     )
 
@@ -105,10 +114,10 @@ def products(spark, sf_dir, lattice: Lattice, name: Column):
     return named.select(
         name.alias("name"),
         "band",
-        lattice.zone[0].alias("zone"),
+        lattice.zone[0]().alias("zone"),
         F.lit(lattice.size).alias("size"),
-        lattice.left[0].alias("left"),
-        lattice.top[0].alias("top"),
+        lattice.left[0]().alias("left"),
+        lattice.top[0]().alias("top"),
         F.lit(10).alias("rows"),
         F.lit(10).alias("cols"),
         "scene",
@@ -136,14 +145,41 @@ def targets(spark, sf_dir):
     return cells.select((F.col("strip") * 5 + F.col("i")).alias("cell"), F.lit(11).alias("zone"), F.lit(25.0).alias("size"), left.alias("left"), top.alias("top"), F.lit(6).alias("rows"), F.lit(6).alias("cols"))
 
 
-_D, _SC = F.col("d"), F.col("scene")
-_day = lambda pattern, offset=0: F.date_format(F.date_add(F.to_date(F.lit(DAY)), _D + offset), pattern)
-_proc = F.date_format(F.date_add(F.date_add(F.to_date(F.lit(DAY)), _D), (1 + _SC % 5).cast("int")), "yyyyMMdd")
-LANDSAT = F.concat(F.when((_D % 2 == 0) & (_SC % 3 == 0), "LC09").otherwise("LC08"), F.lit("_L1TP_"), F.lpad(_T.cast("string"), 3, "0"), F.lit("024_"), _day("yyyyMMdd"), F.lit("_"), _proc, F.lit("_02_T1."), _SC.cast("string"))
-SENTINEL2 = F.concat(F.lit("S2A_MSIL1C_"), _day("yyyyMMdd"), F.lit("T184731_N"), F.when(_SC % 2 == 0, "0511").otherwise("0301"), F.lit("_R070_T11UP"), F.col("tile").cast("string"), F.lit("_"), _proc, F.lit("T202515."), _SC.cast("string"))
-SENTINEL1 = F.concat(F.lit("S1A_IW_GRDH_1SDV_"), _day("yyyyMMdd"), F.lit("T013722_"), _day("yyyyMMdd"), F.lit("T013747_058587_07406B_"), F.lpad(F.hex(_SC % 50000), 4, "0"), F.lit("."), _SC.cast("string"))
-JULIAN = F.concat(F.lit("MOD09GA.A"), _day("yyyyDDD"), F.lit("."), F.lpad(_SC.cast("string"), 9, "0"))
-STAMPED = F.concat(F.lit("field_"), _day("yyyyMMdd"), F.lit("_"), F.lpad(_SC.cast("string"), 9, "0"))
+def _day(pattern: str) -> Column:
+    return F.date_format(F.date_add(F.to_date(F.lit(DAY)), F.col("d")), pattern)
+
+
+def _processed() -> Column:
+    return F.date_format(F.date_add(F.date_add(F.to_date(F.lit(DAY)), F.col("d")), (1 + F.col("scene") % 5).cast("int")), "yyyyMMdd")
+
+
+def _number(digits: int = 0) -> Column:
+    text = F.col("scene").cast("string")
+    return F.lpad(text, digits, "0") if digits else text
+
+
+def landsat_names() -> Column:
+    sensor = F.when((F.col("d") % 2 == 0) & (F.col("scene") % 3 == 0), "LC09").otherwise("LC08")
+    return F.concat(sensor, F.lit("_L1TP_"), F.lpad(_tile().cast("string"), 3, "0"), F.lit("024_"), _day("yyyyMMdd"), F.lit("_"), _processed(), F.lit("_02_T1."), _number())
+
+
+def sentinel2_names() -> Column:
+    baseline = F.when(F.col("scene") % 2 == 0, "0511").otherwise("0301")
+    return F.concat(F.lit("S2A_MSIL1C_"), _day("yyyyMMdd"), F.lit("T184731_N"), baseline, F.lit("_R070_T11UP"), _tile().cast("string"), F.lit("_"), _processed(), F.lit("T202515."), _number())
+
+
+def sentinel1_names() -> Column:
+    day = _day("yyyyMMdd")
+    return F.concat(F.lit("S1A_IW_GRDH_1SDV_"), day, F.lit("T013722_"), day, F.lit("T013747_058587_07406B_"), F.lpad(F.hex(F.col("scene") % 50000), 4, "0"), F.lit("."), _number())
+
+
+def julian_names() -> Column:
+    return F.concat(F.lit("MOD09GA.A"), _day("yyyyDDD"), F.lit("."), _number(9))
+
+
+def stamped_names() -> Column:
+    return F.concat(F.lit("field_"), _day("yyyyMMdd"), F.lit("_"), _number(9))
+
 
 #: Parts of the SQL that several sources share.
 _CHOSEN_BETTER = "ch AS (SELECT p.* FROM p JOIN (SELECT day, bool_or(better) AS has_better FROM p GROUP BY day) USING (day) WHERE better = has_better)"
@@ -176,11 +212,11 @@ SELECT cell, {dated}band, y, x, round(k.value, 4) AS value FROM (SELECT cell, y,
 BANDS = ("A", "N", "R")
 
 
-def _composed(query_name: str, source: L.Source, lattice: Lattice, name: Column, sql: str) -> None:
+def _composed(query_name: str, source: L.Source, lattice: Lattice, name: Callable[[], Column], sql: str) -> None:
     def run(spark, sf_dir):
-        assets = products(spark, sf_dir, lattice, name)
+        assets = products(spark, sf_dir, lattice, name())
         days = None if source.static else assets.select(F.date_add(F.to_date(F.lit(DAY)), (F.col("scene") % 6).cast("int")).alias("day")).distinct()
-        found = L.fetch(source, assets, readings(spark, sf_dir, name), targets(spark, sf_dir), BANDS, days)
+        found = L.fetch(source, assets, readings(spark, sf_dir, name()), targets(spark, sf_dir), BANDS, days)
         return found.withColumn("value", r("value"))
 
     run.__name__ = query_name
@@ -190,15 +226,15 @@ def _composed(query_name: str, source: L.Source, lattice: Lattice, name: Column,
 
 _REFLECTANCE = "CASE WHEN dn <> 0 AND (dn * 2e-4 - 0.1) / sin(radians(30.0 + d)) >= 1e-7 THEN (dn * 2e-4 - 0.1) / sin(radians(30.0 + d)) END"
 _HARMONIZED = "(CASE WHEN dn <> 0 AND dn - CASE WHEN scene % 2 = 0 THEN 1000 ELSE 0 END >= -1 THEN dn - CASE WHEN scene % 2 = 0 THEN 1000 ELSE 0 END END)"
-_composed("d01_landsat_cells", L.SOURCES["landsat"], UTM, LANDSAT, _sql(UTM, _REFLECTANCE, "tile, -(1 + scene % 5), CAST(scene AS VARCHAR)", _CHOSEN_BETTER))
-_composed("d01_landsat_flags", L.SOURCES["landsat_qa"], UTM, LANDSAT, _sql(UTM, "dn", "tile, -(1 + scene % 5), CAST(scene AS VARCHAR)", _CHOSEN_BETTER, latest=True))
-_composed("d02_sentinel2_cells", L.SOURCES["sentinel2"], UTM, SENTINEL2, _sql(UTM, _HARMONIZED, "tile, -(1 + scene % 5), CAST(scene % 2 = 0 AS INTEGER), CAST(scene AS VARCHAR)"))
-_composed("d03_sentinel2_flags", L.SOURCES["sentinel2_qa"], UTM, SENTINEL2, _sql(UTM, "CASE WHEN dn % 700 = 0 THEN 1024 WHEN dn % 300 = 0 THEN 2048 ELSE 0 END", "tile, -(1 + scene % 5), CAST(scene % 2 = 0 AS INTEGER), CAST(scene AS VARCHAR)"))
-_composed("d04_sentinel1_cells", L.SOURCES["sentinel1"], UTM, SENTINEL1, _sql(UTM, "CASE WHEN dn > 0 THEN 10 * log10(dn) END", "-(scene % 50000)", bilinear=True))
-_composed("d06_modis_cells", L.SOURCES["modis"], SINUSOIDAL, JULIAN, _sql(SINUSOIDAL, "nullif(dn, -28672)", "scene", fill="-28672"))
-_composed("d07_viirs_cells", L.SOURCES["viirs"], SINUSOIDAL, JULIAN, _sql(SINUSOIDAL, "nullif(dn, -28672) * 0.0001", "scene", fill="-28672"))
-_composed("d08_era5_cells", replace(L.SOURCES["era5"], next_day=("R",)), GLOBE, STAMPED, _sql(GLOBE, "dn", "scene", whole=False, day="CASE WHEN band = 'R' THEN day - 1 ELSE day END"))
-_composed("d10_land_cover_cells", L.SOURCES["worldcover"], GLOBE, STAMPED, _sql(GLOBE, "dn", "d, scene", whole=False, static=True))
+_composed("d01_landsat_cells", L.SOURCES["landsat"], UTM, landsat_names, _sql(UTM, _REFLECTANCE, "tile, -(1 + scene % 5), CAST(scene AS VARCHAR)", _CHOSEN_BETTER))
+_composed("d01_landsat_flags", L.SOURCES["landsat_qa"], UTM, landsat_names, _sql(UTM, "dn", "tile, -(1 + scene % 5), CAST(scene AS VARCHAR)", _CHOSEN_BETTER, latest=True))
+_composed("d02_sentinel2_cells", L.SOURCES["sentinel2"], UTM, sentinel2_names, _sql(UTM, _HARMONIZED, "tile, -(1 + scene % 5), CAST(scene % 2 = 0 AS INTEGER), CAST(scene AS VARCHAR)"))
+_composed("d03_sentinel2_flags", L.SOURCES["sentinel2_qa"], UTM, sentinel2_names, _sql(UTM, "CASE WHEN dn % 700 = 0 THEN 1024 WHEN dn % 300 = 0 THEN 2048 ELSE 0 END", "tile, -(1 + scene % 5), CAST(scene % 2 = 0 AS INTEGER), CAST(scene AS VARCHAR)"))
+_composed("d04_sentinel1_cells", L.SOURCES["sentinel1"], UTM, sentinel1_names, _sql(UTM, "CASE WHEN dn > 0 THEN 10 * log10(dn) END", "-(scene % 50000)", bilinear=True))
+_composed("d06_modis_cells", L.SOURCES["modis"], SINUSOIDAL, julian_names, _sql(SINUSOIDAL, "nullif(dn, -28672)", "scene", fill="-28672"))
+_composed("d07_viirs_cells", L.SOURCES["viirs"], SINUSOIDAL, julian_names, _sql(SINUSOIDAL, "nullif(dn, -28672) * 0.0001", "scene", fill="-28672"))
+_composed("d08_era5_cells", replace(L.SOURCES["era5"], next_day=("R",)), GLOBE, stamped_names, _sql(GLOBE, "dn", "scene", whole=False, day="CASE WHEN band = 'R' THEN day - 1 ELSE day END"))
+_composed("d10_land_cover_cells", L.SOURCES["worldcover"], GLOBE, stamped_names, _sql(GLOBE, "dn", "d, scene", whole=False, static=True))
 
 
 def _terrain_sql() -> str:
@@ -225,5 +261,5 @@ SELECT cell, 'DEM' AS band, y, x, round(value, 4) AS value FROM f UNION ALL SELE
 @query(_terrain_sql())
 def d09_dem_cells(spark, sf_dir):
     """Heights, slopes and aspects over the edges of tiles."""
-    assets = products(spark, sf_dir, GLOBE, STAMPED).where("band = 'N'")
-    return L.fetch_terrain(assets, readings(spark, sf_dir, STAMPED), targets(spark, sf_dir), 1.0).withColumn("value", r("value"))
+    assets = products(spark, sf_dir, GLOBE, stamped_names()).where("band = 'N'")
+    return L.fetch_terrain(assets, readings(spark, sf_dir, stamped_names()), targets(spark, sf_dir), 1.0).withColumn("value", r("value"))

@@ -58,3 +58,13 @@ def test_models_and_scores(spark):
     assert models.score_batches(df, lambda b: b["x"] / 10, ["id"], "id long").where("score between 0 and 0.9").count() == 60
     with pytest.raises(Exception, match="outside"):
         models.score_batches(df, lambda b: b["x"], ["id"], "id long").collect()
+
+
+def test_the_entry_imports_before_there_is_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 170 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
