@@ -30,12 +30,14 @@ from .common import groups_of, materialize
 
 #: Hash tables of a range, and the vectors of a bucket on average (unless the signed axes alone give smaller ones).
 TABLES, BUCKET = 8, 1024
-#: Queries that the probes are fitted on, share of their true neighbours that must be found, and probes of a table at most.
+#: Queries that the probes are fitted on, share of their true neighbours that must be found, and probes of a table at most (where those do not find the share, tables are read whole).
 SAMPLE_QUERIES, TARGET, MOST_PROBES = 128, 0.95, 4096
 #: Ranges of norms at most, the factor by which norms in one differ if those suffice, and bins of norms for each factor of e.
 RANGES, SPREAD, BINS = 12, 1.25, 200
 #: Vectors and queries of a block: what a task holds at once of a bucket. Buckets to be dealt into blocks that may be broadcast.
 BLOCK, BLOCK_QUERIES, BROADCAST_BUCKETS = 4096, 4096, 100_000
+#: Numbers that a task holds at once while it looks for a query's buckets (8 bytes each, three times).
+HELD_SUMS = 8_000_000
 #: Rows found that a task holds at once, to merge those of one query before they are dealt again.
 HELD_ROWS = 500_000
 
@@ -258,6 +260,8 @@ def fitted(plans: Sequence[Tables], base: DataFrame, asks: DataFrame, k: int, si
             least = np.minimum(least, np.where(hit.any(1), hit.argmax(1), MOST_PROBES))
         ranks.append(least)
     probes = fewest_probes(plans, ranks)
+    if sum(int((rank < p).sum()) for rank, p in zip(ranks, probes)) < TARGET * sum(map(len, ranks)):
+        return [replace(how, probes=how.buckets, tables=1) for how in plans]  # MOST_PROBES are not enough: all is compared
     # where the tables together would be read more than once over, one table read whole gives all
     return [replace(how, probes=how.buckets, tables=1) if how.tables * p >= how.buckets else replace(how, probes=p) for how, p in zip(plans, probes)]
 
@@ -269,11 +273,13 @@ def _hash(rows: DataFrame, plans: Sequence[Tables], places: Sequence[tuple[int,
     """tab, bucket and the rows' own columns: vectors once for each table of their range, queries for all buckets they look into."""
     size = max(how.axes for how in plans)
     names = rows.columns
+    # sums of nearness that probes_of holds at once: those kept from hash to hash times the signed axes
+    step = max(1, min(1024, HELD_SUMS // max(2 * how.axes * min(how.probes, how.buckets) for how in plans))) if asks else 1024
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 x = _matrix(part.column("vector"), size)
                 of = _range_of(x, plans)
                 for tab, r, how, table in places:

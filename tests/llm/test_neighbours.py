@@ -130,3 +130,11 @@ def test_queries_with_few_vectors_in_their_buckets_see_all(spark, monkeypatch):
     got, _ = run(spark, rows)
     want = exact([(i, np.float32(v).tolist()) for i, v in rows], 20)
     assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+
+
+def test_where_the_most_probes_miss_the_target_all_is_compared(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_PROBES", 1)
+    x = np.random.RandomState(3).randn(6000, 24)
+    rows = list(enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).tolist()))
+    got, _ = run(spark, rows)
+    assert got == exact(rows, 20)
