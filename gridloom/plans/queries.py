@@ -575,4 +575,4 @@ def t02_daily_blocks(spark, sf_dir):
 SELECT user_id, min(ts) AS first_ts, count(*) AS n FROM s GROUP BY user_id, k""")
 def t05_sessions(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("first_ts"), "n")
+    return forms.sessions(e, "ts", ["user_id"], "6 hours").select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), "n")

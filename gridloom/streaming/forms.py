@@ -23,6 +23,12 @@ def trailing_windows(events: DataFrame, ts: str, keys: Sequence[str], value: str
     return grouped.select(F.col("w.start").alias("start"), F.date_sub(F.to_date("w.end"), 1).alias("prediction_day"), *keys, "n", "mean")
 
 
+def sessions(events: DataFrame, ts: str, keys: Sequence[str], gap: str, late: str = "7 days") -> DataFrame:
+    """First time and number of rows of each key's bursts; a burst ends where nothing follows for `gap`, and is final once the watermark is past that."""
+    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    return rows.groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.col("w.start").alias("first_ts"), "n")
+
+
 def first_sightings(events: DataFrame, ts: str, keys: Sequence[str], late: str = "7 days") -> DataFrame:
     """Each item once; items come back once the watermark has let their state go."""
     if not events.isStreaming:
