@@ -166,8 +166,15 @@ def edge_meets_box(a: tuple[float, float], b: tuple[float, float], min_x: Column
     return within & (F.greatest(*low) <= F.least(*high)) if len(low) > 1 else within
 
 
+def edge_enters_box(a: tuple[float, float], b: tuple[float, float], min_x: Column, min_y: Column, max_x: Column, max_y: Column) -> Column:
+    """Whether the line from a to b has a point within a box, its border left out: their spans overlap, and the box has corners on both sides of the line."""
+    sides = [(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) for x in (min_x, max_x) for y in (min_y, max_y)]
+    spans = (max_x > min(a[0], b[0])) & (min_x < max(a[0], b[0])) & (max_y > min(a[1], b[1])) & (min_y < max(a[1], b[1]))
+    return spans & (F.least(*sides) < 0) & (F.greatest(*sides) > 0)
+
+
 def box_in_polygon(min_x: Column, min_y: Column, max_x: Column, max_y: Column, ring: Sequence[tuple[float, float]]) -> tuple[Column, Column]:
-    """Whether a box is wholly inside a polygon, and whether it touches the polygon at all."""
+    """Whether a box is wholly inside a polygon without touching its edges, and whether it touches the polygon at all."""
     crossed = F.lit(False)
     for a, b in zip(ring, [*ring[1:], ring[0]]):
         crossed = crossed | edge_meets_box(a, b, min_x, min_y, max_x, max_y)
@@ -175,6 +182,14 @@ def box_in_polygon(min_x: Column, min_y: Column, max_x: Column, max_y: Column, r
     return corner & ~crossed, corner | crossed
 
 
+def box_covered(min_x: Column, min_y: Column, max_x: Column, max_y: Column, ring: Sequence[tuple[float, float]]) -> Column:
+    """Whether a polygon holds all of a box; the box may touch the polygon's edges from within."""
+    entered = F.lit(False)
+    for a, b in zip(ring, [*ring[1:], ring[0]]):
+        entered = entered | edge_enters_box(a, b, min_x, min_y, max_x, max_y)
+    return point_in_polygon((min_x + max_x) / 2, (min_y + max_y) / 2, ring) & ~entered
+
+
 def split_box(width: Column, height: Column, patch: float) -> Column:
     """Row and column numbers of the parts of a box, at least one by one."""
     parts = lambda size: F.greatest(F.floor(size / patch).cast("int"), F.lit(1))

@@ -59,14 +59,14 @@ def distinct_cells(samples: DataFrame, size: float) -> DataFrame:
 
 
 def build_grid(mode: str, ring: Sequence[tuple[float, float]], size: float, samples: DataFrame | None = None, fully_inside: bool = False, inset: float = 0.0, spark: SparkSession | None = None) -> DataFrame:
-    """Cells of a sweep: mode A keeps the cells of samples whose centre (or all of them) is in the area, mode B tiles the area itself."""
+    """Cells of a sweep: mode A keeps the cells of samples whose centre (or all of them, which may touch its edges) is in the area, mode B tiles the area itself."""
     if mode == "B":
         return lattice(spark or samples.sparkSession, ring, size, inset).select("min_x", "min_y", "max_x", "max_y")
     if mode != "A":
         raise ValueError(f"a grid has mode A or B, not {mode}")
     cells = distinct_cells(samples, size)
     if fully_inside:
-        keep, _ = G.box_in_polygon(F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y"), ring)
+        keep = G.box_covered(F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y"), ring)
     else:
         keep = point_in_polygon(F.col("min_x") + size / 2, F.col("min_y") + size / 2, ring)
     return cells.where(keep).select("min_x", "min_y", "max_x", "max_y")
