@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,13 +89,14 @@ def _utm(size: float) -> Lattice:
 
 
 def _flat(size: float, zone: int, x0: float, y0: float, step: float, x: str, y: str) -> Lattice:
-    """Tiles of ten pixels in a projection of the whole globe."""
-    down = lambda v: F.floor(v / size) * F.lit(size)
+    """Tiles of ten pixels in a projection of the whole globe. Their places are decimal numbers until they are counted in pixels, as in SQL: binary ones fall short of some pixels' edges."""
+    exact = lambda v: F.lit(Decimal(repr(v)))
+    down = lambda start, n, by: F.floor((exact(start) + n * exact(by)).cast("double") / size) * F.lit(size)
     return Lattice(
         size,
         (lambda: F.lit(zone), str(zone)),
-        (lambda: down(F.lit(x0) + _tile() * F.lit(8 * size)), f"floor(({x0} + tile * {8 * size}) / {size}) * {size}"),
-        (lambda: down(F.lit(y0) + _strip() * F.lit(step)) + F.lit(5 * size), f"floor(({y0} + strip * {step}) / {size}) * {size} + {5 * size}"),
+        (lambda: down(x0, _tile(), 8 * size), f"floor(({x0} + tile * {8 * size}) / {size}) * {size}"),
+        (lambda: down(y0, _strip(), step) + F.lit(5 * size), f"floor(({y0} + strip * {step}) / {size}) * {size} + {5 * size}"),
         f"{_geographic()}, pos AS (SELECT cell, y, x, {zone} AS zone, ({x}) / {size} AS u, -({y}) / {size} AS v FROM g)",
     )
 

@@ -1,8 +1,10 @@
 """Cases that larger tables brought up: places on edges, skewed keys, work that grows with the input."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from gridloom.operators import grids
+from gridloom.plans import composed
 
 
 def test_cell_that_touches_the_area_from_within_is_inside(spark):
@@ -13,3 +15,11 @@ def test_cell_that_touches_the_area_from_within_is_inside(spark):
     assert kept == {place for place, inside in corners.items() if inside}
     square = spark.createDataFrame([(1, 1.0, 1.0)], "id long, x double, y double")
     assert grids.build_grid("A", ((0.0, 0.0), (5.0, 0.0), (5.0, 5.0), (0.0, 5.0)), 5.0, square, fully_inside=True).count() == 1
+
+
+def test_tiles_lie_where_their_sql_puts_them_in_every_strip(spark):
+    for lattice in (composed.GLOBE, composed.SINUSOIDAL, composed.UTM):
+        named = spark.range(2000).select(F.col("id").alias("strip"), (F.col("id") % 7).alias("tile"))
+        found = named.select("strip", lattice.left[0]().alias("left"), lattice.top[0]().alias("top")).orderBy("strip").collect()
+        asked = duckdb.sql(f"SELECT strip, CAST({lattice.left[1]} AS DOUBLE), CAST({lattice.top[1]} AS DOUBLE) FROM (SELECT range AS strip, range % 7 AS tile FROM range(2000)) ORDER BY strip").fetchall()
+        assert [tuple(f) for f in found] == asked  # binary numbers put strips 1325 and 1950 of the globe a pixel too far south
