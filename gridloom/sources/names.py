@@ -100,11 +100,16 @@ def band_label(variable: Column, step: Column) -> Column:
 _MTL = "$.LANDSAT_METADATA_FILE."
 
 
+#: The corners of a product, clockwise from the upper left.
+_CORNERS = [tuple(f"CORNER_{c}_{axis}_PRODUCT" for axis in ("LON", "LAT")) for c in ("UL", "UR", "LR", "LL")]
+
+
 def mtl_footprint(text: Column) -> Column:
-    """(lon, lat) of the four product corners in a scene's JSON metadata, clockwise from the upper left; null if one is missing."""
-    number = lambda corner, axis: F.get_json_object(text, f"{_MTL}PROJECTION_ATTRIBUTES.CORNER_{corner}_{axis}_PRODUCT").cast("double")
-    corners = F.array(*[F.struct(number(c, "LON").alias("lon"), number(c, "LAT").alias("lat")) for c in ("UL", "UR", "LR", "LL")])
-    return F.when(F.forall(corners, lambda c: c["lon"].isNotNull() & c["lat"].isNotNull()), corners)
+    """(lon, lat) of the four product corners in a scene's JSON metadata, clockwise from the upper left; null if one is missing. The text is built and read once for all of them."""
+    schema = "struct<LANDSAT_METADATA_FILE:struct<PROJECTION_ATTRIBUTES:struct<" + ",".join(f"{name}:string" for pair in _CORNERS for name in pair) + ">>>"
+    found = F.array(F.from_json(text, schema)["LANDSAT_METADATA_FILE"]["PROJECTION_ATTRIBUTES"])
+    corners = F.transform(found, lambda a: F.array(*[F.struct(a[lon].cast("double").alias("lon"), a[lat].cast("double").alias("lat")) for lon, lat in _CORNERS]))
+    return F.get(F.filter(corners, lambda ring: F.forall(ring, lambda c: c["lon"].isNotNull() & c["lat"].isNotNull())), F.lit(0))
 
 
 def mtl_radiometry(text: Column, band: int) -> Column:
