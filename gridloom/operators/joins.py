@@ -132,18 +132,21 @@ def nearest_point(grid: DataFrame, swath: DataFrame, size: float, value: str, ke
 def nearest_in_time(requests: DataFrame, images: DataFrame, keys: Sequence[str], asked: str, taken: str, image: str) -> DataFrame:
     """The image whose date is closest to the one asked for; of equal ones the earlier, then the lesser id.
 
-    Both sides are lined up in time once, and the last image before and the first one
-    after are looked at; no pairs are formed.
+    The distinct dates of both sides are lined up in time, each once for its keys, and the last image before and the
+    first one after are looked at; no pairs are formed. Requests meet their date's image by an equality join.
     """
-    rows = requests.select(*keys, "request_id", F.col(asked).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(images.schema[image].dataType).alias("img"))
-    rows = rows.unionByName(images.groupBy(*keys, F.col(taken).alias("at")).agg(F.min(image).alias("img")).select(*keys, F.lit(None).cast(requests.schema["request_id"].dataType).alias("request_id"), "at", F.lit(0).alias("kind"), "img"))
+    dates = requests.select(*keys, F.col(asked).alias("at")).distinct().withColumn("img", F.lit(None).cast(images.schema[image].dataType)).withColumn("kind", F.lit(1))
+    dates = dates.unionByName(images.groupBy(*keys, F.col(taken).alias("at")).agg(F.min(image).alias("img")).withColumn("kind", F.lit(0)))
     found = F.when(F.col("kind") == 0, F.struct(F.col("at").alias("at"), F.col("img").alias("img")))
-    before = F.last(found, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(found, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("at", F.desc("kind")).rowsBetween(0, Window.unboundedFollowing))
-    both = rows.withColumn("before", before).withColumn("after", after).where("kind = 1")
+    # Both windows grow row by row; one that reaches from each row to the end would be read anew for every row.
+    last = lambda *order: F.last(found, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = dates.withColumn("before", last("at", "kind")).withColumn("after", last(F.desc("at"), "kind")).where("kind = 1")
     gap = lambda c: F.abs(F.datediff(F.col("at"), F.col(f"{c}.at")))
     chosen = F.when(F.col("after").isNull() | (gap("before") <= gap("after")), F.col("before")).otherwise(F.col("after"))
-    return both.select("request_id", chosen["img"].alias(image), chosen["at"].alias(taken))
+    best = both.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("at").alias("_at"), chosen.alias("_best"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    met = requests.select(*keys, "request_id", F.col(asked).alias("at")).join(best, [*same, F.col("at").eqNullSafe(F.col("_at"))], "left")
+    return met.select("request_id", F.col("_best.img").alias(image), F.col("_best.at").alias(taken))
 
 
 def not_yet_done(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

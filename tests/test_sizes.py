@@ -1,10 +1,13 @@
 """Cases that larger tables brought up: places on edges, skewed keys, work that grows with the input."""
 
+import bisect
+
 import duckdb
 from pyspark.sql import functions as F
 
-from gridloom.operators import grids
+from gridloom.operators import grids, joins
 from gridloom.plans import composed
+from gridloom.sources import names
 
 
 def test_cell_that_touches_the_area_from_within_is_inside(spark):
@@ -23,3 +26,29 @@ def test_tiles_lie_where_their_sql_puts_them_in_every_strip(spark):
         found = named.select("strip", lattice.left[0]().alias("left"), lattice.top[0]().alias("top")).orderBy("strip").collect()
         asked = duckdb.sql(f"SELECT strip, CAST({lattice.left[1]} AS DOUBLE), CAST({lattice.top[1]} AS DOUBLE) FROM (SELECT range AS strip, range % 7 AS tile FROM range(2000)) ORDER BY strip").fetchall()
         assert [tuple(f) for f in found] == asked  # binary numbers put strips 1325 and 1950 of the globe a pixel too far south
+
+
+def test_nearest_images_of_one_tile_take_time_in_proportion(spark):
+    """One tile with many requests and images; a frame that reaches to the end of the tile reads all of it for every row."""
+    rows = spark.range(240_000).select((F.col("id") % 2 == 0).alias("image"), F.col("id"), F.lit(1).alias("tile"), F.date_add(F.lit("1900-01-01").cast("date"), (F.col("id") * 7919 % 50_021).cast("int")).alias("day"))
+    images, asked = rows.where("image and id % 3 = 0").withColumnRenamed("id", "scene"), rows.where("not image").withColumnRenamed("id", "request_id")
+    found = joins.nearest_in_time(asked, images, ["tile"], "day", "day", "scene")
+    plan = found._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan.replace("$", "")
+    got = {r.request_id: (r.scene, r.day) for r in found.collect()}
+    first = {}
+    for r in images.orderBy(F.desc("scene")).collect():
+        first[r.day] = r.scene
+    days = sorted(first)
+    sample = asked.where("request_id % 997 = 0").collect()
+    assert len(got) == 120_000 and len(sample) > 50
+    for q in sample:
+        i = bisect.bisect_left(days, q.day)
+        near = min(days[max(i - 1, 0) : i + 1], key=lambda d: (abs((d - q.day).days), d))
+        assert got[q.request_id] == (first[near], near)
+
+
+def test_footprints_read_their_text_once(spark):
+    found = names.mtl_footprint(F.col("text"))
+    plan = spark.createDataFrame([("{}",)], "text string").select(found.alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") + plan.count("jsontostructs") == 1 and "get_json_object" not in plan
