@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,16 +23,51 @@ def complete_calendar(dims: DataFrame, obs: DataFrame, keys: Sequence[str], valu
 
 
 def window_statistics(obs: DataFrame, keys: Sequence[str], day: str, value: str, days: int = 8) -> DataFrame:
-    """Readings of the `days` days that end with each day. A day goes to the windows that hold it: an equality join, no range join."""
-    spread = obs.withColumn("window_end", F.explode(F.sequence(F.col(day), F.date_add(F.col(day), days - 1))))
-    return spread.groupBy(*keys, "window_end").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.countDistinct(day).alias("n_days"))
+    """Readings of the `days` days that end with each day. A day goes to the windows that hold it: an equality join, no range join.
+
+    Days are summed up first, so what is dealt out to windows is one row for each day, and counting days needs no
+    second look at them. Rows move by their keys alone; the windows of a key are put together where its days are.
+    """
+    daily = obs.groupBy(*keys, day).agg(F.count(value).alias("_n"), F.sum(value).alias("_sum")).repartition(*keys)
+    spread = daily.withColumn("window_end", F.explode(F.sequence(F.col(day), F.date_add(F.col(day), days - 1))))
+    total = F.sum("_n")
+    return spread.groupBy(*keys, "window_end").agg(total.alias("n"), (F.sum("_sum") / F.nullif(total, F.lit(0).cast("long"))).alias("mean"), F.count(F.lit(1)).alias("n_days"))
+
+
+#: Pairs of rows that one task of a dealt join forms, as far as its keys allow.
+PAIRS_A_TASK = 4_000_000
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str], pairs: int | None = None) -> DataFrame:
+    """Inner join by equal keys that many rows of both sides share, dealt out by the pairs that it forms.
+
+    The size of such a join's input says nothing of its output, so tasks that are made by input grow with the
+    square of the tables. Here the rows of both sides are counted by key; a key of more than `pairs` pairs has its left rows
+    dealt into blocks, each of which meets all right rows of the key, and there are as many tasks as the pairs ask for.
+    """
+    pairs = pairs or PAIRS_A_TASK
+    sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nl")).join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr")), list(keys))
+    blocks = F.least(F.ceil(F.col("_nl").cast("double") * F.col("_nr") / pairs), F.col("_nl")).cast("int")
+    sizes = written(sizes.select(*keys, blocks.alias("_blocks"), (F.col("_nl").cast("double") * F.col("_nr")).alias("_pairs")))
+    total = sizes.agg(F.sum("_pairs")).first()[0]
+    tasks = int(min(max(2 * (total or 0) / pairs, 1), MOST_TASKS))
+    deal = F.pmod(F.xxhash64(*left.columns), F.col("_blocks")).cast("int")
+    few = sizes.select(*keys, "_blocks")
+    dealt = left.join(few, list(keys)).withColumn("_block", deal).drop("_blocks")
+    every = right.join(few, list(keys)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    by = [*keys, "_block"]
+    return dealt.repartition(tasks, *by).join(every.repartition(tasks, *by).hint("merge"), by).drop("_block")
+
+
+#: Tasks of one dealt join at most; more pairs make them longer.
+MOST_TASKS = 20_000
 
 
 def box_join(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     """Pairs of boxes (min_x, min_y, max_x, max_y; ids `left_id`, `right_id`) that overlap, via the tiles of a coarse grid.
 
     A pair is kept in the tile of its overlap's lower corner only, so nothing has to be
-    de-duplicated.
+    de-duplicated. Tiles are joined by the number of their pairs, however many boxes lie in one.
     """
 
     def tiled(df: DataFrame, side: str) -> DataFrame:
@@ -39,7 +75,7 @@ def box_join(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
         named = df.select(f"{side}_id", *[F.col(c).alias(f"{side}_{c}") for c in ("min_x", "min_y", "max_x", "max_y")], F.explode(F.sequence(k("min_x"), k("max_x"))).alias("tx"), F.sequence(k("min_y"), k("max_y")).alias("tys"))
         return named.withColumn("ty", F.explode("tys")).drop("tys")
 
-    joined = tiled(left, "left").join(tiled(right, "right"), ["tx", "ty"])
+    joined = dealt_join(tiled(left, "left"), tiled(right, "right"), ["tx", "ty"])
     low_x, low_y = F.greatest("left_min_x", "right_min_x"), F.greatest("left_min_y", "right_min_y")
     overlap = (low_x <= F.least("left_max_x", "right_max_x")) & (low_y <= F.least("left_max_y", "right_max_y"))
     home = (F.col("tx") == F.floor(low_x / size)) & (F.col("ty") == F.floor(low_y / size))
@@ -62,8 +98,22 @@ def bilinear(target: DataFrame, pixels: DataFrame, keys: Sequence[str], value: s
     return joined.groupBy("target_id").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum(valid), F.lit(0.0))).alias(value))
 
 
-#: Buckets of a level that are sent to all tasks; more are joined by key. Levels between two that are written.
-FEW_BUCKETS, LEVELS_AT_ONCE = 10_000, 4
+#: Buckets of a level that are sent to all tasks; more are joined by key. Levels between two that are written. Points of a bucket, as a point sees them, and halvings to get there.
+FEW_BUCKETS, LEVELS_AT_ONCE, POINTS_OF_BUCKET, MOST_HALVINGS = 10_000, 4, 32, 40
+
+
+def _fine(points: DataFrame, keys: Sequence[str], size: float) -> float:
+    """The size of buckets, halved until few points share one."""
+    done = 0
+    while done < MOST_HALVINGS:
+        cell = lambda c: F.floor(F.col(c) / size)  # noqa: E731, B023
+        n = F.col("n").cast("double")
+        crowd = points.groupBy(*keys, cell("px"), cell("py")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(n * n) / F.sum(n)).first()[0]
+        steps = min(math.ceil(math.log(crowd / POINTS_OF_BUCKET, 4)) if crowd > POINTS_OF_BUCKET else 0, MOST_HALVINGS - done)
+        if not steps:
+            break
+        done, size = done + steps, size / 2**steps
+    return size
 
 
 def _pyramid(points: DataFrame, keys: Sequence[str], size: float, reach: float) -> list[DataFrame]:
@@ -87,11 +137,11 @@ def nearest_buckets(grid: DataFrame, levels: Sequence[DataFrame], keys: Sequence
     """(*keys, grid_id, x, y, cx, cy): the buckets of the finest level that can hold each position's nearest point.
 
     A position goes down the pyramid and keeps the buckets whose box is not farther than the
-    nearest single point it knows of.
+    nearest single point it knows of, from this level or from those above.
     """
     ids = [*keys, "grid_id"]
     nearest = lambda c, a, b: F.greatest(F.least(F.col(c), F.col(b)), F.col(a))
-    left = grid.where("x is not null and y is not null").select(*ids, "x", "y")
+    left = grid.where("x is not null and y is not null").select(*ids, "x", "y", F.lit(float("inf")).alias("_known"))
     for depth, level in enumerate(reversed(levels)):
         parent = level.withColumns({"cx": F.floor(F.col("bx") / 2), "cy": F.floor(F.col("by") / 2)}) if depth else level
         few = F.broadcast(parent) if level.count() <= FEW_BUCKETS else parent
@@ -100,33 +150,40 @@ def nearest_buckets(grid: DataFrame, levels: Sequence[DataFrame], keys: Sequence
         else:
             met = left.crossJoin(few)  # four buckets at most
         low, high = _square(nearest("x", "x1", "x2"), nearest("y", "y1", "y2")), _square(F.col("one.px"), F.col("one.py"))
+        at = [*ids, "x", "y", F.col("bx").alias("cx"), F.col("by").alias("cy")]
+        near = met.select(*at, low.alias("_low"), F.least(high, "_known").alias("_high")).where(F.col("_low") <= F.col("_high") * (1 + 1e-12))
         bound = F.min("_high").over(Window.partitionBy(*ids))
-        kept = met.withColumns({"_low": low, "_high": high}).withColumn("_best", bound).where(F.col("_low") <= F.col("_best") * (1 + 1e-12))
-        left = kept.select(*ids, "x", "y", F.col("bx").alias("cx"), F.col("by").alias("cy"))
+        kept = near.withColumn("_known", bound).where(F.col("_low") <= F.col("_known") * (1 + 1e-12))
+        left = kept.select(*ids, "x", "y", "cx", "cy", "_known")
         if depth % LEVELS_AT_ONCE == LEVELS_AT_ONCE - 1:
             left = written(left)
-    return left
+    return left.drop("_known")
 
 
 def nearest_point(grid: DataFrame, swath: DataFrame, size: float, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Reading of the nearest swath point to each grid position (grid_id, x, y) among those of equal keys: (*keys, grid_id, value).
 
     grid and swath have the keys. Of points equally near the one with the lesser
-    point_id counts; null only where no point has the position's keys. Buckets of points
-    are laid over each other in a pyramid, each with the box that its points span and one
-    of the points, so that a position meets the points of a few buckets of the finest
-    level only, however far it lies from the swath.
+    point_id counts; null only where no point has the position's keys. Buckets of points, at most of
+    `size` and finer where points are many, are laid over each other in a pyramid, each with the box
+    that its points span and one of the points, so that a position meets the points of a few buckets of the finest
+    level only, however far it lies from the swath. Of points in one place the least alone is kept, and what is asked at one
+    place is searched once.
     """
     ids = [*keys, "grid_id"]
-    points = swath.where("x is not null and y is not null").select(*keys, "point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col(value).alias("v"))
+    swath = swath.where("x is not null and y is not null").select(*keys, "point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col(value).alias("v"))
+    points = written(swath.groupBy(*keys, "px", "py").agg(F.min_by(F.struct("point_id", "v"), "point_id").alias("_p")).select(*keys, "px", "py", "_p.point_id", "_p.v"))
     ends = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
     if ends[0] is None:
-        return grid.select(*ids, F.lit(None).cast(swath.schema[value].dataType).alias(value))
-    left = nearest_buckets(grid, _pyramid(points, keys, size, max(ends[1] - ends[0], ends[3] - ends[2])), keys)
+        return grid.select(*ids, F.lit(None).cast(points.schema["v"].dataType).alias(value))
+    size = _fine(points, keys, size)
+    spots = grid.where("x is not null and y is not null").select(*keys, "x", "y").distinct()
+    spots = spots.withColumn("grid_id", F.struct("x", "y"))
+    left = nearest_buckets(spots, _pyramid(points, keys, size, max(ends[1] - ends[0], ends[3] - ends[2])), keys)
     cell = lambda c: F.floor(F.col(c) / size)
     seen = left.join(points.withColumns({"cx": cell("px"), "cy": cell("py")}), [*keys, "cx", "cy"])
-    found = seen.groupBy(*ids).agg(F.min_by("v", F.struct(_square(F.col("px"), F.col("py")).alias("d"), "point_id")).alias(value))
-    return grid.select(*ids).join(found, ids, "left")
+    found = seen.groupBy(*keys, "x", "y").agg(F.min_by("v", F.struct(_square(F.col("px"), F.col("py")).alias("d"), "point_id")).alias(value))
+    return grid.select(*ids, "x", "y").join(found, [*keys, "x", "y"], "left").select(*ids, value)
 
 
 def nearest_in_time(requests: DataFrame, images: DataFrame, keys: Sequence[str], asked: str, taken: str, image: str) -> DataFrame:

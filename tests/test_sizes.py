@@ -52,3 +52,38 @@ def test_footprints_read_their_text_once(spark):
     found = names.mtl_footprint(F.col("text"))
     plan = spark.createDataFrame([("{}",)], "text string").select(found.alias("f"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") + plan.count("jsontostructs") == 1 and "get_json_object" not in plan
+
+
+def test_windows_are_put_together_where_the_days_of_a_key_are(spark):
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 5).cast("int"))
+    obs = spark.range(40).select((F.col("id") % 2).alias("k"), day.alias("day"), F.when(F.col("id") % 3 > 0, F.col("id").cast("double")).alias("v"))
+    found = joins.window_statistics(obs, ["k"], "day", "v", 3)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Expand" not in plan  # no count of distinct days over the rows of all windows
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # rows of windows are not moved
+    rows = obs.collect()
+    for w in found.collect():
+        mine = [r for r in rows if r.k == w.k and 0 <= (w.window_end - r.day).days < 3]
+        values = [r.v for r in mine if r.v is not None]
+        assert (w.n, w.n_days) == (len(values), len({r.day for r in mine})) and abs(w.mean - sum(values) / len(values)) < 1e-9
+
+
+def test_a_crowded_key_is_dealt_out_by_its_pairs(spark):
+    left, right = (spark.range(n).select(F.floor(F.col("id") / 1000).alias("k"), F.col("id").alias(c)) for c, n in (("a", 300), ("b", 200)))
+    met = joins.dealt_join(left, right, ["k"], pairs=5000)
+    sizes = met.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 60_000 and max(sizes) < 30_000 and met.distinct().count() == 60_000
+    boxes = lambda side, n: spark.range(n).select(F.col("id").alias(f"{side}_id"), *[F.lit(v).alias(c) for c, v in (("min_x", 0.0), ("min_y", 0.0), ("max_x", 0.5), ("max_y", 0.5))])
+    assert joins.box_join(boxes("left", 30), boxes("right", 20), 5.0).distinct().count() == 600
+
+
+def test_crowded_swath_is_met_by_few_points_a_position(spark):
+    points = spark.range(4000).select(F.col("id").alias("point_id"), (F.col("id") * 7 % 100 / 10).alias("x"), (F.floor(F.col("id") / 100) / 4).alias("y"), F.col("id").alias("v"))
+    swath = points.unionByName(points.withColumn("point_id", F.col("point_id") + 4000).withColumn("v", F.lit(-1).cast("long")))
+    grid = spark.createDataFrame([(1, 3.3, 4.1), (2, 3.3, 4.1), (3, -50.0, 200.0), (4, 9.9, 0.0), (5, None, 1.0)], "grid_id long, x double, y double")
+    assert joins._fine(points.withColumnsRenamed({"x": "px", "y": "py"}), [], 20.0) < 2
+    found = {r.grid_id: r.v for r in joins.nearest_point(grid, swath, 20.0, "v").collect()}
+    rows = points.collect()
+    asked = {g.grid_id: g.x is not None and min(rows, key=lambda p: ((p.x - g.x) ** 2 + (p.y - g.y) ** 2, p.point_id)).v or None for g in grid.collect()}
+    assert found == asked
