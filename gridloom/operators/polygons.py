@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
+from gridloom.operators.joins import dealt_join
+
 RINGS = "array<array<struct<x:double,y:double>>>"
 
 
@@ -74,10 +76,13 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, ids:
     edges of one row of one polygon. Points without a position are in none; repeated points count each time.
     """
     kept = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)").select(*ids, "x", "y")
-    met = kept.withColumns({c: F.floor(F.col(v) / size) for c, v in (("tx", "x"), ("ty", "y"))}).join(tile_index(polygons, size), ["tx", "ty"])
+    kept = kept.withColumns({c: F.floor(F.col(v) / size) for c, v in (("tx", "x"), ("ty", "y"))})
     rows = edges(polygons).withColumn("ty", F.explode(_span("y1", "y2", size)))
     arrays = rows.groupBy("polygon_id", "ty").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-    near = met.where("not full").join(arrays, ["polygon_id", "ty"])
+    index = tile_index(polygons, size)
+    held = index.where("full").withColumn("edges", F.lit(None).cast(arrays.schema["edges"].dataType))
+    index = index.where("not full").join(arrays, ["polygon_id", "ty"]).select(*held.columns).unionByName(held)
+    met = dealt_join(kept, index, ["tx", "ty"])  # edges go with the index, so no pair is moved
     x, y = F.col("x"), F.col("y")
 
     def beside(e: Column) -> Column:
@@ -88,8 +93,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, ids:
         return F.when(on, F.lit(None).cast("int")).otherwise(F.when(left, 1).otherwise(0))
 
     counted = F.aggregate("edges", F.lit(0), lambda n, e: n + beside(e))  # null once the point is on an edge
-    exact = near.where(F.coalesce(counted % 2 == 1, F.lit(True)))
-    return met.where("full").select(*ids, "polygon_id").unionByName(exact.select(*ids, "polygon_id"))
+    return met.where(F.col("full") | F.coalesce(counted % 2 == 1, F.lit(True))).select(*ids, "polygon_id")
 
 
 def boxes_meeting_polygons(boxes: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
