@@ -12,19 +12,24 @@ Zones: 1 to 60 UTM north, -1 to -60 UTM south, 0 degrees, 100 sinusoidal.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.functions import columns as C
 from gridloom.functions import geometry as G
 from gridloom.operators import stencils
-from gridloom.operators.joins import box_join
+from gridloom.operators.joins import MOST_TASKS, box_join
+from gridloom.operators.steps import written
 from gridloom.sources import names as N
 
 DEGREES, SINUSOIDAL = 0, 100
+#: Pixels of products that one task takes.
+PIXELS_A_TASK = 250_000
 
 
 @dataclass(frozen=True)
@@ -139,24 +144,45 @@ def selected(source: Source, assets: DataFrame) -> DataFrame:
     found = found.where("day is not null")
     if source.rank:
         first = found.groupBy("day").agg(F.min(source.rank).alias("_first"))
-        found = found.join(first, "day").where(F.col(source.rank) == F.col("_first")).drop("_first")
+        found = found.join(F.broadcast(first), "day").where(F.col(source.rank) == F.col("_first")).drop("_first")  # one row for each day
     return found
 
 
+def _lattice(zone: Column, size: Column) -> Column:
+    """A lattice as one text: fractions as keys are normalized anew by every join, which then moves its rows again."""
+    return F.concat_ws("/", zone.cast("string"), size.cast("string"))
+
+
+def tasks_of(df: DataFrame, pixels: float | None = None) -> int:
+    """As many tasks as the pixels ask for, and no fewer than joins have by themselves."""
+    asked = math.ceil((pixels or 0) / PIXELS_A_TASK)
+    return max(min(asked, MOST_TASKS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def in_turn(source: Source, chosen: DataFrame) -> DataFrame:
+    """Assets with the number of their `turn` in the order of the source, written, so that names are read once and pixels are told apart by numbers."""
+    return written(chosen.orderBy(*source.order).withColumn("turn", F.monotonically_increasing_id()))
+
+
 def native_pixels(source: Source, chosen: DataFrame, readings: DataFrame) -> DataFrame:
-    """One calibrated reading for each pixel of a lattice, day and band: (zone, size, day, band, gy, gx, value), value null where no product has a valid one."""
-    joined = readings.join(chosen, ["name", "band"])
+    """One calibrated reading for each pixel of a lattice, day and band: (lattice, day, band, gy, gx, value), value null where no product has a valid one.
+
+    chosen: assets in turn. There are as many tasks as their pixels ask for. Assets are the side that is kept in memory, so readings are not sorted.
+    """
+    tasks = tasks_of(chosen, chosen.agg(F.sum(F.col("rows").cast("double") * F.col("cols"))).first()[0])
+    joined = readings.repartition(tasks, "name", "band").join(chosen.repartition(tasks, "name", "band").hint("shuffle_hash"), ["name", "band"])
     centre = lambda edge, i, sign: F.col(edge) + sign * (F.col(i) + 0.5) * F.col("size")
     placed = joined.select(
         "*",
+        _lattice(F.col("zone"), F.col("size")).alias("lattice"),
         F.floor(-centre("top", "row", -1) / F.col("size")).alias("gy"),
         F.floor(centre("left", "col", 1) / F.col("size")).alias("gx"),
         source.value().cast("double").alias("value"),
     )
-    order = F.struct(*source.order)
-    keys = ["zone", "size", *([] if source.static else ["day"]), "band", "gy", "gx"]
-    first = order if source.latest else F.when(F.col("value").isNotNull(), order)
-    return placed.groupBy(*keys).agg(F.min_by("value", first).alias("value"))
+    keys = ["lattice", *([] if source.static else ["day"]), "band", "gy", "gx"]
+    first = F.col("turn") if source.latest else F.when(F.col("value").isNotNull(), F.col("turn"))
+    # Dealt out by pixels alone, as the joins with targets and neighbours ask for: they move no rows again.
+    return placed.select(*keys, "turn", "value").repartition(tasks, "lattice", "gy", "gx").groupBy(*keys).agg(F.min_by("value", first).alias("value"))
 
 
 def _boxes(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
@@ -170,7 +196,7 @@ def _boxes(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
 
 
 def positions(cells: DataFrame, chosen: DataFrame, tile: float = 1.0) -> DataFrame:
-    """Where the centre of each target pixel lies in every lattice that has a product near its cell: (cell, y, x, zone, size, v, u) in pixels of the lattice.
+    """Where the centre of each target pixel lies in every lattice that has a product near its cell: (cell, y, x, lattice, nth, v, u) in pixels of the lattice, the `nth` of its cell.
 
     Each target pixel looks back into the lattice, so none is missed however the
     lattices are turned against each other. Cells and products meet in tiles of degrees.
@@ -181,8 +207,10 @@ def positions(cells: DataFrame, chosen: DataFrame, tile: float = 1.0) -> DataFra
         tile,
     )
     lattices = pairs.select(F.col("left_id.cell").alias("cell"), F.col("right_id.zone").alias("to_zone"), F.col("right_id.size").alias("to_size")).distinct()
+    lattices = lattices.withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy("to_zone", "to_size")))
     count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    every = cells.join(lattices, "cell").withColumn("y", F.explode(count("rows"))).withColumn("x", F.explode(count("cols")))
+    few = cells.join(lattices, "cell")
+    every = few.repartition(tasks_of(few), "cell").withColumn("y", F.explode(count("rows"))).withColumn("x", F.explode(count("cols")))
     own = every.withColumns({"own_x": F.col("left") + (F.col("x") + 0.5) * F.col("size"), "own_y": F.col("top") - (F.col("y") + 0.5) * F.col("size")})
     there = projected(geographic(own, "own_x", "own_y", "zone"), "to_zone", "to_x", "to_y")
     same = F.col("zone") == F.col("to_zone")
@@ -190,8 +218,8 @@ def positions(cells: DataFrame, chosen: DataFrame, tile: float = 1.0) -> DataFra
         "cell",
         "y",
         "x",
-        F.col("to_zone").alias("zone"),
-        F.col("to_size").alias("size"),
+        _lattice(F.col("to_zone"), F.col("to_size")).alias("lattice"),
+        "nth",
         (-F.when(same, F.col("own_y")).otherwise(F.col("to_y")) / F.col("to_size")).alias("v"),
         (F.when(same, F.col("own_x")).otherwise(F.col("to_x")) / F.col("to_size")).alias("u"),
     )
@@ -211,12 +239,12 @@ def resampled(source: Source, at: DataFrame, native: DataFrame) -> DataFrame:
         gy, gx = _pixel(F.col("v") - 0.5) + F.col("c.a"), _pixel(F.col("u") - 0.5) + F.col("c.b")
         around = at.withColumn("c", corner).withColumns({"gy": gy, "gx": gx})
         weight = (1 - F.abs(F.col("v") - 0.5 - F.col("gy"))) * (1 - F.abs(F.col("u") - 0.5 - F.col("gx")))
-        met = around.withColumn("w", weight).join(native, ["zone", "size", "gy", "gx"])
+        met = around.withColumn("w", weight).join(native, ["lattice", "gy", "gx"])
         valid = F.when(F.col("value").isNotNull(), F.col("w"))
-        read = met.groupBy(*keys, "zone", "size").agg((F.sum(F.col("w") * F.col("value")) / F.nullif(F.sum(valid), F.lit(0.0))).alias("value"))
+        read = met.groupBy(*keys, "nth").agg((F.sum(F.col("w") * F.col("value")) / F.nullif(F.sum(valid), F.lit(0.0))).alias("value"))
     else:
-        read = at.withColumns({"gy": _pixel(F.col("v")), "gx": _pixel(F.col("u"))}).join(native, ["zone", "size", "gy", "gx"])
-    first = F.when(F.col("value").isNotNull(), F.struct("zone", "size"))
+        read = at.withColumns({"gy": _pixel(F.col("v")), "gx": _pixel(F.col("u"))}).join(native, ["lattice", "gy", "gx"])
+    first = F.when(F.col("value").isNotNull(), F.col("nth"))
     return read.groupBy(*keys).agg(F.min_by("value", first).alias("value"))
 
 
@@ -226,12 +254,12 @@ def fetch(source: Source, assets: DataFrame, readings: DataFrame, cells: DataFra
     bands: names of the registry; days: (day), unless the source is static. Missing products are
     no errors. All joins are by equal keys; the product of cells, days and bands is the result itself.
     """
-    chosen = selected(source, assets.where(F.col("band").isin(*bands)))
+    chosen = in_turn(source, selected(source, assets.where(F.col("band").isin(*bands))))
     found = resampled(source, positions(cells, chosen), native_pixels(source, chosen, readings))
     dated = [] if source.static else ["day"]
     if source.whole:
-        whole = found.groupBy("cell", *dated).agg(F.countDistinct("band").alias("_bands")).where(F.col("_bands") == len(set(bands)))
-        found = found.join(whole.select("cell", *dated), ["cell", *dated])
+        there = F.size(F.collect_set("band").over(Window.partitionBy("cell", *dated)))  # the rows of one cell and day; a join would find all of them twice
+        found = found.withColumn("_bands", there).where(F.col("_bands") == len(set(bands))).drop("_bands")
     if source.fill is not None:
         found = found.withColumn("value", F.coalesce("value", F.lit(source.fill)))
     count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -251,13 +279,15 @@ def fetch_terrain(assets: DataFrame, readings: DataFrame, cells: DataFrame, leas
     tile's edge; they are found on the native lattice, where a degree along a row gets shorter
     with latitude, and then resampled. Heights under `least` leave all three null.
     """
+    assets = in_turn(source, assets)
     native = native_pixels(source, assets, readings)
-    steep = stencils.gradients(native, ["zone", "size"], "value")
+    size = F.substring_index("lattice", "/", -1).cast("double")
+    steep = stencils.gradients(native, ["lattice"], "value").withColumn("size", size)
     across, along = C.degree_spacing(-(F.col("gy") + 0.5) * F.col("size"), F.col("size"), F.col("size"))
     slope, aspect = stencils.slope_and_aspect(F.col("east"), F.col("south"), across, along)
     bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), v.alias("value")) for b, v in (("DEM", F.col("value")), ("slope", slope), ("aspect", aspect))])).alias("b")
     valid = steep.where(F.col("value") >= least)
-    found = resampled(source, positions(cells, assets), valid.select("zone", "size", "gy", "gx", bands).select("zone", "size", "gy", "gx", "b.band", "b.value"))
+    found = resampled(source, positions(cells, assets), valid.select("lattice", "gy", "gx", bands).select("lattice", "gy", "gx", "b.band", "b.value"))
     count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     asked = cells.select("cell", F.explode(count("rows")).alias("y"), "cols").select("cell", "y", F.explode(count("cols")).alias("x"))
     asked = asked.withColumn("band", F.explode(F.array(*map(F.lit, ("DEM", "slope", "aspect")))))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as G
 from gridloom.operators import lattices as L
+from gridloom.operators.steps import written
 from gridloom.plans.queries import query, r, table
 
 #: Where the strips begin: the same place in zones 11 and 12 (metres), in the sinusoidal grid, and in degrees.
@@ -111,7 +112,7 @@ def products(spark, sf_dir, lattice: Lattice, name: Column):
     """(name, band, zone, size, left, top, rows, cols, d, ...): the products of the role, one asset for each band."""
     items = table(spark, sf_dir, "lineitem")
     scene = F.floor(F.col("l_orderkey") / 80)
-    found = items.select(scene.alias("scene"), F.col("l_returnflag").alias("band")).distinct()
+    found = written(items.select(scene.alias("scene"), F.col("l_returnflag").alias("band")).distinct())  # else what is asked of names is asked of every line item
     named = found.withColumns({"strip": F.floor(F.col("scene") / 84) % 2000, "d": (F.col("scene") % 6).cast("int"), "tile": F.floor(F.col("scene") / 6) % 7})
     return named.select(
         name.alias("name"),
@@ -132,11 +133,15 @@ def products(spark, sf_dir, lattice: Lattice, name: Column):
 
 def readings(spark, sf_dir, name: Column):
     keys = [F.floor(F.col("l_orderkey") / 80).alias("scene"), F.col("l_returnflag").alias("band"), (F.col("l_partkey") % 10).alias("row"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 10).alias("col")]
-    dn = F.max(F.when(F.col("l_tax") > 0.07, 0.0).otherwise(F.col("l_quantity") * 100)).alias("dn")
+    dn = F.when(F.col("l_tax") > 0.07, 0.0).otherwise(F.col("l_quantity") * 100).alias("dn")
     facts = {"d": (F.col("scene") % 6).cast("int"), "tile": F.floor(F.col("scene") / 6) % 7}
-    found = table(spark, sf_dir, "lineitem").groupBy(*keys).agg(dn).withColumns(facts)
+    items = table(spark, sf_dir, "lineitem")
+    # Nearly every line item is a reading of its own, so they are dealt out before they are grouped: a task holds the readings of its products, not those of a piece of the file.
+    dealt = items.select(*keys, dn).repartition(L.tasks_of(items, items.count()), "scene", "band")
+    found = dealt.groupBy("scene", "band", "row", "col").agg(F.max("dn").alias("dn")).withColumns(facts)
     clouds = [(F.col("dn") % 700 == 0).cast("int").alias("opaque"), (F.col("dn") % 300 == 0).cast("int").alias("cirrus")]
-    return found.select(name.alias("name"), "band", "row", "col", "dn", *clouds)
+    # A name is never null, so no test for nulls, with the whole name written out in it, is pushed down to every line item.
+    return found.select(F.coalesce(name, F.lit("")).alias("name"), "band", "row", "col", "dn", *clouds)
 
 
 def targets(spark, sf_dir):
