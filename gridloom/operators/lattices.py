@@ -255,7 +255,8 @@ def fetch(source: Source, assets: DataFrame, readings: DataFrame, cells: DataFra
     no errors. All joins are by equal keys; the product of cells, days and bands is the result itself.
     """
     chosen = in_turn(source, selected(source, assets.where(F.col("band").isin(*bands))))
-    found = resampled(source, positions(cells, chosen), native_pixels(source, chosen, readings))
+    native = native_pixels(source, chosen, readings).hint("shuffle_hash")  # a task holds PIXELS_A_TASK of them or fewer, whatever is asked of it; else all are sorted
+    found = resampled(source, positions(cells, chosen), native)
     dated = [] if source.static else ["day"]
     if source.whole:
         there = F.size(F.collect_set("band").over(Window.partitionBy("cell", *dated)))  # the rows of one cell and day; a join would find all of them twice

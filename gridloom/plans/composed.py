@@ -152,12 +152,18 @@ def targets(spark, sf_dir):
     return cells.select((F.col("strip") * 5 + F.col("i")).alias("cell"), F.lit(11).alias("zone"), F.lit(25.0).alias("size"), left.alias("left"), top.alias("top"), F.lit(6).alias("rows"), F.lit(6).alias("cols"))
 
 
+def _written(after: Column, pattern: str) -> Column:
+    """The day so many days after the first, as text. The days of the role are formatted once, in the plan, and looked up: names are built for every reading."""
+    day = lambda n: F.date_format(F.date_add(F.to_date(F.lit(DAY)), n), pattern)
+    return F.coalesce(F.get(F.array(*[day(n) for n in range(11)]), after), day(after))
+
+
 def _day(pattern: str) -> Column:
-    return F.date_format(F.date_add(F.to_date(F.lit(DAY)), F.col("d")), pattern)
+    return _written(F.col("d"), pattern)
 
 
 def _processed() -> Column:
-    return F.date_format(F.date_add(F.date_add(F.to_date(F.lit(DAY)), F.col("d")), (1 + F.col("scene") % 5).cast("int")), "yyyyMMdd")
+    return _written(F.col("d") + (1 + F.col("scene") % 5).cast("int"), "yyyyMMdd")
 
 
 def _number(digits: int = 0) -> Column:

@@ -1,5 +1,9 @@
 """How the steps of sources on lattices are planned: what is read once, what is dealt out, what is held in memory."""
 
+import datetime
+import math
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from gridloom.operators import lattices as L
@@ -50,3 +54,21 @@ def test_names_are_read_once_for_each_product_and_readings_dealt_before_they_are
     assert not any("date_format" in line for line in tests)
     grouped = [line.split("(")[0].strip(" +-:*") for line in _plan(readings).splitlines()]
     assert grouped.index("HashAggregate") < len(grouped) - 1 - grouped[::-1].index("HashAggregate") < min(i for i, n in enumerate(grouped) if n.startswith("Exchange"))
+
+
+def test_days_of_names_are_formatted_once_in_the_plan(spark):
+    scenes = spark.range(-9, 60).withColumnRenamed("id", "scene").withColumns({"d": (F.col("scene") % 6).cast("int"), "tile": F.floor(F.col("scene") / 6) % 7})
+    named = scenes.select("scene", "d", composed.landsat_names().alias("name"), composed.julian_names().alias("julian"))
+    plan = _plan(named, "optimizedPlan")
+    assert "[20240301,20240302,20240303," in plan and "[2024061,2024062,2024063," in plan
+    for r in named.collect():
+        day = datetime.date(2024, 3, 1) + datetime.timedelta(r.d)
+        done = day + datetime.timedelta(1 + int(math.fmod(r.scene, 5)))
+        assert r.name.split("_")[3:5] == [f"{day:%Y%m%d}", f"{done:%Y%m%d}"] and r.julian.startswith(f"MOD09GA.A{day:%Y%j}.")
+
+
+def test_native_pixels_are_held_by_a_task_and_not_sorted_for_the_pixels_asked_for(spark):
+    for bilinear in (False, True):
+        found = L.fetch(replace(L.SOURCES["landsat"], bilinear=bilinear), *_tables(spark)[:3], ["b"], _tables(spark)[3])
+        joins = [line for line in _plan(found).splitlines() if "Join" in line and "gy#" in line]
+        assert joins and all("ShuffledHashJoin" in line and "BuildRight" in line for line in joins)
