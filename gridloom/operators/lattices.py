@@ -135,8 +135,11 @@ def projected(df: DataFrame, zone: str, x: str, y: str) -> DataFrame:
 
 
 def selected(source: Source, assets: DataFrame) -> DataFrame:
-    """Assets with the facts in their names; names that do not fit are left out, and days with a source of lesser rank keep that one only."""
-    found = assets.withColumns(dict(source.facts(F.col("name"))))
+    """Assets with the facts in their names; names that do not fit are left out, and days with a source of lesser rank keep that one only.
+
+    Reading names is most of this work, so it is dealt out, however few files or tasks the assets come in.
+    """
+    found = assets.repartition("name").withColumns(dict(source.facts(F.col("name"))))
     if source.static:
         return found
     if source.next_day:
@@ -164,25 +167,51 @@ def in_turn(source: Source, chosen: DataFrame) -> DataFrame:
     return written(chosen.orderBy(*source.order).withColumn("turn", F.monotonically_increasing_id()))
 
 
-def native_pixels(source: Source, chosen: DataFrame, readings: DataFrame) -> DataFrame:
-    """One calibrated reading for each pixel of a lattice, day and band: (lattice, day, band, gy, gx, value), value null where no product has a valid one.
+def _placed(source: Source, chosen: DataFrame, readings: DataFrame, by: str = "name", dealt: bool = False) -> tuple[DataFrame, list[str], Column]:
+    """Calibrated readings, dealt out by the pixels of lattices, where each belongs (lattice, day, gy, gx), and what the first of a pixel is the least of.
 
     chosen: assets in turn. There are as many tasks as their pixels ask for. Assets are the side that is kept in memory, so readings are not sorted.
     """
     tasks = tasks_of(chosen, chosen.agg(F.sum(F.col("rows").cast("double") * F.col("cols"))).first()[0])
-    joined = readings.repartition(tasks, "name", "band").join(chosen.repartition(tasks, "name", "band").hint("shuffle_hash"), ["name", "band"])
+    own = [by, "band"]
+    read = readings.drop(*(set(chosen.columns) - set(own)))
+    assets = chosen.withColumn("lattice", _lattice(F.col("zone"), F.col("size")))  # one text for each asset, not for each of its readings
+    if not dealt:
+        read, assets = read.repartition(tasks, *own), assets.repartition(tasks, *own)
+    joined = read.join(assets.hint("shuffle_hash"), own)
     centre = lambda edge, i, sign: F.col(edge) + sign * (F.col(i) + 0.5) * F.col("size")
     placed = joined.select(
         "*",
-        _lattice(F.col("zone"), F.col("size")).alias("lattice"),
         F.floor(-centre("top", "row", -1) / F.col("size")).alias("gy"),
         F.floor(centre("left", "col", 1) / F.col("size")).alias("gx"),
         source.value().cast("double").alias("value"),
     )
-    keys = ["lattice", *([] if source.static else ["day"]), "band", "gy", "gx"]
+    keys = ["lattice", *([] if source.static else ["day"]), "gy", "gx"]
     first = F.col("turn") if source.latest else F.when(F.col("value").isNotNull(), F.col("turn"))
     # Dealt out by pixels alone, as the joins with targets and neighbours ask for: they move no rows again.
-    return placed.select(*keys, "turn", "value").repartition(tasks, "lattice", "gy", "gx").groupBy(*keys).agg(F.min_by("value", first).alias("value"))
+    return placed.select(*keys, "band", "turn", "value").repartition(tasks, "lattice", "gy", "gx"), keys, first
+
+
+def native_pixels(source: Source, chosen: DataFrame, readings: DataFrame, by: str = "name", dealt: bool = False) -> DataFrame:
+    """One calibrated reading for each pixel of a lattice, day and band: (lattice, day, band, gy, gx, value), value null where no product has a valid one."""
+    placed, keys, first = _placed(source, chosen, readings, by, dealt)
+    return placed.groupBy(*keys[:-2], "band", "gy", "gx").agg(F.min_by("value", first).alias("value"))
+
+
+def _bit(n: int) -> int:
+    return 1 << n
+
+
+def native_bands(source: Source, chosen: DataFrame, readings: DataFrame, bands: Sequence[str], by: str = "name", dealt: bool = False) -> DataFrame:
+    """The pixels of a lattice and day with their bands side by side: (lattice, day, gy, gx, v0, v1, ..., there), so that a pixel is grouped, met and moved once for all its bands.
+
+    v0, v1, ...: the readings, in the order of `bands`; there: a bit for each band that has a product, valid or not.
+    """
+    placed, keys, first = _placed(source, chosen, readings, by, dealt)
+    band = F.col("band")
+    values = [F.min_by("value", F.when(band == b, first)).alias(f"v{n}") for n, b in enumerate(bands)]
+    bit = F.coalesce(*[F.when(band == b, F.lit(_bit(n)).cast("long")) for n, b in enumerate(bands)])
+    return placed.groupBy(*keys).agg(*values, F.bit_or(bit).alias("there"))
 
 
 def _boxes(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
@@ -230,50 +259,64 @@ def _pixel(place: Column) -> Column:
     return F.coalesce(F.floor(place), F.lit(-(1 << 62)))
 
 
-def resampled(source: Source, at: DataFrame, native: DataFrame) -> DataFrame:
-    """Readings at target pixels: of the nearest native pixel, or shared among the valid ones of the four around; then of the first zone that has one."""
-    day = [] if source.static else ["day"]
-    keys = ["cell", *day, "band", "y", "x"]
+def resampled(source: Source, at: DataFrame, native: DataFrame, values: Sequence[str]) -> DataFrame:
+    """(cell, day, y, x, *values, there): readings at target pixels, of the nearest native pixel, or shared among the valid ones of the four around; then of the first zone that has one.
+
+    native: (lattice, day, gy, gx, *values, there).
+    """
+    keys = ["cell", *([] if source.static else ["day"]), "y", "x"]
+    there = F.bit_or("there").alias("there")
     if source.bilinear:
         corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
         gy, gx = _pixel(F.col("v") - 0.5) + F.col("c.a"), _pixel(F.col("u") - 0.5) + F.col("c.b")
         around = at.withColumn("c", corner).withColumns({"gy": gy, "gx": gx})
         weight = (1 - F.abs(F.col("v") - 0.5 - F.col("gy"))) * (1 - F.abs(F.col("u") - 0.5 - F.col("gx")))
         met = around.withColumn("w", weight).join(native, ["lattice", "gy", "gx"])
-        valid = F.when(F.col("value").isNotNull(), F.col("w"))
-        read = met.groupBy(*keys, "nth").agg((F.sum(F.col("w") * F.col("value")) / F.nullif(F.sum(valid), F.lit(0.0))).alias("value"))
+        shared = lambda v: F.sum(F.col("w") * F.col(v)) / F.nullif(F.sum(F.when(F.col(v).isNotNull(), F.col("w"))), F.lit(0.0))
+        read = met.groupBy(*keys, "nth").agg(*[shared(v).alias(v) for v in values], there)
     else:
         read = at.withColumns({"gy": _pixel(F.col("v")), "gx": _pixel(F.col("u"))}).join(native, ["lattice", "gy", "gx"])
-    first = F.when(F.col("value").isNotNull(), F.col("nth"))
-    return read.groupBy(*keys).agg(F.min_by("value", first).alias("value"))
+    first = lambda v: F.min_by(v, F.when(F.col(v).isNotNull(), F.col("nth")))
+    return read.groupBy(*keys).agg(*[first(v).alias(v) for v in values], there)
 
 
-def fetch(source: Source, assets: DataFrame, readings: DataFrame, cells: DataFrame, bands: Sequence[str], days: DataFrame | None = None) -> DataFrame:
+def _asked(cells: DataFrame, found: DataFrame, bands: Sequence[tuple[str, str]], days: DataFrame | None = None) -> DataFrame:
+    """(cell, day, band, y, x, value) for every pixel of the cells, day and band, from the bands side by side. bands: (band, the column it stands in)."""
+    dated = [] if days is None else ["day"]
+    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    asked = cells.select("cell", F.explode(count("rows")).alias("y"), "cols").select("cell", "y", F.explode(count("cols")).alias("x"))
+    if days is not None:
+        calendar = days.agg(F.collect_set("day").alias("_days"))  # one row, as long as the sweep
+        asked = asked.crossJoin(F.broadcast(calendar)).withColumn("day", F.explode("_days")).drop("_days")
+    laid = asked.join(found, ["cell", *dated, "y", "x"], "left")
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(v).alias("value")) for b, v in bands]))
+    return laid.withColumn("_b", each).select("cell", *dated, "_b.band", "y", "x", "_b.value")
+
+
+def fetch(source: Source, assets: DataFrame, readings: DataFrame, cells: DataFrame, bands: Sequence[str], days: DataFrame | None = None, by: str = "name", dealt: bool = False) -> DataFrame:
     """(cell, day, band, y, x, value) for every pixel of the cells, on the days and in the bands asked for; value null where there is none.
 
-    bands: names of the registry; days: (day), unless the source is static. Missing products are
+    bands: names of the registry; days: (day), unless the source is static. by: the column of assets and
+    readings that tells products apart, where it is not their name. dealt: readings are already dealt
+    out by `by` and band over as many tasks as they ask for, and are not moved again. Missing products are
     no errors. All joins are by equal keys; the product of cells, days and bands is the result itself.
     """
     chosen = in_turn(source, selected(source, assets.where(F.col("band").isin(*bands))))
-    native = native_pixels(source, chosen, readings).hint("shuffle_hash")  # a task holds PIXELS_A_TASK of them or fewer, whatever is asked of it; else all are sorted
-    found = resampled(source, positions(cells, chosen), native)
-    dated = [] if source.static else ["day"]
+    each = list(dict.fromkeys(bands))
+    values = [f"v{n}" for n in range(len(each))]
+    native = native_bands(source, chosen, readings, each, by, dealt).hint("shuffle_hash")  # a task holds PIXELS_A_TASK of them or fewer, whatever is asked of it; else all are sorted
+    found = resampled(source, positions(cells, chosen), native, values)
     if source.whole:
-        there = F.size(F.collect_set("band").over(Window.partitionBy("cell", *dated)))  # the rows of one cell and day; a join would find all of them twice
-        found = found.withColumn("_bands", there).where(F.col("_bands") == len(set(bands))).drop("_bands")
+        every = F.bit_or("there").over(Window.partitionBy("cell", *([] if source.static else ["day"])))  # the rows of one cell and day; a join would find all of them twice
+        found = found.withColumn("_every", every).where(F.col("_every") == _bit(len(each)) - 1)
     if source.fill is not None:
-        found = found.withColumn("value", F.coalesce("value", F.lit(source.fill)))
-    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    asked = cells.select("cell", F.explode(count("rows")).alias("y"), "cols").select("cell", "y", F.explode(count("cols")).alias("x"))
-    asked = asked.withColumn("band", F.explode(F.array(*map(F.lit, bands))))
-    if not source.static:
-        calendar = days.agg(F.collect_set("day").alias("_days"))  # one row, as long as the sweep
-        asked = asked.crossJoin(F.broadcast(calendar)).withColumn("day", F.explode("_days")).drop("_days")
-    keys = ["cell", *dated, "band", "y", "x"]
-    return asked.join(found, keys, "left").select(*keys, "value")
+        has = lambda n: F.col("there").bitwiseAND(F.lit(_bit(n)).cast("long")) != 0
+        found = found.withColumns({v: F.when(has(n), F.coalesce(v, F.lit(source.fill))) for n, v in enumerate(values)})
+    keys = ["cell", *([] if source.static else ["day"]), "y", "x"]
+    return _asked(cells, found.select(*keys, *values), [(b, values[each.index(b)]) for b in bands], None if source.static else days)
 
 
-def fetch_terrain(assets: DataFrame, readings: DataFrame, cells: DataFrame, least: float, source: Source = SOURCES["dem"]) -> DataFrame:
+def fetch_terrain(assets: DataFrame, readings: DataFrame, cells: DataFrame, least: float, source: Source = SOURCES["dem"], by: str = "name", dealt: bool = False) -> DataFrame:
     """(cell, band, y, x, value) with bands DEM, slope and aspect, for every pixel of the cells.
 
     Tiles in degrees are laid together first, so slopes know what lies beyond a
@@ -281,15 +324,12 @@ def fetch_terrain(assets: DataFrame, readings: DataFrame, cells: DataFrame, leas
     with latitude, and then resampled. Heights under `least` leave all three null.
     """
     assets = in_turn(source, assets)
-    native = native_pixels(source, assets, readings)
+    native = native_pixels(source, assets, readings, by, dealt)
     size = F.substring_index("lattice", "/", -1).cast("double")
     steep = stencils.gradients(native, ["lattice"], "value").withColumn("size", size)
     across, along = C.degree_spacing(-(F.col("gy") + 0.5) * F.col("size"), F.col("size"), F.col("size"))
     slope, aspect = stencils.slope_and_aspect(F.col("east"), F.col("south"), across, along)
-    bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), v.alias("value")) for b, v in (("DEM", F.col("value")), ("slope", slope), ("aspect", aspect))])).alias("b")
     valid = steep.where(F.col("value") >= least)
-    found = resampled(source, positions(cells, assets), valid.select("lattice", "gy", "gx", bands).select("lattice", "gy", "gx", "b.band", "b.value"))
-    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    asked = cells.select("cell", F.explode(count("rows")).alias("y"), "cols").select("cell", "y", F.explode(count("cols")).alias("x"))
-    asked = asked.withColumn("band", F.explode(F.array(*map(F.lit, ("DEM", "slope", "aspect")))))
-    return asked.join(found, ["cell", "band", "y", "x"], "left").select("cell", "band", "y", "x", "value")
+    bands = ["DEM", "slope", "aspect"]
+    wide = valid.select("lattice", "gy", "gx", F.col("value").alias("DEM"), slope.alias("slope"), aspect.alias("aspect"), F.lit(7).cast("long").alias("there"))
+    return _asked(cells, resampled(source, positions(cells, assets), wide, bands).drop("there"), [(b, b) for b in bands])

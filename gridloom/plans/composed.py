@@ -137,11 +137,12 @@ def readings(spark, sf_dir, name: Column):
     facts = {"d": (F.col("scene") % 6).cast("int"), "tile": F.floor(F.col("scene") / 6) % 7}
     items = table(spark, sf_dir, "lineitem")
     # Nearly every line item is a reading of its own, so they are dealt out before they are grouped: a task holds the readings of its products, not those of a piece of the file.
+    # They meet their products there as well, by scene and band: names, which are as long as all else of a reading, are not built for it then.
     dealt = items.select(*keys, dn).repartition(L.tasks_of(items, items.count()), "scene", "band")
     found = dealt.groupBy("scene", "band", "row", "col").agg(F.max("dn").alias("dn")).withColumns(facts)
     clouds = [(F.col("dn") % 700 == 0).cast("int").alias("opaque"), (F.col("dn") % 300 == 0).cast("int").alias("cirrus")]
     # A name is never null, so no test for nulls, with the whole name written out in it, is pushed down to every line item.
-    return found.select(F.coalesce(name, F.lit("")).alias("name"), "band", "row", "col", "dn", *clouds)
+    return found.select(F.coalesce(name, F.lit("")).alias("name"), "scene", "band", "row", "col", "dn", *clouds)
 
 
 def targets(spark, sf_dir):
@@ -229,7 +230,7 @@ def _composed(query_name: str, source: L.Source, lattice: Lattice, name: Callabl
     def run(spark, sf_dir):
         assets = products(spark, sf_dir, lattice, name())
         days = None if source.static else assets.select(F.date_add(F.to_date(F.lit(DAY)), (F.col("scene") % 6).cast("int")).alias("day")).distinct()
-        found = L.fetch(source, assets, readings(spark, sf_dir, name()), targets(spark, sf_dir), BANDS, days)
+        found = L.fetch(source, assets, readings(spark, sf_dir, name()), targets(spark, sf_dir), BANDS, days, by="scene", dealt=True)
         return found.withColumn("value", r("value"))
 
     run.__name__ = query_name
@@ -275,4 +276,4 @@ SELECT cell, 'DEM' AS band, y, x, round(value, 4) AS value FROM f UNION ALL SELE
 def d09_dem_cells(spark, sf_dir):
     """Heights, slopes and aspects over the edges of tiles."""
     assets = products(spark, sf_dir, GLOBE, stamped_names()).where("band = 'N'")
-    return L.fetch_terrain(assets, readings(spark, sf_dir, stamped_names()), targets(spark, sf_dir), 1.0).withColumn("value", r("value"))
+    return L.fetch_terrain(assets, readings(spark, sf_dir, stamped_names()), targets(spark, sf_dir), 1.0, by="scene", dealt=True).withColumn("value", r("value"))

@@ -72,3 +72,28 @@ def test_native_pixels_are_held_by_a_task_and_not_sorted_for_the_pixels_asked_fo
         found = L.fetch(replace(L.SOURCES["landsat"], bilinear=bilinear), *_tables(spark)[:3], ["b"], _tables(spark)[3])
         joins = [line for line in _plan(found).splitlines() if "Join" in line and "gy#" in line]
         assert joins and all("ShuffledHashJoin" in line and "BuildRight" in line for line in joins)
+
+
+def test_readings_meet_their_products_where_they_were_dealt_out_without_names(spark):
+    source = L.SOURCES["sentinel1"]
+    chosen = L.in_turn(source, L.selected(source, composed.products(spark, SF, composed.UTM, composed.sentinel1_names())))
+    readings = composed.readings(spark, SF, composed.sentinel1_names())
+    wide = L.native_bands(source, chosen, readings, composed.BANDS, by="scene", dealt=True)
+    plan = _plan(wide)
+    assert plan.count("Exchange") == 3 and "S1A_IW" not in plan  # line items, assets and pixels move once each
+    flat = {(r.lattice, r.day, r.band, r.gy, r.gx): r.value for r in L.native_pixels(source, chosen, readings).collect()}  # by names
+    found = {}
+    for r in wide.collect():
+        for n, band in enumerate(composed.BANDS):
+            assert r[f"v{n}"] is None or r.there & 1 << n
+            if r.there & 1 << n:
+                found[r.lattice, r.day, band, r.gy, r.gx] = r[f"v{n}"]
+    assert found == flat and None in found.values()
+
+
+def test_a_pixel_is_grouped_and_met_once_for_all_its_bands(spark):
+    assets, readings, cells, days = _tables(spark)
+    for bilinear in (False, True):
+        found = L.fetch(replace(L.SOURCES["landsat"], bilinear=bilinear), assets, readings, cells, ["b"], days)
+        keys = [line.split("keys=")[1].split("]")[0] for line in _plan(found).splitlines() if "Aggregate(keys=" in line and "gy#" in line or "nth#" in line and "Aggregate(keys=" in line]
+        assert keys and not any("band#" in k for k in keys)
