@@ -160,6 +160,28 @@ def test_the_forest_learns_a_known_function(spark):
     assert facts[0] < 0.2 * facts[1]
 
 
+def test_trees_on_sums_of_cells_are_as_good_as_trees_on_rows(spark):
+    noise = F.pmod(F.xxhash64("id"), F.lit(1000)) / 100.0
+    rows = spark.range(6000).select((F.col("id") % 40 / 1.0).alias("a"), (F.col("id") % 7 / 1.0).alias("b"), "id").withColumn("y", 3 * F.col("a") - 5 * F.col("b") + noise)
+    odd = rows.where("id < 3").withColumns({"a": F.when(F.col("id") == 0, F.lit(float("nan"))), "id": -1 - F.col("id")})  # one NaN, two nulls
+    few = models.fit_forest(rows.unionByName(odd), ["a", "b"], "y", trees=20, depth=8)
+    assert few.getNumTrees == 20 and few.predictions.count() == few.bins.cells == 32 * 7  # the rows are not kept and passed over level by level
+    scored = models.predicted(few, rows.unionByName(odd), ["a", "b"], ["id", "y"])
+    plain = models.predicted(models.RandomForestRegressor(labelCol="y", numTrees=20, maxDepth=8, minInstancesPerNode=2, featureSubsetStrategy="onethird", seed=0).fit(models.assembled(rows, ["a", "b"], ["y"])), rows, ["a", "b"], ["id", "y"])
+    rmse = lambda df: df.agg(F.count("*"), F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2))).first()
+    (n, by_cells), (m, by_rows), spread = rmse(scored), rmse(plain), rows.agg(F.stddev_pop("y")).first()[0]
+    assert n == m == 6000 and by_cells < 0.2 * spread and abs(by_cells - by_rows) < 0.05 * spread
+
+
+def test_trees_draw_rows_as_often_as_poisson_says_and_leave_small_leaves_out(spark):
+    rows = spark.range(4000).select((F.col("id") % 2 / 1.0).alias("a"), F.when(F.col("id") == 1, 1e6).otherwise(0.0).alias("y"))
+    got = dict(map(tuple, models.predicted(models.fit_forest(rows, ["a"], "y", trees=40, depth=3), rows.distinct(), ["a"], ["a"]).groupBy("a").agg(F.first("prediction")).collect()))
+    assert set(got) == {0.0, 1.0} and got[0.0] == 0 and abs(got[1.0] - 500) < 300  # the one row is drawn once on average among some 2000 of its cell
+    rare = spark.range(4000).select(F.when(F.col("id") == 1, 1.0).otherwise(0.0).alias("a")).withColumn("y", F.col("a") * 1e6)
+    alone = models.predicted(models.fit_forest(rare, ["a"], "y", trees=10, depth=3, leaf=40), rare.where("a = 1"), ["a"], ["a"]).first()
+    assert alone.prediction < 1000  # a leaf of fewer than 40 draws is none, so the row shares the mean of all
+
+
 def parts(rows, group):
     return series.split_exact(rows, [group], 0.2, "split")
 
